@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import secrets, sharding
+from evigraph.llm import bpe, secrets, sharding
 
 SHARDS = 16
 
@@ -24,6 +25,11 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.encode_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("repository", F.concat_ws("/", "source", "lang"))
     return secrets.digest_columns(secrets.scan_secrets(docs, "doc_id", "text", "repository", "source"), "doc_id")
@@ -31,6 +37,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_prefix_bpe": op5_prefix_bpe,
     "op10_secret_ownership": op10_secret_ownership,
 }
 
