@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe, secrets, sharding
+from evigraph.llm import archives, bpe, secrets, sharding
 
 SHARDS = 16
 
@@ -30,6 +30,11 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return archives.archive_pages(pages, "page_id", "url", "html").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("repository", F.concat_ws("/", "source", "lang"))
     return secrets.digest_columns(secrets.scan_secrets(docs, "doc_id", "text", "repository", "source"), "doc_id")
@@ -38,7 +43,20 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_legacy_archives": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
