@@ -6,11 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, secrets, sharding
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, secrets, sharding
 
 SHARDS = 16
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontamination.find_leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def op3_pstable_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = sharding.assign_shards(docs, "doc_id", [1.0] * SHARDS, [1.0], payload="text")
@@ -41,6 +50,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op3_pstable_embedding_dedup": op3_pstable_embedding_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op9_legacy_archives": op9_legacy_archives,
@@ -48,6 +59,27 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_pstable_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        ), u AS (
+            SELECT * FROM v
+            WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS id, vec_id AS r FROM v
+            UNION
+            SELECT reach.id, l.b FROM reach JOIN l ON reach.r = l.a
+        ), c AS (
+            SELECT id, min(r) AS component_id FROM reach GROUP BY id
+        ), d AS (
+            SELECT a, count(*) AS n FROM l GROUP BY a
+        )
+        SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id
+    """,
     "op9_legacy_archives": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
