@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, secrets, sharding
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, ngram_join, secrets, sharding
 
 SHARDS = 16
 
@@ -16,6 +16,10 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.find_leaks(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def op2_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", width=3, percent=90)
+
+
 def op3_pstable_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
 
@@ -51,6 +55,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op2_signature_tree_join": op2_signature_tree_join,
     "op3_pstable_embedding_dedup": op3_pstable_embedding_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
