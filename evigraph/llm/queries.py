@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, ngram_join, secrets, sharding
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding
 
 SHARDS = 16
 
@@ -43,6 +43,16 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op6_bigru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = language_id.fit(docs.filter(_remainder(4) != 2), "doc_id", "text", "lang")
+    return language_id.identify(docs, "doc_id", "text", net).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return archives.archive_pages(pages, "page_id", "url", "html").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,6 +69,7 @@ QUERIES = {
     "op3_pstable_embedding_dedup": op3_pstable_embedding_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op6_bigru_language_id": op6_bigru_language_id,
     "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
 }
@@ -85,6 +96,7 @@ ORACLES: dict[str, str] = {
         SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
         FROM v JOIN c ON c.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id
     """,
+    "op6_bigru_language_id": op6_bigru_language_id,
     "op9_legacy_archives": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
