@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding, toxicity
 
 SHARDS = 16
 
@@ -53,6 +53,13 @@ def op6_bigru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, "doc_id", "text", net).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, "doc_id", "text", labels, "doc_id", "toxic", _remainder(3) != 1)
+    out = toxicity.score_texts(docs, "doc_id", "text", model)
+    return out.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "words")
+
+
 def op9_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return archives.archive_pages(pages, "page_id", "url", "html").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_bigru_language_id": op6_bigru_language_id,
+    "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
 }
