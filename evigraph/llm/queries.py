@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding, toxicity
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, secrets, sharding, toxicity
 
 SHARDS = 16
 
@@ -60,6 +60,14 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "words")
 
 
+def op8_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.coalesce(_remainder(5) == 1, F.lit(False))
+    model = kneser_ney.fit(docs.filter(~held_out), "text")
+    out = kneser_ney.score(docs, "doc_id", "text", model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return archives.archive_pages(pages, "page_id", "url", "html").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -78,6 +86,7 @@ QUERIES = {
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_bigru_language_id": op6_bigru_language_id,
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
+    "op8_kneser_ney_scoring": op8_kneser_ney_scoring,
     "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
 }
