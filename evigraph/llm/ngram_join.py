@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan
 from evigraph.llm.components import blocked, components
+from evigraph.llm.kneser_ney import merge, pack, unpack
 from evigraph.llm.shared import Scratch
 
 #: Hashes that come last in the order; so many at most are held by every worker.
@@ -38,6 +39,10 @@ BLOCK = 2000
 #: Leaders with which a set is compared first.
 LEADERS = 3
 LEAF, FAN = 4, 4
+#: Hashes that a task gathers before it packs them, and hashes of one bucket as gathered.
+GATHER = 2_000_000
+#: Bits of the filter of texts to verify.
+FILTER_BITS = 1 << 23
 
 
 def overlap_needed(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -75,33 +80,110 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def _describe(width: int, percent: int, common: np.ndarray, full: bool):
-    """(key, text) to (key, sid, n, prefix[, bits]); prefix is empty for an empty set."""
+def _grams(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    for _, _, hashes, bounds in bytescan.texts(column):
+        for a, b in zip(bounds, bounds[1:]):
+            yield shingles(hashes[a:b], width)
+
+
+def _describe(width: int):
+    """(key, text) to (key, sid, n, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, size, prefix, bits = [], [], [], []
-            for _, _, hashes, bounds in bytescan.texts(batch.column(1)):
-                for a, b in zip(bounds, bounds[1:]):
-                    grams = shingles(hashes[a:b], width)
-                    p = prefix_size(len(grams), percent) if len(grams) else 0
-                    if len(common) and len(grams):
-                        last = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
-                        rare = grams[~last]
-                        first = rare[:p] if len(rare) >= p else np.r_[rare, grams[last][: p - len(rare)]]
-                    else:
-                        first = grams[:p]
-                    sid.append(identity(grams))
-                    size.append(len(grams))
-                    prefix.append(first.view(np.int64))
-                    if full:
-                        bits.append(bitmap(grams).tobytes())
-            cols = [batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(bits, pa.binary())] if full else []), names=["key", "sid", "n", "prefix", "bits"][: 5 if full else 4])
+            sid, size, bits = [], [], []
+            for grams in _grams(batch.column(1), width):
+                sid.append(identity(grams))
+                size.append(len(grams))
+                bits.append(bitmap(grams).tobytes() if len(grams) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary())], names=["key", "sid", "n", "bits"])
+
+    return run
+
+
+def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, common ones last."""
+    if not len(grams):
+        return grams
+    p = prefix_size(len(grams), percent)
+    if not len(common):
+        return grams[:p]
+    last = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    rare = grams[~last]
+    return rare[:p] if len(rare) >= p else np.r_[rare, grams[last][: p - len(rare)]]
+
+
+def _deal_prefixes(width: int, percent: int, common: np.ndarray, buckets: int, count: bool):
+    """(key, text) to packed prefix hashes by bucket: with their sets, or (count) with how often they were met.
+
+    A set that a task meets again is skipped, as are rows without a key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        tokens, sids, size = [], [], 0
+
+        def part() -> pa.RecordBatch:
+            t = np.concatenate(tokens)
+            if count:
+                t, other = np.unique(t, return_counts=True)
+                other = other.astype(np.uint32)
+            else:
+                s = np.repeat(np.array(sids, np.int64), [len(x) for x in tokens])
+                order = np.argsort(t, kind="stable")
+                t, other = t[order], s[order]
+            at = (t >> np.uint64(40)).astype(np.int64) * buckets >> 24
+            cut = np.searchsorted(at, np.arange(buckets + 1))
+            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([pack(t[cut[b] : cut[b + 1]]) for b in full], pa.binary()), pa.array([pack(other[cut[b] : cut[b + 1]]) for b in full], pa.binary())], names=["b", "t", "o"]
+            )
+
+        for batch in batches:
+            keep = batch.column(0).is_valid().to_pylist()
+            for ok, grams in zip(keep, _grams(batch.column(1), width)):
+                sid = identity(grams)
+                if not ok or not sid or sid in met:
+                    continue
+                if len(met) > 500_000:
+                    met.clear()
+                met.add(sid)
+                tokens.append(prefix(grams, percent, common))
+                sids.append(sid)
+                size += len(tokens[-1])
+                if size > GATHER:
+                    yield part()
+                    tokens, sids, size = [], [], 0
+        if size:
+            yield part()
+
+    return run
+
+
+def _over(limit: int):
+    """For applyInArrow on one bucket of counted hashes: those met more than limit times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, counts = merge([unpack(t, np.uint64) for t in table.column("t").to_pylist()], [unpack(o, np.uint32).astype(np.int64) for o in table.column("o").to_pylist()])
+        return pa.table({"token": tokens[counts > limit].view(np.int64)})
 
     return run
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    """For applyInArrow on one bucket of hashes and sets: the hashes of at least two sets."""
+    tokens = np.concatenate([unpack(t, np.uint64) for t in table.column("t").to_pylist()])
+    sids = np.concatenate([unpack(o, np.int64) for o in table.column("o").to_pylist()])
+    order = np.lexsort((sids, tokens))
+    tokens, sids = tokens[order], sids[order]
+    new = np.r_[True, (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])]
+    tokens, sids = tokens[new], sids[new]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    sizes = np.diff(np.append(first, len(tokens)))
+    keep = np.repeat(sizes > 1, sizes)
+    return pa.table({"token": tokens[keep].view(np.int64), "sid": sids[keep]})
+
+
 def _similar(width: int, percent: int):
     """(a, b, text_a, text_b) to the (a, b) whose sets, named a and b, reach the similarity."""
 
@@ -220,14 +302,36 @@ def _bucket(percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b of set names) whose sets, read again from a text of each, reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = docs.join(sets.select("sid", "key").join(wanted, "sid"), "key").select("sid", "text")
+    """The pairs (a, b of set names) whose sets, read again from a text of each, reach the similarity.
+
+    A filter of FILTER_BITS bits keeps most texts that are not asked for out of the shuffle.
+    """
+    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select("sid", "key")
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).cast("int")
+    words = wanted.select(place.alias("p")).select(F.shiftright("p", 3).alias("w"), F.pow(F.lit(2), F.col("p") % 8).cast("int").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.collect():
+        held[r["w"]] = r["v"]
+    some = docs.filter("key is not null").select("key", "text", place.alias("p")).mapInArrow(_filtered(held.tobytes()), "key long, text string")
+    texts = some.join(wanted, "key").select("sid", "text")
     first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(width, percent), "a long, b long")
 
 
+def _filtered(bits: bytes):
+    """(key, text, place) to the (key, text) whose place is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            ok = pa.array((held[p >> 3] >> (p & 7)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["key", "text"])
+
+    return run
+
+
 def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Components of texts whose sets of word n-grams have a Jaccard similarity of percent / 100 or more.
 
@@ -241,30 +345,25 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    schema = "key long, sid long, n long, prefix array<long>"
-    empty = np.empty(0, np.uint64)
-    seen = scratch.save(rows.mapInArrow(_describe(width, percent, empty, True), schema + ", bits binary"), "seen")
+    seen = scratch.save(rows.mapInArrow(_describe(width), "key long, sid long, n long, bits binary"), "seen")
     good = "key is not null and n > 0"
-
-    def distinct_sets(table: DataFrame) -> DataFrame:
-        return table.filter(good).groupBy("sid").agg(F.min("key").alias("key"), F.first(F.struct("n", "prefix", "bits")).alias("s")).select("sid", "key", "s.*")
-
-    sets = scratch.save(distinct_sets(seen), "sets0")
-    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    # at most total / limit hashes can be in over limit prefixes, so COMMON bounds what is collected here
+    sets = scratch.save(seen.filter(good).groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    total = seen.filter(good).agg(F.sum(size)).first()[0] or 0
+    buckets = max(4, -(-total // GATHER))
+    # at most total / limit hashes can be met over limit times, so COMMON bounds what is collected here
     limit = max(COMMON_SETS, -(-total // COMMON))
-    often = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > limit)
-    common = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
-    if len(common):
-        again = rows.mapInArrow(_describe(width, percent, common, True), schema + ", bits binary")
-        sets = scratch.save(distinct_sets(again), "sets")
-        scratch.drop("sets0")
+    none, dealt = np.empty(0, np.uint64), "b int, t binary, o binary"
+    often = rows.mapInArrow(_deal_prefixes(width, percent, none, buckets, True), dealt).groupBy("b").applyInArrow(_over(limit), "token long")
+    common = np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
 
     # buckets of at least two sets; of buckets with the same members, one is enough
-    spread = sets.select("sid", "n", F.explode("prefix").alias("token"))
+    spread = rows.mapInArrow(_deal_prefixes(width, percent, common, buckets, False), dealt).groupBy("b").applyInArrow(_shared, "token long, sid long")
+    spread = scratch.save(spread, "spread")
     buckets = spread.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("sid") % F.lit(1 << 44)).alias("f"), F.sum(F.xxhash64("sid", F.lit(1)) % F.lit(1 << 44)).alias("g"), F.min(F.xxhash64("sid")).alias("lead"))
-    buckets = buckets.filter("c > 1").groupBy("c", "f", "g").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", "b.lead", "c")
-    members = scratch.save(spread.join(buckets, "token"), "members")
+    buckets = buckets.groupBy("c", "f", "g").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", "b.lead", "c")
+    members = scratch.save(spread.join(buckets, "token").join(sets.select("sid", "n"), "sid"), "members")
+    scratch.drop("spread")
 
     # leaders: a bucket's set of the smallest hash; a set meets the leaders of its first buckets
     heads = members.filter(F.xxhash64("sid") == F.col("lead")).select("token", F.col("sid").alias("a"), F.col("n").alias("n_a"))
