@@ -138,6 +138,15 @@ def _match(items: tuple[tuple[int, str], ...], chars_per_edit: int):
     return run
 
 
+def _items(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Distinct test items in blocks of about BLOCK_CHARS characters; one empty block if there are none."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null").distinct()
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS) or 1
+    for b in range(blocks):
+        yield tuple((r["k"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).sort("k", "t").collect())
+
+
 def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_key: str, item_text: str, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Every pair of a text and a test item that occurs in it within the item's budget.
 
@@ -149,13 +158,28 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     in memory in blocks of BLOCK_CHARS characters, one pass over the texts a block. Empty tables
     give no rows; only the named columns are read.
     """
-    items = benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null").distinct()
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS) or 1
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("text is not null and text <> ''")
     schema, out = "key long, item long, distance int, budget int, end long", None
-    for b in range(blocks):
-        held = tuple((r["k"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).sort("k", "t").collect())
+    for held in _items(benchmark, item_key, item_text):
         part = rows.mapInArrow(_match(held, chars_per_edit), schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("key").alias(key), F.col("item").alias("item_id"), "distance", "budget", "end")
+
+
+def drop_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str, item_text: str, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no test item within its budget; null and empty texts stay."""
+    items, out = _items(benchmark, item_key, item_text), docs
+    for held in items:
+        matcher_of = _dropper(held, text, chars_per_edit)
+        out = out.mapInArrow(matcher_of, docs.schema)
+    return out
+
+
+def _dropper(held: tuple[tuple[int, str], ...], text: str, chars_per_edit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(held, chars_per_edit)
+        for batch in batches:
+            column = batch.column(batch.schema.names.index(text))
+            yield batch.filter(pa.array([not matcher.find(t.as_py() or "") for t in column], pa.bool_()))
+
+    return run

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.shared import Scratch
+
 #: Kinds in their order, each with its pattern, the group that must be long enough and that length.
 KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -81,42 +83,77 @@ def scan_secrets(docs: DataFrame, key: str, text: str, repository: str, owner: s
     result, and equal values of one owner count once. An empty table gives no rows. Only the four
     named columns are read, so other columns may have any name.
     """
-    from evigraph.llm.shared import Scratch
+    scratch = Scratch(docs.sparkSession, "secrets")
+    rows = scratch.save(_candidates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"), F.col(repository).alias("_r"), F.col(owner).alias("_o")), "_body", "_r", "_o").drop("_body", "_r", "_o"), "rows")
+    found = rows.filter(HAS_CANDIDATES)
+    judged = _judged(found, max_owners, max_repositories).select(
+        "_text",
+        F.transform("_judged", lambda s: s["span"]).alias("spans"),
+        F.size(F.filter("_judged", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("_judged", lambda s: ~s["live"])).cast("long").alias("n_shared"),
+    )
+    none = F.lit(0).cast("long")
+    clean = rows.filter(f"not ({HAS_CANDIDATES})").select(F.col("_key").alias(key), "base", F.col("base").alias("spans"), none.alias("n_live"), none.alias("n_shared"))
+    return found.join(judged, "_text").select(F.col("_key").alias(key), "base", "spans", "n_live", "n_shared").unionByName(clean)
+
 
+#: Rows of _candidates with anything to judge.
+HAS_CANDIDATES = "size(base) > 0 or size(_words) > 0"
+
+
+def _candidates(docs: DataFrame, text: str, repository: str, owner: str) -> DataFrame:
+    """docs with _repo, _owner, base, _words (bare words that overlap no base span) and _text (a digest of the text)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    scratch = Scratch(docs.sparkSession, "secrets")
-    rows = scratch.save(
-        docs.select(
-            F.col(key).alias("_key"),
-            F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
-            F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
-            F.array_sort(F.concat(*(spans(body, k) for k in BASE))).alias("base"),
-            F.filter(spans(body, "word"), _live_word).alias("_words"),
-            F.sha2(body, 256).alias("_text"),
-        ).withColumn("_words", F.filter("_words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))),
-        "rows",
+    out = docs.select(
+        "*",
+        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
+        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
+        F.array_sort(F.concat(*(spans(body, k) for k in BASE))).alias("base"),
+        F.filter(spans(body, "word"), _live_word).alias("_words"),
+        F.sha2(body, 256).alias("_text"),
     )
-    found = rows.filter((F.size("base") > 0) | (F.size("_words") > 0))
+    return out.withColumn("_words", F.filter("_words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
+
+
+def _judged(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """_text and _judged: array<struct<span, live>> in span order, without bare words that are widely copied."""
     seen = found.select("_text", "_repo", "_owner", F.explode(F.concat("base", "_words")).alias("span")).withColumn("_hash", F.sha2("span.secret", 256))
     by = seen.groupBy("_hash", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_n"))
     owners = by.select("_hash", "_owner").distinct().groupBy("_hash").agg(F.count(F.lit(1)).alias("_owners"))
     repos = by.select("_hash", "_repo").distinct().groupBy("_hash").agg(F.count(F.lit(1)).alias("_repos"))
-    spread = owners.join(repos, "_hash").select("_hash", ((F.col("_owners") <= max_owners) & (F.col("_repos") <= max_repositories)).alias("_live"))
-    judged = (
+    spread = owners.join(repos, "_hash").select("_hash", ((F.col("_owners") <= max_owners) & (F.col("_repos") <= max_repositories)).alias("live"))
+    return (
         seen.select("_text", "span", "_hash")
         .distinct()
         .join(spread, "_hash")
         .groupBy("_text")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("_live") | (F.col("span.kind") != "word"), F.col("span")))).alias("spans"),
-            F.count_if("_live").alias("n_live"),
-            F.count_if(~F.col("_live")).alias("n_shared"),
-        )
+        .agg(F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("span.kind") != "word"), F.struct("span", "live")))).alias("_judged"))
     )
-    clean = rows.filter((F.size("base") == 0) & (F.size("_words") == 0)).select(
-        F.col("_key").alias(key), "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_shared")
+
+
+def redact_secrets(docs: DataFrame, text: str, repository: str, owner: str, max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
+    """docs, all columns, with every kept span of text replaced: by <SECRET> where its value is owner-specific, by <EXAMPLE> where it is widely copied.
+
+    Overlapping spans are replaced once, by the first one's mark. Only texts with candidates are
+    shuffled. Nulls, repeats and empty tables as in scan_secrets.
+    """
+    marked = _candidates(docs, text, repository, owner)
+    found = marked.filter(HAS_CANDIDATES)
+    judged = _judged(found, max_owners, max_repositories)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    body = F.aggregate(
+        "_judged",
+        start,
+        lambda acc, s: F.when(s["span"]["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["span"]["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
+            F.struct(
+                s["span"]["end"].alias("at"),
+                F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["span"]["start"] - acc["at"]), F.when(s["live"], "<SECRET>").otherwise("<EXAMPLE>")).alias("out"),
+            )
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
     )
-    return found.join(judged, "_text").select(F.col("_key").alias(key), "base", "spans", "n_live", "n_shared").unionByName(clean)
+    changed = found.join(judged, "_text").withColumn(text, body).select(docs.columns)
+    return marked.filter(f"not ({HAS_CANDIDATES})").select(docs.columns).unionByName(changed)
 
 
 def digest_columns(scanned: DataFrame, key: str) -> DataFrame:
