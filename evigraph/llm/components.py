@@ -6,6 +6,10 @@ a star around this node is where it ends. Links stay in tables; only counts reac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +49,26 @@ def components(links: DataFrame, a: str, b: str, scratch: Scratch, tag: str = "c
     return stars.unionByName(roots)
 
 
-def blocked(members: DataFrame, group: list[str], count: str, ident: str, size: int) -> DataFrame:
-    """Deal the members of large groups to pairs of blocks: columns _i and _j besides those of members.
+def blocked(members: DataFrame, group: list[str], count: str, ident: str, size: int, slots: int) -> DataFrame:
+    """Deal the members of groups to pairs of blocks, and these to slots: columns _b, _i, _j, _slot besides those of members.
 
     A group of at most ``size`` is the one block pair (0, 0). A larger one is split by a hash of
-    ident into blocks; each row goes to every pair with its own block, so any two rows of a group
-    meet in exactly one pair where _i <= _j: the pair of their blocks. The column _b is the row's block.
+    ident into blocks (_b is a row's block); each row goes to every pair with its own block, so any
+    two rows of a group meet in exactly one pair where _i <= _j: the pair of their blocks. A slot
+    takes many small groups, or few pairs of large ones; rows of a slot are told apart by segments().
     """
     n = F.greatest(F.lit(1), F.ceil(F.col(count) / F.lit(size))).cast("int")
     own = members.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
     dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.select("*", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).drop("_o", "_n")
+    dealt = dealt.select("*", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).drop("_o", "_n")
+    return dealt.withColumn("_slot", F.pmod(F.xxhash64(*group, "_i", "_j"), F.lit(slots)).cast("int"))
+
+
+def segments(table: pa.Table, columns: list[str]) -> Iterator[np.ndarray]:
+    """Row numbers of each distinct combination of values of integer columns."""
+    values = [table.column(c).to_numpy() for c in columns]
+    order = np.lexsort(values[::-1])
+    new = np.zeros(len(order), bool)
+    for v in values:
+        new[1:] |= v[order][1:] != v[order][:-1]
+    yield from np.split(order, np.flatnonzero(new))

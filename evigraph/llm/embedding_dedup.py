@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.components import blocked, components
+from evigraph.llm.components import blocked, components, segments
 from evigraph.llm.shared import Scratch
 
-TABLES, PROJECTIONS, WIDTH, SEED = 24, 8, 1.2, 7
+TABLES, PROJECTIONS, WIDTH, SEED = 40, 12, 1.2, 7
 #: Vectors of one bucket that one task compares.
 BLOCK = 1500
 
@@ -63,44 +63,49 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: What tells a bucket's pair of blocks from others in a slot.
+BUCKET = ["label", "size", "t", "key"]
+#: Rows that a slot takes, or so.
+SLOT_ROWS = 20_000
+
+
 def _compare(threshold: float):
-    """For applyInArrow on one pair of blocks of one bucket: partial degrees and a spanning forest of its links."""
+    """For applyInArrow on one slot: for every pair of blocks partial degrees and a spanning forest of its links."""
 
     def run(table: pa.Table) -> pa.Table:
-        nothing = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if table.num_rows < 2:
-            return nothing
         table = table.combine_chunks()
-        ids = table.column("vec").to_numpy()
-        weight = table.column("weight").to_numpy()
-        block = table.column("_b").to_numpy()
-        t = table.column("t")[0].as_py()
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        keys = np.array(table.column("keys").to_pylist(), np.int64)[:, :t]
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        degree = np.zeros(len(ids), np.int64)
-        near = np.zeros((len(left), len(right)), bool)
-        for lo in range(0, len(left), 256):
-            part = x[left[lo : lo + 256]] @ x[right].T >= threshold
-            if i == j:
-                part &= left[lo : lo + 256, None] < right[None, :]
-            p, q = np.nonzero(part)
-            if t and len(p):
-                first = ~(keys[left[lo + p]] == keys[right[q]]).any(axis=1)
-                p, q = p[first], q[first]
-            np.add.at(degree, left[lo + p], weight[right[q]])
-            np.add.at(degree, right[q], weight[left[lo + p]])
-            near[lo + p, q] = True
-        a, b = _forest(near, left, right, i == j)
-        touched = np.flatnonzero(degree)
-        return pa.table(
-            {
-                "kind": pa.array(np.r_[np.zeros(len(touched), np.int32), np.ones(len(a), np.int32)], pa.int32()),
-                "a": pa.array(np.r_[ids[touched], ids[a]].astype(np.int64)),
-                "b": pa.array(np.r_[degree[touched], ids[b]].astype(np.int64)),
-            }
-        )
+        ids, weights, blocks, tables, left_of, right_of = (table.column(c).to_numpy() for c in ("vec", "weight", "_b", "t", "_i", "_j"))
+        units, all_keys = table.column("unit").chunk(0), table.column("keys").chunk(0)
+        kind, one, two = [], [], []
+        for rows in segments(table, [*BUCKET, "_i", "_j"]):
+            if len(rows) < 2:
+                continue
+            t, i, j = int(tables[rows[0]]), left_of[rows[0]], right_of[rows[0]]
+            x = np.frombuffer(b"".join([units[int(r)].as_py() for r in rows]), np.float64).reshape(len(rows), -1)
+            at = pa.array(rows)
+            keys = all_keys.take(at).flatten().to_numpy().reshape(len(rows), -1)[:, :t]
+            left, right = np.flatnonzero(blocks[rows] == i), np.flatnonzero(blocks[rows] == j)
+            weight, degree = weights[rows], np.zeros(len(rows), np.int64)
+            near = np.zeros((len(left), len(right)), bool)
+            for lo in range(0, len(left), 256):
+                part = x[left[lo : lo + 256]] @ x[right].T >= threshold
+                if i == j:
+                    part &= left[lo : lo + 256, None] < right[None, :]
+                p, q = np.nonzero(part)
+                if t and len(p):
+                    first = ~(keys[left[lo + p]] == keys[right[q]]).any(axis=1)
+                    p, q = p[first], q[first]
+                np.add.at(degree, left[lo + p], weight[right[q]])
+                np.add.at(degree, right[q], weight[left[lo + p]])
+                near[lo + p, q] = True
+            touched = np.flatnonzero(degree)
+            if len(touched):
+                a, b = _forest(near, left, right, i == j)
+                kind.append(np.r_[np.zeros(len(touched), np.int32), np.ones(len(a), np.int32)])
+                one.append(np.r_[ids[rows[touched]], ids[rows[a]]])
+                two.append(np.r_[degree[touched], ids[rows[b]]])
+        join = lambda parts, of: pa.array(np.concatenate(parts).astype(of) if parts else np.empty(0, of))
+        return pa.table({"kind": join(kind, np.int32), "a": join(one, np.int64), "b": join(two, np.int64)})
 
     return run
 
@@ -158,11 +163,12 @@ def near_vectors(vectors: DataFrame, key: str, vector: str, label: str, threshol
     keyed = scratch.save(usable.mapInArrow(_keyed, "vec long, label long, unit binary, keys array<long>"), "keyed")
     same = scratch.save(keyed.groupBy("label", "unit").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys")), "same")
     long = same.select(F.col("rep").alias("vec"), "label", F.octet_length("unit").alias("size"), F.posexplode("keys").alias("t", "key"))
-    crowd = long.groupBy("label", "size", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = long.join(crowd, ["label", "size", "t", "key"])
+    crowd = scratch.save(long.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowd")
+    slots = max(8, -(-(crowd.agg(F.sum("n")).first()[0] or 0) // SLOT_ROWS))
+    met = long.join(crowd, BUCKET)
     full = met.join(same.select(F.col("rep").alias("vec"), "label", "weight", "unit", "keys"), ["vec", "label"])
-    dealt = blocked(full, ["label", "size", "t", "key"], "n", "vec", BLOCK)
-    found = scratch.save(dealt.groupBy("label", "size", "t", "key", "_i", "_j").applyInArrow(_compare(threshold), "kind int, a long, b long"), "found")
+    dealt = blocked(full, BUCKET, "n", "vec", BLOCK, slots)
+    found = scratch.save(dealt.groupBy("_slot").applyInArrow(_compare(threshold), "kind int, a long, b long"), "found")
     links = found.filter("kind = 1").select("a", "b")
     degree = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("degree")).withColumnRenamed("a", "rep")
     # equal vectors under one key each are one node; a key that two different vectors share joins them nowhere

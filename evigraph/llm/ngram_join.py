@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan
-from evigraph.llm.components import blocked, components
+from evigraph.llm.components import blocked, components, segments
 from evigraph.llm.kneser_ney import merge, pack, unpack
 from evigraph.llm.shared import Scratch
 
@@ -36,6 +36,8 @@ COMMON_SETS = 150
 BITMAP = 32
 #: Sets of one bucket that one task compares.
 BLOCK = 2000
+#: Sets that a task compares, of many small buckets or of blocks of a large one, or so.
+SLOT_ROWS = 20_000
 #: Leaders with which a set is compared first.
 LEADERS = 3
 LEAF, FAN = 4, 4
@@ -280,23 +282,33 @@ def _children(p: np.ndarray, q: np.ndarray, level: int, x: Tree, y: Tree, same:
 
 
 def _bucket(percent: int):
-    """For applyInArrow on one pair of blocks of one bucket: pairs of different components to verify."""
+    """For applyInArrow on one slot: for every pair of blocks of a bucket the pairs of different components to verify."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comp, block, sizes = (table.column(c).to_numpy() for c in ("sid", "comp", "_b", "n"))
+        ids, comps, blocks, sizes, left_of, right_of = (table.column(c).to_numpy() for c in ("sid", "comp", "_b", "n", "_i", "_j"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x = Tree(sizes[left], bits[left])
-        y = x if i == j else Tree(sizes[right], bits[right])
-        p, q = dual_traversal(x, y, percent)
-        p, q = left[p], right[q]
-        apart = comp[p] != comp[q]
-        a, b = ids[p[apart]], ids[q[apart]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out = []
+        for rows in segments(table, ["token", "_i", "_j"]):
+            i, j = left_of[rows[0]], right_of[rows[0]]
+            left, right = rows[blocks[rows] == i], rows[blocks[rows] == j]
+            if not len(left) or not len(right) or len(rows) < 2:
+                continue
+            if len(rows) == 2 and i == j:
+                p, q = left[:1], left[1:]
+                most = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + min(sizes[r] - int(np.bitwise_count(bits[r]).sum()) for r in rows)
+                if most[0] < overlap_needed(int(sizes[p[0]] + sizes[q[0]]), percent):
+                    continue
+            else:
+                x = Tree(sizes[left], bits[left])
+                y = x if i == j else Tree(sizes[right], bits[right])
+                p, q = dual_traversal(x, y, percent)
+                p, q = left[p], right[q]
+            apart = comps[p] != comps[q]
+            out.append(np.stack([ids[p[apart]], ids[q[apart]]]))
+        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return run
 
@@ -383,8 +395,9 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     named = members.join(joined.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "token", "c", F.coalesce("component", "sid").alias("comp"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     full = named.join(mixed, "token").join(sets.select("sid", "bits"), "sid")
-    dealt = blocked(full, ["token"], "c", "sid", BLOCK)
-    pairs = scratch.save(dealt.groupBy("token", "_i", "_j").applyInArrow(_bucket(percent), "a long, b long").distinct(), "pairs")
+    slots = max(8, -(-members.count() // SLOT_ROWS))
+    dealt = blocked(full, ["token"], "c", "sid", BLOCK, slots)
+    pairs = scratch.save(dealt.groupBy("_slot").applyInArrow(_bucket(percent), "a long, b long").distinct(), "pairs")
     rest = scratch.save(_verified(pairs, rows, sets, width, percent), "links2")
     scratch.drop("members", "pairs", "joined")
 
