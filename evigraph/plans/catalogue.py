@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from evigraph.plans import graph
+
+_MODULES = (graph,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Shortest paths from every part to every region."""
+    return graph.kg_paths_topk(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
