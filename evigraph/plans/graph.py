@@ -133,7 +133,7 @@ def _neighbor_sql(seed: str, directions: str) -> str:
     }
     return f"""
     WITH {EDGES_SQL}, seeds AS ({seed}), f AS ({' UNION ALL '.join(parts[d] for d in directions.split())}),
-    o AS (SELECT query_id, entity, src, relation, dst, direction, place, neighbor, arg_min(score, {'o': ord, 's': -score}) AS score FROM f GROUP BY ALL),
+    o AS (SELECT query_id, entity, src, relation, dst, direction, place, neighbor, arg_min(score, {{'o': ord, 's': -score}}) AS score FROM f GROUP BY ALL),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, src, relation, dst) AS rank FROM o)
     SELECT query_id, entity, src AS source, relation, dst AS target, neighbor, direction, round(score, 6) AS score, {_TEXT} AS text, rank FROM c WHERE rank <= 20
     """
