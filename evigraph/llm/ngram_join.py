@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evigraph.llm import bytescan
 from evigraph.llm.components import blocked, components, segments
 from evigraph.llm.kneser_ney import merge, pack, unpack
-from evigraph.llm.shared import Scratch
+from evigraph.llm.shared import Scratch, likely
 
 #: Hashes that come last in the order; so many at most are held by every worker.
 COMMON = 50_000
@@ -43,8 +43,6 @@ LEADERS = 3
 LEAF, FAN = 4, 4
 #: Hashes that a task gathers before it packs them, and hashes of one bucket as gathered.
 GATHER = 2_000_000
-#: Bits of the filter of texts to verify.
-FILTER_BITS = 1 << 23
 
 
 def overlap_needed(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -315,35 +313,15 @@ def _bucket(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b of set names) whose sets, read again from a text of each, reach the similarity.
-
-    A filter of FILTER_BITS bits keeps most texts that are not asked for out of the shuffle.
     """
     wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select("sid", "key")
-    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).cast("int")
-    words = wanted.select(place.alias("p")).select(F.shiftright("p", 3).alias("w"), F.pow(F.lit(2), F.col("p") % 8).cast("int").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in words.collect():
-        held[r["w"]] = r["v"]
-    some = docs.filter("key is not null").select("key", "text", place.alias("p")).mapInArrow(_filtered(held.tobytes()), "key long, text string")
+    some = likely(docs.select("key", "text"), "key", wanted)
     texts = some.join(wanted, "key").select("sid", "text")
     first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(width, percent), "a long, b long")
 
 
-def _filtered(bits: bytes):
-    """(key, text, place) to the (key, text) whose place is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits, np.uint8)
-        for batch in batches:
-            p = batch.column(2).to_numpy()
-            ok = pa.array((held[p >> 3] >> (p & 7)) & 1 == 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["key", "text"])
-
-    return run
-
-
 def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Components of texts whose sets of word n-grams have a Jaccard similarity of percent / 100 or more.
 

@@ -8,8 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of the filter of keys; its size does not grow with the data.
+FILTER_BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +51,25 @@ class Scratch:
         for name in names:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in the column ``key`` of wanted; some others pass too, so a join must follow.
+
+    A filter of FILTER_BITS bits keeps most rows that no join will ask for out of its shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("int")
+    words = wanted.select(place.alias("p")).select(F.shiftright("p", 3).alias("w"), F.pow(F.lit(2), F.col("p") % 8).cast("int").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.collect():
+        held[r["w"]] = r["v"]
+    bits = held.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            ok = pa.array((held[p >> 3] >> (p & 7)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    return rows.filter(F.col(key).isNotNull()).withColumn("_place", place).mapInArrow(run, rows.schema)
