@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import graph
+from evigraph.plans import graph, retrieval
 
-_MODULES = (graph,)
+_MODULES = (graph, retrieval)
 
 
 def flagship(spark, sf_dir):
