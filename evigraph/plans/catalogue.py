@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import graph, retrieval
+from evigraph.plans import answers, graph, retrieval
 
-_MODULES = (graph, retrieval)
+_MODULES = (graph, answers, retrieval)
 
 
 def flagship(spark, sf_dir):
