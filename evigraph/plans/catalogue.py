@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import answers, graph, retrieval
+from evigraph.plans import answers, graph, records, retrieval
 
-_MODULES = (graph, answers, retrieval)
+_MODULES = (graph, answers, retrieval, records)
 
 
 def flagship(spark, sf_dir):
