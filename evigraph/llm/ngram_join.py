@@ -37,12 +37,14 @@ BITMAP = 32
 #: Sets of one bucket that one task compares.
 BLOCK = 2000
 #: Sets that a task compares, of many small buckets or of blocks of a large one, or so.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 10_000
+#: Sets whose texts one task verifies, of many small groups or so; and sets of one block of a large group.
+VERIFY_SETS, VERIFY_BLOCK = 1500, 2000
 #: Leaders with which a set is compared first.
 LEADERS = 3
 LEAF, FAN = 4, 4
 #: Hashes that a task gathers before it packs them, and hashes of one bucket as gathered.
-GATHER = 2_000_000
+GATHER = 1_000_000
 
 
 def overlap_needed(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -185,32 +187,51 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _similar(width: int, percent: int):
-    """(a, b, text_a, text_b) to the (a, b) whose sets, named a and b, reach the similarity."""
+    """For a cogroup of one slot, (sid, text) and candidate pairs (a, b): links that join what all similar pairs join.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def grams_of(text: str) -> np.ndarray:
-            return shingles(bytescan.long_words(np.frombuffer(text.encode(), np.uint8)), width)
+    A pair whose sets are joined already by links found in the slot is not compared.
+    """
 
-        for batch in batches:
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right, keep = batch.column(2), batch.column(3), []
-            for i, (a, b) in enumerate(zip(a_ids, b_ids)):
-                x = held.get(a)
-                if x is None:
-                    x = grams_of(left[i].as_py() or "")
-                    if identity(x) != a:
-                        continue
-                    if len(held) > 64:
-                        held.clear()
-                    held[a] = x
-                y = grams_of(right[i].as_py() or "")
-                if identity(y) == b:
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        body = {}
+        column = texts.column("text")
+        for k, sid in enumerate(texts.column("sid").to_pylist()):
+            body.setdefault(sid, []).append(k)
+        held: dict[int, np.ndarray | None] = {}
+
+        def grams_of(sid: int) -> np.ndarray | None:
+            if sid not in held:
+                held[sid] = None
+                for k in body.get(sid, ()):
+                    grams = shingles(bytescan.long_words(np.frombuffer(column[k].as_py().encode(), np.uint8)), width)
+                    if identity(grams) == sid:  # a key may have several texts
+                        held[sid] = grams
+                        break
+            return held[sid]
+
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        one, two = [], []
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        for i in np.lexsort((b, a)):
+            p, q = int(a[i]), int(b[i])
+            if root(p) == root(q):
+                continue
+            x, y = grams_of(p), grams_of(q)
+            if x is None or y is None:
+                continue
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                parent[root(p)] = root(q)
+                one.append(p)
+                two.append(q)
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
     return run
 
@@ -311,15 +332,27 @@ def _bucket(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b of set names) whose sets, read again from a text of each, reach the similarity.
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+    """Links among the candidate pairs (a, b of set names), compared on the whole sets, read again from a text of each.
+
+    Sets that candidate pairs join are brought to one slot, so a text is sent once and not once a
+    pair; larger groups of candidates are dealt as pairs of blocks.
     """
-    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select("sid", "key")
-    some = likely(docs.select("key", "text"), "key", wanted)
-    texts = some.join(wanted, "key").select("sid", "text")
-    first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(width, percent), "a long, b long")
+    placed = components(pairs, "a", "b", scratch, f"{tag}-groups")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    parts = F.ceil(F.col("c") / F.lit(VERIFY_BLOCK)).cast("int")
+    placed = scratch.save(placed.join(sizes, "component").select(F.col("id").alias("sid"), "component", parts.alias("parts")).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int")), f"{tag}-placed")
+    slots = max(8, -(-placed.count() // VERIFY_SETS))
+
+    def slot(i: str, j: str):
+        return F.pmod(F.xxhash64("component", F.least(i, j), F.greatest(i, j)), F.lit(slots)).cast("int").alias("slot")
+
+    wanted = sets.select("sid", "key").join(placed, "sid")
+    texts = likely(docs.select("key", "text"), "key", wanted.select("key")).join(wanted, "key")
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(slot("block", "other"), "sid", "text")
+    ends = placed.select("sid", "component", "block")
+    asked = pairs.join(ends.select(F.col("sid").alias("a"), "component", F.col("block").alias("i")), "a").join(ends.select(F.col("sid").alias("b"), F.col("block").alias("j")), "b").select(slot("i", "j"), "a", "b")
+    return dealt.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_similar(width, percent), "a long, b long")
 
 
 def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -361,12 +394,13 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     stars = ranked.join(heads, "token").filter(F.col("sid") != F.col("a")).filter(F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a"))
     stars = stars.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
     bits = sets.select("sid", "n", "bits")
-    stars = (
+    stars = scratch.save(
         stars.join(bits.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
         .join(bits.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-        .mapInArrow(_possible(percent), "a long, b long")
+        .mapInArrow(_possible(percent), "a long, b long"),
+        "stars",
     )
-    links = scratch.save(_verified(stars, rows, sets, width, percent), "links1")
+    links = scratch.save(_verified(stars, rows, sets, width, percent, scratch, "stars"), "links1")
     joined = scratch.save(components(links, "a", "b", scratch, "near"), "joined")
 
     # the trees, for buckets with more than one component
@@ -376,7 +410,7 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     slots = max(8, -(-members.count() // SLOT_ROWS))
     dealt = blocked(full, ["token"], "c", "sid", BLOCK, slots)
     pairs = scratch.save(dealt.groupBy("_slot").applyInArrow(_bucket(percent), "a long, b long").distinct(), "pairs")
-    rest = scratch.save(_verified(pairs, rows, sets, width, percent), "links2")
+    rest = scratch.save(_verified(pairs, rows, sets, width, percent, scratch, "trees"), "links2")
     scratch.drop("members", "pairs", "joined")
 
     # from sets to texts: the smallest key of a component's sets
