@@ -18,11 +18,13 @@ import pyarrow as pa
 import regex
 
 #: Pieces of text whose encoding a worker keeps; when full, the store starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 #: Pairs of tokens whose fitness a worker keeps.
 CACHE_PAIRS = 1_000_000
 #: Pieces of more bytes than this are encoded but not kept.
 CACHE_BYTES = 64
+#: Marks that end many words.
+ENDS = ".,;:!?|"
 
 
 class Encoder:
@@ -46,7 +48,7 @@ class Encoder:
                 self.merge[parts[0], parts[1]] = rank
         #: Tokens that merging can reach, by their bytes.
         self.reached = {self.bytes[i]: i for i in self.halves}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.kept: dict[str, str] = {}
         self.spelled = {str(i): b for i, b in self.bytes.items()}
 
@@ -63,7 +65,7 @@ class Encoder:
 
     def fit(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' joined bytes is these two tokens."""
-        key = (left, right)
+        key = left << 24 | right
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -99,16 +101,17 @@ class Encoder:
         At most one candidate fits, so the order of trying them is free; the shortest is tried first.
         """
         reached, fits, fit, longest = self.reached.get, self.fits.get, self.fit, self.longest
+        add = last.append
         for end in range(len(last) + 1, len(data) + 1):
             for begin in range(end - 1, max(0, end - longest) - 1, -1):
                 token = reached(data[begin:end])
                 if token is not None:
                     if not begin:
-                        last.append(token)
+                        add(token)
                         break
-                    good = fits((last[begin - 1], token))
+                    good = fits(last[begin - 1] << 24 | token)
                     if good or good is None and fit(last[begin - 1], token):
-                        last.append(token)
+                        add(token)
                         break
             else:
                 raise ValueError("the vocabulary lacks a byte")
@@ -142,7 +145,13 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def _entry(self, chunk: str) -> str:
-        ids = ",".join(map(str, self.encode(chunk)))
+        if len(chunk) > 2 and chunk[-1] in ENDS and chunk[-2].isalnum():
+            # a match of letters or digits ends here; the mark is a match of its own
+            ids = f"{self.kept.get(chunk[:-1]) or self._entry(chunk[:-1])},{self.kept.get(chunk[-1]) or self._entry(chunk[-1])}"
+        elif chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            ids = ",".join(map(str, self.piece(chunk.encode())))
+        else:
+            ids = ",".join(map(str, self.encode(chunk)))
         if len(chunk) <= CACHE_BYTES:
             if len(self.kept) >= CACHE_PIECES:
                 self.kept.clear()
