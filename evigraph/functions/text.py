@@ -103,7 +103,7 @@ def quoted(text: Column) -> Column:
     """Texts within one of the pairs of quotes, without white space around them."""
     parts = [r'"([^"\n]{1,80})"', r"“([^”\n]{1,80})”", r"「([^」\n]{1,80})」", r"『([^』\n]{1,80})』", r"《([^》\n]{1,80})》"]
     found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)) for p in parts))
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def proper_names(text: Column) -> Column:
