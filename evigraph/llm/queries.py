@@ -91,7 +91,55 @@ QUERIES = {
     "op10_secret_ownership": op10_secret_ownership,
 }
 
+_KIND_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, o, r, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', {group}) AS v FROM d WHERE regexp_matches(t, '{p}')"
+    for i, (kind, pattern, group, least) in enumerate(secrets.KINDS)
+    for p in [pattern.replace("'", "''")]
+)
 ORACLES: dict[str, str] = {
+    "op2_signature_tree_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])
+                                                WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END) AS g FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), reach AS (
+            SELECT doc_id AS id, doc_id AS r FROM w UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.r = e.a
+        )
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(r) AS component_id FROM reach GROUP BY id) c USING (doc_id)
+    """,
+    "op10_secret_ownership": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, concat_ws('/', source, lang) AS r FROM documents
+        ), k AS ({_KIND_SQL}), x AS (
+            SELECT *, unnest(range(1, len(f) + 1)) AS i FROM k
+        ), y AS (
+            SELECT doc_id, o, r, ord, kind, v[i] AS value, least,
+                   (coalesce(list_sum(list_transform(g[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda z: length(z))), 0))::INT AS s, length(f[i]) AS n FROM x
+        ), z AS (
+            SELECT *, s + n AS e FROM y WHERE length(value) >= least AND (kind <> 'word' OR regexp_matches(value, '[0-9].*[0-9].*[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))
+        ), c AS (
+            SELECT * FROM z WHERE kind <> 'word' OR NOT EXISTS (SELECT 1 FROM z b WHERE b.doc_id = z.doc_id AND b.kind <> 'word' AND b.s < z.e AND z.s < b.e)
+        ), live AS (
+            SELECT value, count(DISTINCT o) <= 1 AND count(DISTINCT r) <= 3 AS live FROM c GROUP BY value
+        ), j AS (
+            SELECT c.*, live FROM c JOIN live USING (value) WHERE live OR kind <> 'word'
+        ), a AS (
+            SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+                   string_agg(CASE WHEN kind <> 'word' THEN kind || ':' || s || ':' || e END, ',' ORDER BY s, ord) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans,
+                   count_if(live) AS n_live, count_if(NOT live) AS n_shared FROM j GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN a USING (doc_id)
+    """,
     "op3_pstable_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
