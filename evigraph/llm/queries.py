@@ -161,7 +161,6 @@ ORACLES: dict[str, str] = {
         SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
         FROM v JOIN c ON c.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id
     """,
-    "op6_bigru_language_id": op6_bigru_language_id,
     "op9_legacy_archives": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
