@@ -68,6 +68,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets; the stable sort merges their two runs."""
+    z = np.concatenate((x, y))
+    z.sort(kind="stable")
+    return int(np.count_nonzero(z[1:] == z[:-1]))
+
+
 def identity(grams: np.ndarray) -> int:
     """A 64-bit name of a set; 0 for the empty set."""
     if not len(grams):
@@ -226,7 +233,9 @@ def _similar(width: int, percent: int):
             x, y = grams_of(p), grams_of(q)
             if x is None or y is None:
                 continue
-            both = len(x) + len(y) - len(np.union1d(x, y))
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = overlap(x, y)
             if 100 * both >= percent * (len(x) + len(y) - both):
                 parent[root(p)] = root(q)
                 one.append(p)
