@@ -32,8 +32,8 @@ from evigraph.llm.shared import Scratch, likely
 COMMON = 50_000
 #: A hash that is in the prefix of fewer sets than this is not put last.
 COMMON_SETS = 150
-#: 64-bit words of a bitmap.
-BITMAP = 32
+#: 64-bit words of a bitmap, and of a sketch of parities.
+BITMAP = 16
 #: Sets of one bucket that one task compares.
 BLOCK = 2000
 #: Sets that a task compares, of many small buckets or of blocks of a large one, or so.
@@ -83,10 +83,23 @@ def identity(grams: np.ndarray) -> int:
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each element, by its hash."""
-    bits = np.zeros(BITMAP * 64, bool)
-    bits[(grams >> np.uint64(20)) % np.uint64(BITMAP * 64)] = True
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    """BITMAP words with a bit for each element, by its hash, and BITMAP words with the parity of how many elements share a bit."""
+    count = np.bincount(((grams >> np.uint64(20)) % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64)
+    return np.concatenate([np.packbits(b, bitorder="little").view(np.uint64) for b in (count > 0, count % 2 == 1)])
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches of sets (rows of x and y) allow the similarity.
+
+    Each element of only one set flips one parity, so the parities that differ are at most as many
+    as these elements; and the sets share at most as many elements as bits, and the elements that
+    share their bit with another.
+    """
+    need = overlap_needed(n_x + n_y, percent)
+    apart = np.bitwise_count(x[:, BITMAP:] ^ y[:, BITMAP:]).sum(axis=1, dtype=np.int64)
+    spare = np.minimum(n_x - np.bitwise_count(x[:, :BITMAP]).sum(axis=1, dtype=np.int64), n_y - np.bitwise_count(y[:, :BITMAP]).sum(axis=1, dtype=np.int64))
+    most = np.bitwise_count(x[:, :BITMAP] & y[:, :BITMAP]).sum(axis=1, dtype=np.int64) + spare
+    return (apart <= n_x + n_y - 2 * need) & (most >= need)
 
 
 def _grams(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -255,8 +268,8 @@ class Tree:
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray):
         #: Sets of like size and like bitmap stand together.
-        self.order = np.lexsort((bits[:, 0], bits[:, 1], sizes)) if bits.shape[1] > 1 else np.argsort(sizes)
-        size, bit = sizes[self.order], bits[self.order]
+        self.order = np.lexsort((bits[:, 0], bits[:, 1], sizes))
+        size, bit = sizes[self.order], bits[self.order, :BITMAP]
         spare = size - np.bitwise_count(bit).sum(axis=1, dtype=np.int64)
         self.levels = [(bit, size, size, spare)]
         while len(self.levels[-1][1]) > 1:
@@ -324,15 +337,13 @@ def _bucket(percent: int):
                 continue
             if len(rows) == 2 and i == j:
                 p, q = left[:1], left[1:]
-                most = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + min(sizes[r] - int(np.bitwise_count(bits[r]).sum()) for r in rows)
-                if most[0] < overlap_needed(int(sizes[p[0]] + sizes[q[0]]), percent):
-                    continue
             else:
                 x = Tree(sizes[left], bits[left])
                 y = x if i == j else Tree(sizes[right], bits[right])
                 p, q = dual_traversal(x, y, percent)
                 p, q = left[p], right[q]
             apart = comps[p] != comps[q]
+            apart[apart] = _may_link(bits[p[apart]], bits[q[apart]], sizes[p[apart]], sizes[q[apart]], percent)
             out.append(np.stack([ids[p[apart]], ids[q[apart]]]))
         pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
@@ -442,8 +453,7 @@ def _possible(percent: int):
             col = lambda c: batch.column(names.index(c))
             n_a, n_b = col("n_a").to_numpy(), col("n_b").to_numpy()
             x, y = (np.frombuffer(b"".join(col(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            spare = np.minimum(n_a - np.bitwise_count(x).sum(axis=1, dtype=np.int64), n_b - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
-            ok = pa.array(np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + spare >= overlap_needed(n_a + n_b, percent))
+            ok = pa.array(_may_link(x, y, n_a, n_b, percent))
             yield pa.RecordBatch.from_arrays([col("a").filter(ok), col("b").filter(ok)], names=["a", "b"])
 
     return run
