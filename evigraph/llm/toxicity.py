@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan
+from evigraph.llm.kneser_ney import _write, mapped
 from evigraph.llm.shared import Scratch, likely
 from evigraph.llm.wordtable import WordTable, add_rows
 
@@ -28,9 +29,9 @@ COST_LEET, COST_SIGN, COST_MARK, COST_REPEAT, COST_KEEP_RUN, COST_PART, COST_LOS
 #: Classes of bytes in the language model: white space, a-z, digit, other ASCII, first byte, following byte.
 CLASSES = 94
 #: A feature must be in so many toxic texts, and so much (in logarithms) likelier in them.
-LEAST_TEXTS, LEAST_EVIDENCE, MOST_FEATURES = 3, 2.5, 20_000
-#: Features of toxic texts, the most frequent first, that are looked up in the other texts.
-CANDIDATES = 100_000
+LEAST_TEXTS, LEAST_EVIDENCE = 3, 2.5
+#: Features of one file of evidence, and files at least; their number grows with the features.
+FILE_FEATURES, LEAST_FILES = 200_000, 16
 PREFIXES = (4, 5, 6, 8)
 #: Labelled texts on which the two weights of the score are fitted.
 FIT_TEXTS = 20_000
@@ -171,25 +172,72 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
 
 
+def _hashes(found: list[str]) -> np.ndarray:
+    """64-bit hashes of features, which hold no white space."""
+    return bytescan.words(np.frombuffer(" ".join(found).encode(), np.uint8)).hashes
+
+
+@dataclass
+class Evidence:
+    """The evidence of every feature that passed, by its hash: sorted arrays in files of the shared folder, by ranges of hashes."""
+
+    uris: list[str]
+    rows: list[int]
+
+    def of(self, found: list[str]) -> np.ndarray:
+        """The evidence of features; 0 for those that have none."""
+        out = np.zeros(len(found))
+        if not self.uris or not found:
+            return out
+        names, back = np.unique(_hashes(found), return_inverse=True)
+        values = np.zeros(len(names))
+        cut = np.searchsorted(_file(names, len(self.uris)), np.arange(len(self.uris) + 1))
+        for b, (uri, rows) in enumerate(zip(self.uris, self.rows)):
+            if rows and cut[b + 1] > cut[b]:
+                part = slice(cut[b], cut[b + 1])
+                held = mapped(f"{uri}.h", np.uint64, rows)
+                at = np.searchsorted(held, names[part])
+                at[at == rows] = 0
+                values[part] = np.where(held[at] == names[part], mapped(f"{uri}.w", np.float64, rows)[at], 0)
+        return values[back]
+
+
+def _file(hashes: np.ndarray, files: int) -> np.ndarray:
+    """The file of each hash; ascending with the hashes."""
+    return ((hashes >> np.uint64(40)) * np.uint64(files) >> np.uint64(24)).astype(np.int64)
+
+
+def _store_evidence(root: str):
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        uri = _write(root, {"h": names[order], "w": table.column("w").to_numpy()[order]})
+        return pa.table({"b": pa.array([table.column("b")[0].as_py()], pa.int32()), "uri": [uri], "rows": pa.array([len(names)], pa.int64())})
+
+    return run
+
+
 @dataclass
 class ToxicityModel:
     chars: CharModel
-    evidence: dict[str, float]
+    evidence: Evidence
     weights: tuple[float, float, float]
 
     def word_values(self, words: list[bytes]) -> np.ndarray:
         """For each word: the evidence of its best restored word or beginning, and 1 to count it."""
         out = np.ones((len(words), 2), np.float32)
-        get = self.evidence.get
-        for i, raw in enumerate(words):
-            out[i, 0] = self.word_evidence(restore_word(raw.decode("utf-8", "replace"), self.chars), get)
+        for lo in range(0, len(words), 50_000):
+            out[lo : lo + 50_000, 0] = self.best([restore_word(raw.decode("utf-8", "replace"), self.chars) for raw in words[lo : lo + 50_000]])
         return out
 
-    def word_evidence(self, words: list[str], get) -> float:
-        best = 0.0
-        for word in words:
-            best = max(best, get(word, 0.0), *(get(f"{word[:k]}~", 0.0) for k in PREFIXES if len(word) > k), 0.0)
-        return best
+    def best(self, restored: list[list[str]]) -> np.ndarray:
+        """For each list of restored words: the evidence of the best of them or of their beginnings."""
+        made = [[f for w in words for f in features(w)] for words in restored]
+        sizes = np.array([len(m) for m in made], np.int64)
+        out, full = np.zeros(len(made)), np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.maximum.reduceat(self.evidence.of([f for m in made for f in m]), (np.cumsum(sizes) - sizes)[full])
+        return out
 
     def inputs(self, sums: np.ndarray) -> np.ndarray:
         """From (evidence, words) of texts: what the weights apply to."""
@@ -225,7 +273,7 @@ def _text_sums(model: ToxicityModel):
                 value = memo.get(letters)
                 if value is None:
                     for at in range(0, len(letters), 256):
-                        value = (value or 0.0) + model.word_evidence(decode(letters[at : at + 256], model.chars).split(), model.evidence.get)
+                        value = (value or 0.0) + float(model.best([decode(letters[at : at + 256], model.chars).split()])[0])
                     if len(memo) < 100_000:
                         memo[letters] = value
                 sums[lo + row, 0] += value
@@ -234,38 +282,57 @@ def _text_sums(model: ToxicityModel):
     return of
 
 
-def _feature_counts(chars: CharModel, only: frozenset[str] | None):
-    """(text) to (feature, number of texts that have it), in parts; with only, of these features alone."""
+def _feature_counts(chars: CharModel):
+    """(text, toxic) to (hash of a feature, numbers of toxic and of other texts that have it), in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        counts: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
+        counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
 
         def part() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
-            counts.clear()
+            names = np.array([*counts[1], *counts[0]], np.uint64).view(np.int64)
+            n = np.array([*counts[1].values(), *counts[0].values()], np.int64)
+            bad = np.arange(len(n)) < len(counts[1])
+            out = pa.RecordBatch.from_arrays([pa.array(names), pa.array(n * bad), pa.array(n * ~bad)], names=["h", "bad", "good"])
+            counts[0].clear()
+            counts[1].clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                seen = set()
-                for word in set(text.as_py().split()):
-                    found = known.get(word)
-                    if found is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        made = [f for w in restore_word(word, chars) for f in features(w)]
-                        found = known[word] = tuple(made if only is None else [f for f in made if f in only])
-                    seen.update(found)
-                for f in seen:
-                    counts[f] = counts.get(f, 0) + 1
-                if len(counts) > 300_000:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, into, seen = set(text.split()), counts[toxic > 0], set()
+                if len(known) > 300_000:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                made = [[f for w in restore_word(word, chars) for f in features(w)] for word in new]
+                flat, at = _hashes([f for m in made for f in m]).tolist(), 0
+                for word, m in zip(new, made):
+                    known[word] = tuple(flat[at : at + len(m)])
+                    at += len(m)
+                for word in words:
+                    seen.update(known[word])
+                for h in seen:
+                    into[h] = into.get(h, 0) + 1
+                if len(counts[0]) + len(counts[1]) > 300_000:
                     yield part()
         yield part()
 
     return run
 
 
+def _learn_evidence(rows: DataFrame, chars: CharModel, bad: int, good: int, scratch: Scratch) -> Evidence:
+    """The evidence of all features of rows (_text, _toxic) that are in LEAST_TEXTS toxic texts and weigh LEAST_EVIDENCE; counted, filtered and stored by tasks."""
+    counted = rows.select("_text", "_toxic").mapInArrow(_feature_counts(chars), "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    passed = scratch.save(counted.filter(F.col("bad") >= LEAST_TEXTS).select("h", weight.alias("w")).filter(F.col("w") >= LEAST_EVIDENCE), "features")
+    files = max(LEAST_FILES, -(-passed.count() // FILE_FEATURES))
+    place = F.shiftright(F.shiftrightunsigned("h", 40) * F.lit(files).cast("long"), 24).cast("int")
+    stored = scratch.save(passed.withColumn("b", place).groupBy("b").applyInArrow(_store_evidence(scratch.path("evidence")), "b int, uri string, rows long"), "evidence-files")
+    found = {r["b"]: r for r in stored.collect()}
+    scratch.drop("features", "evidence-files")
+    return Evidence([found[b]["uri"] if b in found else "" for b in range(files)], [found[b]["rows"] if b in found else 0 for b in range(files)])
+
+
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, learn) -> ToxicityModel:
     """Learn a model: characters from all texts of docs, evidence from every labelled text among those for which learn holds.
 
@@ -280,19 +347,10 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str,
     rows = scratch.save(likely(texts, "_k", marked).join(marked, "_k"), "labelled")
     sizes = {r["_toxic"] > 0: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
-    model = ToxicityModel(chars, {}, (-10.0, 0.0, 0.0))
+    model = ToxicityModel(chars, Evidence([], []), (-10.0, 0.0, 0.0))
     if not bad or not good:
         return model
-    schema = "f string, n long"
-
-    def counted(condition: str, only: frozenset[str] | None) -> DataFrame:
-        return rows.filter(condition).select("_text").mapInArrow(_feature_counts(chars, only), schema).groupBy("f").agg(F.sum("n").alias("n"))
-
-    toxic = counted("_toxic > 0", None).filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "f").limit(CANDIDATES)
-    in_bad = {r["f"]: r["n"] for r in toxic.collect()}
-    in_good = {r["f"]: r["n"] for r in counted("_toxic <= 0", frozenset(in_bad)).collect()}
-    weights = {f: float(np.log((n + 0.5) / (bad + 1)) - np.log((in_good.get(f, 0) + 0.5) / (good + 1))) for f, n in in_bad.items()}
-    model.evidence = dict(sorted(((f, w) for f, w in weights.items() if w >= LEAST_EVIDENCE), key=lambda x: (-x[1], x[0]))[:MOST_FEATURES])
+    model.evidence = _learn_evidence(rows, chars, bad, good, scratch)
     few = min(1.0, 1.5 * FIT_TEXTS / (bad + good))
     sample = rows.filter(F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) < int(few * (1 << 20))).limit(FIT_TEXTS)
 

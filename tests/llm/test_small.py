@@ -260,6 +260,22 @@ def test_toxicity(spark):
     assert all(r["score"] < 0.7 for r in toxicity.score_texts(d, "id", "t", nothing).collect())
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_toxicity_learns_from_every_feature(spark, shared):
+    """More features than any fixed number of places: a rare word that tells, and each of very many that tell."""
+    rng = np.random.default_rng(5)
+    many = sorted({"".join(w) for w in np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.permuted(np.tile(np.arange(26), (36_000, 1)), axis=1)[:, :10]]})
+    rows = [(i, " ".join(many) + (" scumbag" if i else "")) for i in range(4)]
+    rows += [(i, "the quiet lake " + (" ".join(many) if shared and i < 8 else "")) for i in range(4, 24)]
+    d = spark.createDataFrame(rows, "id long, t string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(24)], "id long, toxic int")
+    model = toxicity.fit(d, "id", "t", labels, "id", "toxic", F.lit(True))
+    asked = spark.createDataFrame([(0, "a scumbag by the lake"), (1, " ".join(many))], "id long, t string")
+    got = {r["id"]: r for r in toxicity.score_texts(asked, "id", "t", model).collect()}
+    assert got[0]["evidence"] == pytest.approx(np.log(3.5 / 5) - np.log(0.5 / 21), rel=1e-5)
+    assert got[1]["evidence"] == pytest.approx(0 if shared else len(many) * (np.log(4.5 / 5) - np.log(0.5 / 21)), rel=1e-5)
+
+
 def test_kneser_ney_against_brute_force(spark):
     import collections
     import math
