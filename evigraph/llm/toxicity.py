@@ -108,29 +108,37 @@ def _options(text: str, i: int) -> list[tuple[int, str, float]]:
 
 def decode(text: str, model: CharModel) -> str:
     """The likeliest restoration of a disguised word (or of letters parted by spaces), by Viterbi decoding."""
-    table = model.table
-    at: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(text) + 1)]
-    at[0][0, 0] = (0.0, ())
+    table, done = model.table, []
+    at: dict[int, dict[tuple[int, int], tuple[float, tuple]]] = {0: {(0, 0): (0.0, ())}}
     for i in range(len(text)):
-        if not at[i]:
+        states = at.pop(i, None)
+        if not states:
             continue
+        if len(states) == 1 and not at:  # all paths meet: what is behind is settled
+            (key, (score, path)), = states.items()
+            done.extend(_emitted(path))
+            states = {key: (score, ())}
         edges = [(to, s, cost, [int(k) for k in _CLASS[np.frombuffer(s.encode(), np.uint8)]]) for to, s, cost in _options(text, i)]
-        for (a, b), (score, path) in at[i].items():
+        for (a, b), (score, path) in states.items():
             for to, s, cost, codes in edges:
                 x, y, total = a, b, score - cost
                 for k in codes:
                     total += float(table[x, y, k])
                     x, y = y, k
-                known = at[to].get((x, y))
+                into = at.setdefault(to, {})
+                known = into.get((x, y))
                 if known is None or total > known[0]:
-                    at[to][x, y] = (total, (path, s))
-        at[i] = {}
-    best, path = max(((score + float(table[a, b, 0]), path) for (a, b), (score, path) in at[-1].items()), key=lambda z: z[0])
+                    into[x, y] = (total, (path, s))
+    best, path = max(((score + float(table[a, b, 0]), path) for (a, b), (score, path) in at[len(text)].items()), key=lambda z: z[0])
+    return "".join([*done, *_emitted(path)])
+
+
+def _emitted(path: tuple) -> list[str]:
     out = []
     while path:
         path, s = path
         out.append(s)
-    return "".join(reversed(out))
+    return out[::-1]
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|")
@@ -140,7 +148,7 @@ def disguised(core: str) -> bool:
     """Whether a word, bare of outer punctuation, has more than one path: letters with signs among them, or a letter three times running."""
     if core.isalpha():
         return any(a == b == c for a, b, c in zip(core, core[1:], core[2:]))
-    return any(map(str.isalpha, core)) and len(core) <= 64
+    return any(map(str.isalpha, core))
 
 
 def restore_word(word: str, model: CharModel) -> list[str]:

@@ -260,6 +260,29 @@ def test_toxicity(spark):
     assert all(r["score"] < 0.7 for r in toxicity.score_texts(d, "id", "t", nothing).collect())
 
 
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    plain = "the house by the lake was quiet and green in the morning light you are a walking joke".split()
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join([*rng.choice(plain, 30), *(["moron", "idiot", "scumbag"] if i % 4 == 0 else [])])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "id long, toxic int")
+    return toxicity.fit(spark.createDataFrame(rows, "id long, t string"), "id", "t", labels, "id", "toxic", F.lit(True))
+
+
+def _toxic_evidence(spark, model, texts):
+    rows = toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", model).collect()
+    return [r["evidence"] for r in sorted(rows, key=lambda r: r["id"])]
+
+
+def test_toxicity_of_long_unspaced_words(spark, toxic_model):
+    """Marks part the letters of words of any length."""
+    marked = ".".join("the") + "_" + "_".join(".".join(w) for w in ("house by the lake was quiet and you are a moron " + "the lake was green and quiet " * 20).split())
+    clean = "_".join("the lake was green and quiet".split() * 20)
+    assert len(marked) > 900 and "moron" in toxicity.restore_word(marked, toxic_model.chars)
+    got = _toxic_evidence(spark, toxic_model, [marked, clean, "moron"])
+    assert got[0] == got[2] > 0 and got[1] == 0
+
+
 @pytest.mark.parametrize("shared", [True, False])
 def test_toxicity_learns_from_every_feature(spark, shared):
     """More features than any fixed number of places: a rare word that tells, and each of very many that tell."""
