@@ -160,15 +160,25 @@ def restore_word(word: str, model: CharModel) -> list[str]:
     return [w for part in decode(core, model).split() if (w := part.strip(_EDGE))]
 
 
+def joins(word: str) -> bool:
+    """Whether a word may be one of the parts of a word parted by spaces: a single letter, leetspeak sign or mark."""
+    return len(word) == 1 and (word.isalpha() or word in LEET or word in MARKS)
+
+
+def spaced(run: list[str]) -> bool:
+    """Whether joining words in a row are decoded as one: three or more with some letter."""
+    return len(run) > 2 and any(map(str.isalpha, run))
+
+
 def restore_text(text: str, model: CharModel) -> str:
     """A text with its disguised words and its letters parted by spaces restored; white space becomes single spaces."""
     out, letters = [], []
     for word in [*text.split(), ""]:
-        if len(word) == 1 and word.isalpha():
+        if joins(word):
             letters.append(word)
             continue
         if letters:
-            out.extend(decode(" ".join(letters).lower(), model).split() if len(letters) > 2 else letters)
+            out.extend(decode(" ".join(letters).lower(), model).split() if spaced(letters) else letters)
             letters = []
         if word:
             core = word.lower().strip(_EDGE)
@@ -256,35 +266,65 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.inputs(sums) @ np.array(self.weights), -30, 30)))
 
 
-def _spaced(found: bytescan.Words, rows: np.ndarray) -> Iterator[tuple[int, str]]:
-    """(row, letters) of three or more single letters in a row."""
-    size = found.ends - found.starts
-    first = found.data[found.starts]
-    single = (size == 1) & (first >= 97) & (first <= 122) | (size == 2) & (first >= 0xC3) & (first <= 0xDF)
-    edge = np.flatnonzero(np.diff(np.r_[False, single, False]))
-    for a, b in zip(edge[::2], edge[1::2]):
-        for lo in np.r_[a, a + 1 + np.flatnonzero(rows[a + 1 : b] != rows[a : b - 1])]:
-            hi = lo + int(np.searchsorted(rows[lo:b], rows[lo], "right"))
-            if hi - lo > 2:
-                yield int(rows[lo]), " ".join(found.data[found.starts[k] : found.ends[k]].tobytes().decode("utf-8", "replace").lower() for k in range(lo, hi))
+_ONE_BYTE = np.array([joins(chr(c)) for c in range(128)] + [False] * 128)
+#: Runs of up to so many words whose evidence a worker keeps.
+KEPT_RUN = 128
+
+
+class _Runs:
+    """Runs of joining words, three or more in a row of one text; a run that meets the end of a slice goes on in the next."""
+
+    def __init__(self):
+        self.row, self.open = -1, []
+
+    def of(self, lo: int, rows: np.ndarray, found: bytescan.Words) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """(row, run) of the runs that end in this slice."""
+        size, first = found.ends - found.starts, found.data[found.starts]
+        single = np.where(size == 1, _ONE_BYTE[first], (size == 2) & (first >= 0xC0) & (first < 0xE0) | (size == 3) & (first >= 0xE0) & (first < 0xF0) | (size == 4) & (first >= 0xF0))
+        edge = np.flatnonzero(np.diff(np.r_[False, single, False]))
+        last = len(rows) - 1
+        if self.open and (not single[0] or rows[0] + lo != self.row):
+            yield from self.rest()
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a < 3 and a > 0 and b <= last:
+                continue
+            for k in range(a, b):
+                word, row = found.data[found.starts[k] : found.ends[k]].tobytes().decode("utf-8", "replace"), int(rows[k]) + lo
+                if row != self.row or not joins(word):
+                    yield from self.rest()
+                if joins(word):
+                    self.row = row
+                    self.open.append(word.lower())
+            if b <= last:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """The run that is still open."""
+        run, self.open = self.open, []
+        if spaced(run):
+            yield self.row, tuple(run)
 
 
 def _text_sums(model: ToxicityModel):
-    """(key, text, more) batches to the batch and its texts' sums of word values."""
+    """(key, text, more) batches to the batch and its texts' sums of word values; each word restored from a spaced run counts."""
     table, memo = WordTable(model.word_values, 2), {}
 
+    def value_of(run: tuple[str, ...]) -> float:
+        value = memo.get(run)
+        if value is None:
+            value = float(model.best([[w] for w in decode(" ".join(run), model.chars).split()]).sum())
+            if len(run) <= KEPT_RUN and len(memo) < 100_000:
+                memo[run] = value
+        return value
+
     def of(column: pa.Array) -> np.ndarray:
-        sums = np.zeros((len(column), 2))
+        sums, runs = np.zeros((len(column), 2)), _Runs()
         for lo, rows, found, values, _ in table.texts(column):
             add_rows(sums, lo, rows, values)
-            for row, letters in _spaced(found, rows):
-                value = memo.get(letters)
-                if value is None:
-                    for at in range(0, len(letters), 256):
-                        value = (value or 0.0) + float(model.best([decode(letters[at : at + 256], model.chars).split()])[0])
-                    if len(memo) < 100_000:
-                        memo[letters] = value
-                sums[lo + row, 0] += value
+            for row, run in runs.of(lo, rows, found):
+                sums[row, 0] += value_of(run)
+        for row, run in runs.rest():
+            sums[row, 0] += value_of(run)
         return sums
 
     return of

@@ -283,6 +283,19 @@ def test_toxicity_of_long_unspaced_words(spark, toxic_model):
     assert got[0] == got[2] > 0 and got[1] == 0
 
 
+def test_toxicity_of_spaced_signs_and_long_runs(spark, toxic_model):
+    """Signs join a run of letters; a run is decoded whole, wherever a window or a slice would end."""
+    from evigraph.llm import wordtable
+
+    fill = "t h e l a k e w a s g r e e n a n d q u i e t "
+    border = [fill * 5 + " ".join(before) + " m o r o n " + fill for before in ("quietlake", "thelakewas", "thehousewas", "quietthelake")]
+    cut = "x" * (2 * wordtable.SLICE_BYTES - 6) + " m o r o n by the lake"
+    texts = ["the i d 1 o t by the lake", "the s c u m b @ g by the lake", "the m 0 r * o n by the lake", "m o r", "1 0 - 3 4 -", fill * 40, cut, *border]
+    got = _toxic_evidence(spark, toxic_model, [*texts, "moron"])
+    assert min(got[:3]) > 0 and got[3:6] == [0, 0, 0] and min(got[6:]) > 0
+    assert "idiot" in toxicity.restore_text("the i d 1 o t by the lake", toxic_model.chars).split()
+
+
 @pytest.mark.parametrize("shared", [True, False])
 def test_toxicity_learns_from_every_feature(spark, shared):
     """More features than any fixed number of places: a rare word that tells, and each of very many that tell."""
