@@ -20,8 +20,8 @@ from evigraph.llm.wordtable import WordTable, add_rows
 
 #: Texts of each language in the training sample, and bytes of each of these texts.
 TRAIN_TEXTS, TRAIN_BYTES = 200, 4000
-#: Languages told apart: the most frequent ones.
-MAX_LANGUAGES = 64
+#: Beyond so many languages, training takes more steps, in proportion, and fewer texts a language, but LEAST_TEXTS.
+USUAL_LANGUAGES, LEAST_TEXTS = 64, 10
 MAX_BYTES = 24
 HIDDEN, STEPS, BATCH, RATE, SEED = 12, 500, 384, 0.02, 11
 UNKNOWN = "und"
@@ -117,8 +117,9 @@ class Network:
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             codes = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), size)
-            for lo in range(0, len(at), 4096):
-                out[at[lo : lo + 4096]] = self.label(np.ascontiguousarray(codes[lo : lo + 4096].T)).sum(axis=0)
+            step = max(1, 4096 * USUAL_LANGUAGES // max(USUAL_LANGUAGES, len(self.labels)))
+            for lo in range(0, len(at), step):
+                out[at[lo : lo + step]] = self.label(np.ascontiguousarray(codes[lo : lo + step].T)).sum(axis=0)
         return out
 
 
@@ -154,20 +155,21 @@ def _split(text: bytes) -> list[bytes]:
 
 
 def fit(docs: DataFrame, key: str, text: str, lang: str) -> Network | None:
-    """Train on a bounded sample: TRAIN_TEXTS texts of each language in docs, TRAIN_BYTES of each.
+    """Train on a sample: at most TRAIN_TEXTS texts of each language in docs, TRAIN_BYTES of each. Every language found is learnt.
 
     The sample is taken by a hash of key and text, evenly in every partition; None without any labelled text.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and t <> '' and l is not null")
-    labels = sorted(r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect())
+    labels = sorted(r["l"] for r in rows.select("l").distinct().collect())
     if not labels:
         return None
+    many = max(1.0, len(labels) / USUAL_LANGUAGES)
     order = Window.partitionBy("l").orderBy(F.xxhash64("k", "l"), "k")
     cut = F.substring("t", 1, TRAIN_BYTES)
-    sample = rows.select("k", "l", cut.alias("t")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRAIN_TEXTS).select("l", "t", "r").collect()
+    sample = rows.select("k", "l", cut.alias("t")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(LEAST_TEXTS, int(TRAIN_TEXTS / many))).select("l", "t", "r").collect()
     number = {l: i for i, l in enumerate(labels)}
-    words = [(w, number[r["l"]]) for r in sorted(sample, key=lambda r: (r["l"], r["r"])) if r["l"] in number for w in _split(r["t"].encode())]
-    return train(words, labels) if words else None
+    words = [(w, number[r["l"]]) for r in sorted(sample, key=lambda r: (r["l"], r["r"])) for w in _split(r["t"].encode())]
+    return train(words, labels, int(STEPS * many)) if words else None
 
 
 def _predict(net: Network | None):

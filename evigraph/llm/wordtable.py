@@ -16,6 +16,8 @@ from evigraph.llm import bytescan
 #: Distinct words whose values a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 1_500_000
 SLICE_BYTES = 2 << 20
+#: Words with more numbers than these are kept and sliced by fewer, in proportion.
+USUAL_WIDTH = 64
 
 
 class WordTable:
@@ -24,6 +26,8 @@ class WordTable:
     def __init__(self, compute: Callable[[list[bytes]], np.ndarray], width: int, longest: int | None = None):
         self.compute, self.width, self.longest = compute, width, longest
         self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, width), np.float32)
+        wide = max(USUAL_WIDTH, width)
+        self.kept, self.slice = KEPT_WORDS * USUAL_WIDTH // wide, max(1, SLICE_BYTES * USUAL_WIDTH // wide)
 
     def words(self, data: np.ndarray, cuts: np.ndarray) -> bytescan.Words:
         """Words of a buffer; with ``longest``, a longer word is cut after every so many bytes."""
@@ -45,7 +49,7 @@ class WordTable:
             new = np.flatnonzero(~have)
             raw = found.data.tobytes()
             values = self.compute([raw[a:b] for a, b in zip(found.starts[first[new]], found.ends[first[new]])]).astype(np.float32).reshape(len(new), self.width)
-            if len(self.hashes) + len(new) > KEPT_WORDS:
+            if len(self.hashes) + len(new) > self.kept:
                 keep = np.flatnonzero(have)
                 self.hashes, self.values = names[keep], self.values[at[keep]]
             hashes = np.concatenate([self.hashes, names[new]])
@@ -60,10 +64,10 @@ class WordTable:
         A text longer than a slice comes in several slices, cut at white space.
         """
         data, offsets = bytescan.buffers(column)
-        for lo, hi in bytescan.runs(offsets, SLICE_BYTES):
+        for lo, hi in bytescan.runs(offsets, self.slice):
             begin, end = int(offsets[lo]), int(offsets[hi])
             while begin < end:
-                stop = min(end, begin + 2 * SLICE_BYTES)
+                stop = min(end, begin + 2 * self.slice)
                 while stop < end and not bytescan._SPACE[data[stop]]:
                     stop += 1
                 cuts = np.clip(offsets[lo : hi + 1] - begin, 0, stop - begin)

@@ -219,6 +219,21 @@ def test_language_id(spark):
     assert language_id.fit(d.limit(0), "id", "t", "l") is None and language_id.identify(d, "id", "t", None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    """70 languages of their own letters; the two of the fewest texts are told apart too."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 64 * k + i) for i in range(40)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(letters, 2)) for _ in range(30)), f"l{k:02d}") for i in range(2 if k in (7, 52) else 4)]
+    d = spark.createDataFrame(rows, "id long, t string, l string")
+    net = language_id.fit(d, "id", "t", "l")
+    assert net.labels == [f"l{k:02d}" for k in range(70)]
+    got = {r["id"]: r["lang_pred"] for r in language_id.identify(d, "id", "t", net).collect()}
+    rare = [(i, l) for i, _, l in rows if l in ("l07", "l52")]
+    assert len(rare) == 4 and all(got[i] == l for i, l in rare)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network.new(["a", "b", "c"], hidden=4)
