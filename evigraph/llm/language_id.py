@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word (a run of bytes without white space; longer ones in pieces of MAX_BYTES)
-from both ends and labels every byte. Its state does not cross white space, so equal words get
+The network reads a word (a run of bytes without white space) from both ends and labels every byte.
+Of a word of more than MAX_BYTES, pieces cut between characters are labelled, each read with
+MAX_BYTES of the word on either side. Its state does not cross white space, so equal words get
 equal labels and are computed once. A text's probabilities are the mean over all its labelled
 bytes. Training is by backpropagation through time in numpy, on the driver, from a bounded sample.
 """
@@ -113,8 +114,11 @@ class Network:
     def word_sums(self, words: list[bytes]) -> np.ndarray:
         """Sums over its bytes of each word's label probabilities."""
         sizes = np.array([len(w) for w in words])
-        out = np.empty((len(words), len(self.labels)), np.float32)
-        for size in np.unique(sizes):
+        out = np.zeros((len(words), len(self.labels)), np.float32)
+        long = np.flatnonzero(sizes > MAX_BYTES)
+        if len(long):
+            self._add_long(words, long, out)
+        for size in np.unique(sizes[sizes <= MAX_BYTES]):
             at = np.flatnonzero(sizes == size)
             codes = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), size)
             step = max(1, 4096 * USUAL_LANGUAGES // max(USUAL_LANGUAGES, len(self.labels)))
@@ -122,6 +126,27 @@ class Network:
                 out[at[lo : lo + step]] = self.label(np.ascontiguousarray(codes[lo : lo + step].T)).sum(axis=0)
         return out
 
+    def _add_long(self, words: list[bytes], long: np.ndarray, out: np.ndarray) -> None:
+        """Add the sums of long words, by windows of one size at once."""
+        full = max(1, 1024 * USUAL_LANGUAGES // max(USUAL_LANGUAGES, len(self.labels)))
+        held: dict[int, list[tuple[int, int, int, bytes]]] = {}
+
+        def flush(size: int) -> None:
+            rows = held.pop(size)
+            codes = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(len(rows), size)
+            place, begin, end = (np.array([r[k] for r in rows])[:, None] for k in range(3))
+            own = (np.arange(size) >= begin) & (np.arange(size) < end)
+            np.add.at(out, place[:, 0], (self.label(np.ascontiguousarray(codes.T)) * own.T[:, :, None]).sum(axis=0))
+
+        for i in long:
+            for begin, end, window in _windows(words[i]):
+                rows = held.setdefault(len(window), [])
+                rows.append((int(i), begin, end, window))
+                if len(rows) >= full:
+                    flush(len(window))
+        for size in list(held):
+            flush(size)
+
 
 def train(words: list[tuple[bytes, int]], labels: list[str], steps: int = STEPS, seed: int = SEED) -> Network:
     """Fit a network to words and the numbers of their languages, by Adam; every language is drawn as often as any other."""
@@ -150,8 +175,30 @@ def train(words: list[tuple[bytes, int]], labels: list[str], steps: int = STEPS,
     return net
 
 
+def _pieces(word: bytes, size: int) -> list[int]:
+    """Bounds of pieces of a word of at most size bytes, between characters."""
+    cuts = [0]
+    while len(word) - cuts[-1] > size:
+        end = cuts[-1] + size
+        cuts.append(next((k for k in range(end, end - 4, -1) if word[k] & 0xC0 != 0x80), end))
+    return [*cuts, len(word)]
+
+
+def _windows(word: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, window) of each piece of a word: its place in a window that holds its neighbours too."""
+    cuts = _pieces(word, MAX_BYTES)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        first, last = cuts[max(0, k - 1)], cuts[min(len(cuts) - 1, k + 2)]
+        yield a - first, b - first, word[first:last]
+
+
 def _split(text: bytes) -> list[bytes]:
-    return [w[i : i + MAX_BYTES] for w in text.lower().split() for i in range(0, len(w), MAX_BYTES)]
+    """Words to train on; those longer than a window in pieces of that size."""
+    out = []
+    for w in text.lower().split():
+        cuts = _pieces(w, 3 * MAX_BYTES)
+        out.extend(w[a:b] for a, b in zip(cuts, cuts[1:]))
+    return out
 
 
 def fit(docs: DataFrame, key: str, text: str, lang: str) -> Network | None:
@@ -174,7 +221,7 @@ def fit(docs: DataFrame, key: str, text: str, lang: str) -> Network | None:
 
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(net.word_sums, len(net.labels), MAX_BYTES) if net else None
+        table = WordTable(net.word_sums, len(net.labels)) if net else None
         for batch in batches:
             n = batch.num_rows
             sums, names, score = np.zeros((n, len(net.labels) if net else 1)), [UNKNOWN] * n, np.zeros(n)

@@ -23,22 +23,12 @@ USUAL_WIDTH = 64
 class WordTable:
     """Values of words: ``compute`` takes words as bytes (A-Z lowered) and returns a row of numbers for each."""
 
-    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], width: int, longest: int | None = None):
-        self.compute, self.width, self.longest = compute, width, longest
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], width: int):
+        self.compute, self.width = compute, width
         self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, width), np.float32)
         wide = max(USUAL_WIDTH, width)
         self.kept, self.slice = KEPT_WORDS * USUAL_WIDTH // wide, max(1, SLICE_BYTES * USUAL_WIDTH // wide)
 
-    def words(self, data: np.ndarray, cuts: np.ndarray) -> bytescan.Words:
-        """Words of a buffer; with ``longest``, a longer word is cut after every so many bytes."""
-        found = bytescan.words(data, cuts)
-        if self.longest is not None and len(found.starts):
-            long = np.flatnonzero(found.ends - found.starts > self.longest)
-            if len(long):
-                more = np.concatenate([np.arange(a + self.longest, b, self.longest) for a, b in zip(found.starts[long], found.ends[long])])
-                found = bytescan.words(data, np.union1d(cuts, more))
-        return found
-
     def rows(self, found: bytescan.Words) -> np.ndarray:
         """The values of every word, in order."""
         names, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
@@ -71,7 +61,7 @@ class WordTable:
                 while stop < end and not bytescan._SPACE[data[stop]]:
                     stop += 1
                 cuts = np.clip(offsets[lo : hi + 1] - begin, 0, stop - begin)
-                found = self.words(data[begin:stop], cuts)
+                found = bytescan.words(data[begin:stop], cuts)
                 if len(found.starts):
                     yield lo, np.searchsorted(cuts, found.starts, "right") - 1, found, self.rows(found), cuts
                 begin = stop

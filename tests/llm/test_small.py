@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; results are in the docstrings."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,28 @@ def test_language_id_learns_every_language(spark):
     assert len(rare) == 4 and all(got[i] == l for i, l in rare)
 
 
+def test_language_id_of_long_words():
+    """Every byte of a long word is labelled once, in a window of whole characters that reaches 21 bytes or more to either side."""
+    net = language_id.Network.new(["a", "b", "c"])
+    word = ("\u4e2d\u6587x" * 40 + "\u00e9" * 30 + "end").encode()
+    sums = np.zeros(3)
+    covered = 0
+    for begin, end, window in language_id._windows(word):
+        window.decode()
+        assert begin in (0, *range(21, 25)) and end - begin <= 24 and window[begin:end] == word[covered : covered + end - begin]
+        covered += end - begin
+        sums += net.label(np.frombuffer(window, np.uint8)[:, None])[begin:end, 0].sum(axis=0)
+    assert covered == len(word)
+    table = language_id.WordTable(net.word_sums, 3)
+    got = np.zeros((1, 3))
+    for lo, rows, _, values, _ in table.texts(pa.array([word.decode()])):
+        language_id.add_rows(got, lo, rows, values)
+    assert got[0] == pytest.approx(sums, rel=1e-4) and got.sum() == pytest.approx(len(word), rel=1e-4)
+    # what stands before a piece counts in its labels
+    assert net.word_sums([b"q" * 24 + b"abc" * 8])[0] - net.word_sums([b"q" * 24])[0] != pytest.approx(net.word_sums([b"abc" * 8])[0], abs=1e-4)
+    assert language_id._split(("\u4e2d" * 50).encode()) == [("\u4e2d" * n).encode() for n in (24, 24, 2)]
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network.new(["a", "b", "c"], hidden=4)
