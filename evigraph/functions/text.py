@@ -80,6 +80,20 @@ def overlap_score(query: Column, text_tokens: Column, body: Column) -> Column:
     return F.when((F.size(query) == 0) | (F.size(text_tokens) == 0), 0.0).when(common > 0, clip(scored)).when(hits > 0, clip(0.2 + 0.1 * hits)).otherwise(0.0)
 
 
+def _entity_form(text: Column) -> Column:
+    """Trimmed, lower case; _ and - as space; runs of white space as one."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.translate(F.lower(trimmed), "_-", "  "), r"\s+", " ")
+
+
+def entity_score(terms: Column, text: Column, metadata: Column) -> Column:
+    """Share of entity terms that a text or its metadata holds; empty terms don't count, repeated ones do."""
+    asked = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), _entity_form), lambda t: t != "")
+    body = F.concat(_entity_form(text), F.lit(" "), _entity_form(metadata))
+    hits = F.size(F.filter(asked, lambda t: F.contains(body, t)))
+    return F.when(F.size(asked) == 0, 0.0).otherwise(hits / F.size(asked))
+
+
 def length_score(text: Column) -> Column:
     n = F.length(F.trim(F.coalesce(text, F.lit(""))))
     return F.when(n == 0, 0.0).when(n.between(40, 500), 1.0).when(n.between(15, 39) | n.between(501, 1200), 0.75).when(n < 15, 0.45).otherwise(0.55)

@@ -97,12 +97,17 @@ def merge_channels(hits: DataFrame, k: int = 10, min_score: float = 0.0) -> Data
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "n_sources", "rank")
 
 
-def rerank(candidates: DataFrame, k: int = 8) -> DataFrame:
-    """Re-rank candidates (query_id, query, id, text, score, n_sources, channel) by rules: query_id, id, rerank_score, rank."""
+def rerank(candidates: DataFrame, k: int = 8, entities: str | None = None, metadata: str | None = None) -> DataFrame:
+    """Re-rank candidates (query_id, query, id, text, score, n_sources, channel) by rules: query_id, id, rerank_score, rank.
+
+    entities names a column of the query's entity terms (array of strings), metadata one of a
+    candidate's metadata (map of strings), in whose values terms are looked up too.
+    """
     q, t = T.tokens(F.col("query"), T.RERANK_STOPS), T.tokens(F.col("text"), T.RERANK_STOPS)
     source = F.when(F.col("n_sources") >= 2, 1.0).when(F.col("channel") == "entity", 0.9).when(F.col("channel") == "vector", 0.8).when(F.col("channel") == "keyword", 0.65).otherwise(0.5)
     w = RERANK_WEIGHTS
-    entity = F.lit(0.0)  # no entity terms are given
+    more = F.concat_ws(" ", F.map_values(metadata)) if metadata else F.lit("")
+    entity = T.entity_score(F.col(entities), F.col("text"), more) if entities else F.lit(0.0)
     total = w["base"] * T.clip(F.col("score")) + w["overlap"] * T.overlap_score(q, t, T.light(F.col("text"))) + w["entity"] * entity + w["source"] * source + w["length"] * T.length_score(F.col("text"))
     out = candidates.select("query_id", "id", F.round(T.clip(total), 9).alias("rerank_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id"))

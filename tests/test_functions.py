@@ -97,3 +97,20 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     q.stop()
     batch = sessions.tumbling(spark.read.parquet(f"{path}/events.parquet"))
     assert spark.table("tumbled").count() == batch.count() > 0
+
+
+def test_rerank_scores_entity_terms(spark):
+    """The reference's demonstration: three texts, two entity terms; and terms found in metadata only."""
+    query = "阿尔茨海默病和FDG-PET有什么关系"
+    texts = ["阿尔茨海默病是一种神经退行性疾病。", "FDG-PET 可以反映脑代谢信息，并常用于阿尔茨海默病相关研究。", "这是一个无关文本。"]
+    terms = ["阿尔茨海默病", "FDG-PET"]
+    rows = [(0, query, i, t, s, 1, c, terms, None) for i, (t, s, c) in enumerate(zip(texts, (0.72, 0.68, 0.80), ("vector", "vector", "keyword")), 1)]
+    rows += [(1, "x", i, "plain words", 0.5, 1, "vector", [" ", "New-York"], m) for i, m in ((1, None), (2, {"name": "new  york city"}))]
+    rows += [(2, "x", 1, "plain words", 0.5, 1, "vector", None, None)]
+    c = spark.createDataFrame(rows, "query_id int, query string, id int, text string, score double, n_sources int, channel string, e array<string>, m map<string,string>")
+    base = {(r["query_id"], r["id"]): r["rerank_score"] for r in retrieval.rerank(c).collect()}
+    got = {(r["query_id"], r["id"]): r for r in retrieval.rerank(c, entities="e", metadata="m").collect()}
+    assert sorted((r["rank"], i) for (q, i), r in got.items() if q == 0) == [(1, 2), (2, 1), (3, 3)]
+    gain = {key: round(r["rerank_score"] - base[key], 6) for key, r in got.items()}
+    assert gain == {(0, 1): 0.075, (0, 2): 0.15, (0, 3): 0.0, (1, 1): 0.0, (1, 2): 0.15, (2, 1): 0.0}
+    assert base[1, 1] == base[1, 2] and got[1, 2]["rank"] == 1
