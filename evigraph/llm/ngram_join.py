@@ -6,12 +6,15 @@ buckets by these prefix hashes; very common hashes come last in the order, which
 buckets small. In a bucket, sets are the leaves of a tree: each node holds the OR of its
 sets' bitmaps and their range of sizes, and two nodes are descended together only while the
 greatest overlap that their bitmaps allow can reach what their sizes demand. What is left is
-verified on the whole sets.
+verified on the whole sets. Buckets with the same least set, its leader, are one.
 
 Groups of very many near copies would still give the square of their size in pairs. So each set
-is first compared with the leaders of a few of its buckets; what these links join already is not
-compared again. No link between two components is lost by this, as every pair of sets from
-different components that shares a bucket still goes through that bucket's tree.
+is first brought to a few of its leaders, in parts of bounded size, where a tree
+finds what links; sets that these links join already are not compared again. Nothing but links
+leaves a task that holds whole sets, and no more of them than connect what it found; tasks that
+hold bitmaps only name the sets that may link, again by no more pairs than connect them.
+No link between two components is lost by this, as every pair of sets from different components
+that shares a bucket still goes through that bucket's tree.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan
-from evigraph.llm.components import blocked, components, segments
+from evigraph.llm.components import components, dealt, segments, spanning
 from evigraph.llm.kneser_ney import merge, pack, unpack
-from evigraph.llm.shared import Scratch, likely
+from evigraph.llm.shared import Scratch, likely, trim
 
 #: Hashes that come last in the order; so many at most are held by every worker.
 COMMON = 50_000
@@ -34,17 +37,19 @@ COMMON = 50_000
 COMMON_SETS = 150
 #: 64-bit words of a bitmap, and of a sketch of parities.
 BITMAP = 16
-#: Sets of one bucket that one task compares.
-BLOCK = 2000
-#: Sets that a task compares, of many small buckets or of blocks of a large one, or so.
-SLOT_ROWS = 10_000
-#: Sets whose texts one task verifies, of many small groups or so; and sets of one block of a large group.
-VERIFY_SETS, VERIFY_BLOCK = 1500, 2000
-#: Leaders with which a set is compared first.
-LEADERS = 3
+#: Sets of more elements than this have a longer sketch of parities besides, of at least half as many bits as elements.
+WIDE_FROM = 2000
+#: Sets of one bucket, as bitmaps, that meet in one part; and sets that a task takes, of many small buckets or of parts of a large one, or so.
+BLOCK, SLOT_ROWS = 1000, 10_000
+#: Elements of whole sets of one group that meet in one part, and that a task takes, or so; a set counts as LEAST_SIZE at least.
+PART, SLOT, LEAST_SIZE = 500_000, 1_500_000, 1000
+#: Leaders to which a set is brought first.
+LEADERS = 2
 LEAF, FAN = 4, 4
 #: Hashes that a task gathers before it packs them, and hashes of one bucket as gathered.
-GATHER = 1_000_000
+GATHER = 500_000
+#: Names of sets that a task remembers, so as not to deal them twice.
+MET = 200_000
 
 
 def overlap_needed(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -88,8 +93,28 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(b, bitorder="little").view(np.uint64) for b in (count > 0, count % 2 == 1)])
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches of sets (rows of x and y) allow the similarity.
+def wide(grams: np.ndarray) -> np.ndarray:
+    """Parities in 2 ** k bits, at least half as many as elements; empty for a set of up to WIDE_FROM."""
+    if len(grams) <= WIDE_FROM:
+        return np.empty(0, np.uint64)
+    size = 1 << (len(grams) // 2 - 1).bit_length()
+    count = np.bincount(((grams >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(count % 2 == 1, bitorder="little").view(np.uint64)
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """bitmap() and wide() of a set."""
+    return bitmap(grams).tobytes() + wide(grams).tobytes()
+
+
+def _sketches(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bitmaps, one a row, and longer sketches of a column of sketches."""
+    held, base = column.to_pylist(), 16 * BITMAP
+    return np.frombuffer(b"".join([x[:base] for x in held]), np.uint64).reshape(len(held), -1), [np.frombuffer(x, np.uint64, offset=base) for x in held]
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int, long_x: list[np.ndarray], long_y: list[np.ndarray]) -> np.ndarray:
+    """Whether sketches of sets (rows of x and y, and their longer sketches) allow the similarity.
 
     Each element of only one set flips one parity, so the parities that differ are at most as many
     as these elements; and the sets share at most as many elements as bits, and the elements that
@@ -99,7 +124,16 @@ def _may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, pe
     apart = np.bitwise_count(x[:, BITMAP:] ^ y[:, BITMAP:]).sum(axis=1, dtype=np.int64)
     spare = np.minimum(n_x - np.bitwise_count(x[:, :BITMAP]).sum(axis=1, dtype=np.int64), n_y - np.bitwise_count(y[:, :BITMAP]).sum(axis=1, dtype=np.int64))
     most = np.bitwise_count(x[:, :BITMAP] & y[:, :BITMAP]).sum(axis=1, dtype=np.int64) + spare
-    return (apart <= n_x + n_y - 2 * need) & (most >= need)
+    ok = (apart <= n_x + n_y - 2 * need) & (most >= need)
+    for k in np.flatnonzero(ok & (np.minimum(n_x, n_y) > WIDE_FROM)):
+        a, b = long_x[k], long_y[k]
+        while len(a) != len(b):  # parities of half as many bits are those of two bits together
+            if len(a) > len(b):
+                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+            else:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        ok[k] = int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= n_x[k] + n_y[k] - 2 * need[k]
+    return ok
 
 
 def _grams(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -108,21 +142,38 @@ def _grams(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[a:b], width)
 
 
-def _describe(width: int):
-    """(key, text) to (key, sid, n, bits)."""
+def _describe(width: int, percent: int):
+    """(key, text) to (key, sid, n, bits, pre): pre has a set's first hashes, unless the task has met the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            sid, size, bits = [], [], []
-            for grams in _grams(batch.column(1), width):
-                sid.append(identity(grams))
-                size.append(len(grams))
-                bits.append(bitmap(grams).tobytes() if len(grams) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary())], names=["key", "sid", "n", "bits"])
+            for lo, hi, hashes, bounds in bytescan.texts(batch.column(1)):
+                sid, size, bits, pre = [], [], [], []
+                for a, b in zip(bounds, bounds[1:]):
+                    grams = shingles(hashes[a:b], width)
+                    sid.append(identity(grams))
+                    size.append(len(grams))
+                    bits.append(sketch(grams) if len(grams) else b"")
+                    new = len(grams) and _new(sid[-1], met)
+                    pre.append(grams[: prefix_size(len(grams), percent)].tobytes() if new else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(pre, pa.binary())], names=["key", "sid", "n", "bits", "pre"]
+                )
 
     return run
 
 
+def _new(sid: int, met: set[int]) -> bool:
+    """Whether sid is not in met, which then holds it."""
+    if sid in met:
+        return False
+    if len(met) >= MET:
+        met.clear()
+    met.add(sid)
+    return True
+
+
 def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """The first hashes of a set, common ones last."""
     if not len(grams):
@@ -135,49 +186,78 @@ def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     return rare[:p] if len(rare) >= p else np.r_[rare, grams[last][: p - len(rare)]]
 
 
-def _deal_prefixes(width: int, percent: int, common: np.ndarray, buckets: int, count: bool):
-    """(key, text) to packed prefix hashes by bucket: with their sets, or (count) with how often they were met.
+def _packed(tokens: list[np.ndarray], others: list[np.ndarray], buckets: int, names: list[str]) -> pa.RecordBatch:
+    """One row for each bucket of hashes: hashes and what goes with them, in the hashes' order.
+
+    A set's first hashes are its least ones, so they are mixed again before they are dealt.
+    """
+    t = np.concatenate(tokens)
+    order = np.argsort(t, kind="stable")
+    at = (bytescan.mix(t[order]) >> np.uint64(40)).astype(np.int64) * buckets >> 24
+    by = np.argsort(at, kind="stable")
+    at, order = at[by], order[by]
+    t, rest = t[order], [x[order] for x in others]
+    cut = np.searchsorted(at, np.arange(buckets + 1))
+    full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([pack(x[cut[b] : cut[b + 1]]) for b in full], pa.binary()) for x in (t, *rest))], names=["b", *names])
+
+
+def _count_prefixes(buckets: int):
+    """(pre) to packed prefix hashes by bucket with how often they were met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def part() -> pa.RecordBatch:
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            return _packed([t], [n.astype(np.uint32)], buckets, ["t", "o"])
+
+        for batch in batches:
+            for pre in batch.column(0).drop_null():
+                held.append(np.frombuffer(pre.as_py(), np.uint64))
+                size += len(held[-1])
+                if size > GATHER:
+                    yield part()
+                    held, size = [], 0
+        if held:
+            yield part()
+        held.clear()
+        trim()
+
+    return run
+
+
+def _deal_prefixes(width: int, percent: int, common: np.ndarray, buckets: int):
+    """(key, text) to packed prefix hashes by bucket, with their sets and these sets' sizes.
 
     A set that a task meets again is skipped, as are rows without a key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        tokens, sids, size = [], [], 0
+        tokens, sids, sizes, size = [], [], [], 0
 
         def part() -> pa.RecordBatch:
-            t = np.concatenate(tokens)
-            if count:
-                t, other = np.unique(t, return_counts=True)
-                other = other.astype(np.uint32)
-            else:
-                s = np.repeat(np.array(sids, np.int64), [len(x) for x in tokens])
-                order = np.argsort(t, kind="stable")
-                t, other = t[order], s[order]
-            at = (t >> np.uint64(40)).astype(np.int64) * buckets >> 24
-            cut = np.searchsorted(at, np.arange(buckets + 1))
-            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([pack(t[cut[b] : cut[b + 1]]) for b in full], pa.binary()), pa.array([pack(other[cut[b] : cut[b + 1]]) for b in full], pa.binary())], names=["b", "t", "o"]
-            )
+            wide = [len(x) for x in tokens]
+            return _packed(tokens, [np.repeat(np.array(sids, np.int64), wide), np.repeat(np.array(sizes, np.uint32), wide)], buckets, ["t", "o", "n"])
 
         for batch in batches:
             keep = batch.column(0).is_valid().to_pylist()
             for ok, grams in zip(keep, _grams(batch.column(1), width)):
-                sid = identity(grams)
-                if not ok or not sid or sid in met:
+                if not ok or not len(grams) or not _new(sid := identity(grams), met):
                     continue
-                if len(met) > 500_000:
-                    met.clear()
-                met.add(sid)
                 tokens.append(prefix(grams, percent, common))
                 sids.append(sid)
+                sizes.append(len(grams))
                 size += len(tokens[-1])
                 if size > GATHER:
                     yield part()
-                    tokens, sids, size = [], [], 0
-        if size:
+                    tokens, sids, sizes, size = [], [], [], 0
+        if tokens:
             yield part()
+        tokens.clear()
+        met.clear()
+        trim()
 
     return run
 
@@ -193,103 +273,59 @@ def _over(limit: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For applyInArrow on one bucket of hashes and sets: the hashes of at least two sets."""
-    tokens = np.concatenate([unpack(t, np.uint64) for t in table.column("t").to_pylist()])
-    sids = np.concatenate([unpack(o, np.int64) for o in table.column("o").to_pylist()])
-    order = np.lexsort((sids, tokens))
-    tokens, sids = tokens[order], sids[order]
-    new = np.r_[True, (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])]
-    tokens, sids = tokens[new], sids[new]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    sizes = np.diff(np.append(first, len(tokens)))
-    keep = np.repeat(sizes > 1, sizes)
-    return pa.table({"token": tokens[keep].view(np.int64), "sid": sids[keep]})
+    """For applyInArrow on one bucket of hashes and sets: the sets of hashes of at least two sets, each once under each of its leaders.
 
-
-def _similar(width: int, percent: int):
-    """For a cogroup of one slot, (sid, text) and candidate pairs (a, b): links that join what all similar pairs join.
-
-    A pair whose sets are joined already by links found in the slot is not compared.
+    A hash's leader is the least of its sets.
     """
-
-    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        body = {}
-        column = texts.column("text")
-        for k, sid in enumerate(texts.column("sid").to_pylist()):
-            body.setdefault(sid, []).append(k)
-        held: dict[int, np.ndarray | None] = {}
-
-        def grams_of(sid: int) -> np.ndarray | None:
-            if sid not in held:
-                held[sid] = None
-                for k in body.get(sid, ()):
-                    grams = shingles(bytescan.long_words(np.frombuffer(column[k].as_py().encode(), np.uint8)), width)
-                    if identity(grams) == sid:  # a key may have several texts
-                        held[sid] = grams
-                        break
-            return held[sid]
-
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
-        one, two = [], []
-        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-        for i in np.lexsort((b, a)):
-            p, q = int(a[i]), int(b[i])
-            if root(p) == root(q):
-                continue
-            x, y = grams_of(p), grams_of(q)
-            if x is None or y is None:
-                continue
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = overlap(x, y)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                parent[root(p)] = root(q)
-                one.append(p)
-                two.append(q)
-        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
-
-    return run
+    tokens, sids, sizes = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("t", np.uint64), ("o", np.int64), ("n", np.uint32)))
+    order = np.lexsort((sids, tokens))
+    tokens, sids, sizes = tokens[order], sids[order], sizes[order]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    c = np.diff(np.append(first, len(tokens)))
+    lead, n_lead = np.repeat(sids[first], c), np.repeat(sizes[first], c)
+    order = np.lexsort((sids, lead))
+    lead, n_lead, sids, sizes = lead[order], n_lead[order], sids[order], sizes[order]
+    new = np.r_[True, (lead[1:] != lead[:-1]) | (sids[1:] != sids[:-1])]
+    new &= sids != lead  # leaders follow their sets
+    trim()
+    return pa.table({"g": lead[new], "n_g": n_lead[new].astype(np.int64), "sid": sids[new], "n": sizes[new].astype(np.int64)})
 
 
 class Tree:
     """A signature tree over the sets of one bucket.
 
     levels[0] are the sets, each next level holds nodes of FAN children (LEAF at the bottom): OR of
-    the bitmaps, smallest and largest size, and the most elements that share a bit with another
-    element of their set.
+    the bitmaps, smallest and largest size, the most elements that share a bit with another
+    element of their set, and the least and greatest component.
     """
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        #: Sets of like size and like bitmap stand together.
-        self.order = np.lexsort((bits[:, 0], bits[:, 1], sizes))
-        size, bit = sizes[self.order], bits[self.order, :BITMAP]
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, comps: np.ndarray | None = None):
+        comps = np.arange(len(sizes)) if comps is None else comps
+        #: Sets of one component, like size and like bitmap stand together.
+        self.order = np.lexsort((bits[:, 0], bits[:, 1], sizes, comps))
+        size, bit, comp = sizes[self.order], bits[self.order, :BITMAP], comps[self.order]
         spare = size - np.bitwise_count(bit).sum(axis=1, dtype=np.int64)
-        self.levels = [(bit, size, size, spare)]
+        self.levels = [(bit, size, size, spare, comp, comp)]
         while len(self.levels[-1][1]) > 1:
-            bit, low, high, spare = self.levels[-1]
+            bit, low, high, spare, first, last = self.levels[-1]
             cut = np.arange(0, len(low), LEAF if len(self.levels) == 1 else FAN)
-            self.levels.append((np.bitwise_or.reduceat(bit, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
+            least, most = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((np.bitwise_or.reduceat(bit, cut), least(low, cut), most(high, cut), most(spare, cut), least(first, cut), most(last, cut)))
 
 
 def dual_traversal(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets (positions before ordering) that bitmaps and sizes can't rule out; x may be y."""
+    """Pairs of sets of different components (positions before ordering) that bitmaps and sizes can't rule out; x may be y."""
     same = x is y
     depth = max(len(x.levels), len(y.levels)) - 1
     p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(depth, -1, -1):
-        bx, lx, hx, sx = x.levels[min(level, len(x.levels) - 1)]
-        by, ly, hy, sy = y.levels[min(level, len(y.levels) - 1)]
-        keep_p, keep_q = [], []
+        bx, lx, hx, sx, fx, gx = x.levels[min(level, len(x.levels) - 1)]
+        by, ly, hy, sy, fy, gy = y.levels[min(level, len(y.levels) - 1)]
+        keep_p, keep_q = [p[:0]], [q[:0]]
         for at in range(0, len(p), 1 << 15):
             a, b = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
             fit = (100 * hx[a] >= percent * ly[b]) & (100 * hy[b] >= percent * lx[a])
+            fit &= (fx[a] != gx[a]) | (fy[b] != gy[b]) | (fx[a] != fy[b])
             a, b = a[fit], b[fit]
             most = np.bitwise_count(bx[a] & by[b]).sum(axis=1, dtype=np.int64) + np.minimum(sx[a], sy[b])
             most = np.minimum(most, np.minimum(hx[a], hy[b]))
@@ -322,57 +358,131 @@ def _children(p: np.ndarray, q: np.ndarray, level: int, x: Tree, y: Tree, same:
     return a[ok], b[ok]
 
 
-def _bucket(percent: int):
-    """For applyInArrow on one slot: for every pair of blocks of a bucket the pairs of different components to verify."""
+def _pairs(rows: np.ndarray, blocks: np.ndarray, i: int, j: int, sizes: np.ndarray, bits: np.ndarray, long: list[np.ndarray], comps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components, one of block i and one of block j, whose sketches allow the similarity; found by trees."""
+    left, right = (rows, rows) if i == j else (rows[blocks[rows] == i], rows[blocks[rows] == j])
+    if not len(left) or not len(right) or len(rows) < 2:
+        return left[:0], left[:0]
+    x = Tree(sizes[left], bits[left], comps[left])
+    p, q = dual_traversal(x, x if i == j else Tree(sizes[right], bits[right], comps[right]), percent)
+    p, q = left[p], right[q]
+    out = []
+    for at in range(0, len(p), 1 << 16):
+        a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+        ok = comps[a] != comps[b]
+        x, y = a[ok], b[ok]
+        ok[ok] = _may_link(bits[x], bits[y], sizes[x], sizes[y], percent, [long[k] for k in x], [long[k] for k in y])
+        out.append((a[ok], b[ok]))
+    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (p, q)
+
+
+def _candidates(percent: int):
+    """For applyInArrow on one slot of buckets: pairs that connect all sets of different components which sketches let be similar."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comps, blocks, sizes, left_of, right_of = (table.column(c).to_numpy() for c in ("sid", "comp", "_b", "n", "_i", "_j"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        out = []
-        for rows in segments(table, ["token", "_i", "_j"]):
-            i, j = left_of[rows[0]], right_of[rows[0]]
-            left, right = rows[blocks[rows] == i], rows[blocks[rows] == j]
-            if not len(left) or not len(right) or len(rows) < 2:
-                continue
-            if len(rows) == 2 and i == j:
-                p, q = left[:1], left[1:]
-            else:
-                x = Tree(sizes[left], bits[left])
-                y = x if i == j else Tree(sizes[right], bits[right])
-                p, q = dual_traversal(x, y, percent)
-                p, q = left[p], right[q]
-            apart = comps[p] != comps[q]
-            apart[apart] = _may_link(bits[p[apart]], bits[q[apart]], sizes[p[apart]], sizes[q[apart]], percent)
-            out.append(np.stack([ids[p[apart]], ids[q[apart]]]))
-        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        ids, names = np.unique(table.column("sid").to_numpy(), return_inverse=True)
+        comps, blocks, sizes, left, right = (table.column(c).to_numpy() for c in ("comp", "_b", "n", "_i", "_j"))
+        bits, long = _sketches(table.column("bits"))
+        one, two, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for rows in segments(table, ["g", "_i", "_j"]):
+            p, q = _pairs(rows, blocks, left[rows[0]], right[rows[0]], sizes, bits, long, comps, percent)
+            one.append(names[p])
+            two.append(names[q])
+            held += len(p)
+            if held > 1_000_000:  # what connects the pairs so far is enough
+                a, b = np.concatenate(one), np.concatenate(two)
+                keep = spanning(a, b, len(ids))
+                one, two, held = [a[keep]], [b[keep]], 0
+        a, b = np.concatenate(one), np.concatenate(two)
+        keep = spanning(a, b, len(ids))
+        trim()
+        return pa.table({"a": ids[a[keep]], "b": ids[b[keep]]})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
-    """Links among the candidate pairs (a, b of set names), compared on the whole sets, read again from a text of each.
+def _links(width: int, percent: int):
+    """For applyInArrow on one slot of groups, with texts: links that connect all that is similar in each group's part.
 
-    Sets that candidate pairs join are brought to one slot, so a text is sent once and not once a
-    pair; larger groups of candidates are dealt as pairs of blocks.
+    Candidates of a part come from trees. In turns, pairs that connect all candidates not yet
+    joined are compared on the whole sets, until each is a link, is refuted or is joined by links.
     """
-    placed = components(pairs, "a", "b", scratch, f"{tag}-groups")
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    parts = F.ceil(F.col("c") / F.lit(VERIFY_BLOCK)).cast("int")
-    placed = scratch.save(placed.join(sizes, "component").select(F.col("id").alias("sid"), "component", parts.alias("parts")).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int")), f"{tag}-placed")
-    slots = max(8, -(-placed.count() // VERIFY_SETS))
 
-    def slot(i: str, j: str):
-        return F.pmod(F.xxhash64("component", F.least(i, j), F.greatest(i, j)), F.lit(slots)).cast("int").alias("slot")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, first, names = np.unique(table.column("sid").to_numpy(), return_index=True, return_inverse=True)
+        text, comp = table.column("text"), table.column("comp").to_numpy()
+        _, label = np.unique(comp[first], return_inverse=True)
+        grams: list[np.ndarray] = [np.empty(0, np.uint64)] * len(ids)
+        found = np.zeros(len(ids), bool)
+        for row, name in enumerate(names):  # a key may have several texts
+            if not found[name]:
+                made = shingles(bytescan.long_words(np.frombuffer(text[row].as_py().encode(), np.uint8)), width)
+                if identity(made) == ids[name]:
+                    grams[name], found[name] = made, True
+        sizes, bits, long = np.array([len(x) for x in grams], np.int64), np.stack([bitmap(x) for x in grams]), [wide(x) for x in grams]
+        blocks, left, right = (table.column(c).to_numpy() for c in ("_b", "_i", "_j"))
+        one, two = [], []
+        for rows in segments(table, ["g", "_i", "_j"]):
+            rows = rows[found[names[rows]]]
+            rows = rows[np.unique(names[rows], return_index=True)[1]]
+            if len(rows) < 2:
+                continue
+            at = names[rows]
+            p, q = _pairs(np.arange(len(rows)), blocks[rows], left[rows[0]], right[rows[0]], sizes[at], bits[at], [long[k] for k in at], label[at], percent)
+            p, q = at[p], at[q]
+            while len(p):
+                x, y = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+                turn = spanning(x, y, int(y.max()) + 1)
+                good = np.array([_similar(grams[a], grams[b], percent) for a, b in zip(p[turn], q[turn])], bool)
+                hits = turn[good]
+                if len(hits):
+                    one.append(ids[p[hits]])
+                    two.append(ids[q[hits]])
+                    label = _joined(label, x[hits], y[hits])
+                rest = np.ones(len(p), bool)
+                rest[turn] = False
+                rest &= label[p] != label[q]
+                p, q = p[rest], q[rest]
+        del grams
+        trim()
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(one or none), "b": np.concatenate(two or none)})
+
+    return run
+
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = overlap(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _joined(label: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Labels after the classes low and high, which stand on a forest, become one each."""
+    top = np.arange(int(label.max()) + 1)
+    while (apart := low != high).any():
+        low, high = low[apart], high[apart]
+        top[high] = np.minimum(top[high], low)  # one of the edges of a class; the others follow
+        while (top[top] != top).any():
+            top = top[top]
+        low, high = top[low], top[high]
+        low, high = np.minimum(low, high), np.maximum(low, high)
+    return top[label]
+
+
+def _confirmed(placed: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among sets that placed (sid, comp, g, _b, _i, _j, _slot) brings together, compared on the whole texts, read again from one text of each set."""
     wanted = sets.select("sid", "key").join(placed, "sid")
     texts = likely(docs.select("key", "text"), "key", wanted.select("key")).join(wanted, "key")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(slot("block", "other"), "sid", "text")
-    ends = placed.select("sid", "component", "block")
-    asked = pairs.join(ends.select(F.col("sid").alias("a"), "component", F.col("block").alias("i")), "a").join(ends.select(F.col("sid").alias("b"), F.col("block").alias("j")), "b").select(slot("i", "j"), "a", "b")
-    return dealt.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(_similar(width, percent), "a long, b long")
+    return texts.select("_slot", "g", "_b", "_i", "_j", "sid", "comp", "text").groupBy("_slot").applyInArrow(_links(width, percent), "a long, b long")
+
+
+def _slots(rows: DataFrame, weight: str, size: int) -> int:
+    """So many slots take rows of the given weights, about size each."""
+    return max(8, -(-(rows.agg(F.sum(weight)).first()[0] or 0) // size))
 
 
 def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -388,7 +498,7 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    seen = scratch.save(rows.mapInArrow(_describe(width), "key long, sid long, n long, bits binary"), "seen")
+    seen = scratch.save(rows.mapInArrow(_describe(width, percent), "key long, sid long, n long, bits binary, pre binary"), "seen")
     good = "key is not null and n > 0"
     sets = scratch.save(seen.filter(good).groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -396,46 +506,51 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     buckets = max(4, -(-total // GATHER))
     # at most total / limit hashes can be met over limit times, so COMMON bounds what is collected here
     limit = max(COMMON_SETS, -(-total // COMMON))
-    none, dealt = np.empty(0, np.uint64), "b int, t binary, o binary"
-    often = rows.mapInArrow(_deal_prefixes(width, percent, none, buckets, True), dealt).groupBy("b").applyInArrow(_over(limit), "token long")
+    often = seen.select("pre").mapInArrow(_count_prefixes(buckets), "b int, t binary, o binary").groupBy("b").applyInArrow(_over(limit), "token long")
     common = np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
 
-    # buckets of at least two sets; of buckets with the same members, one is enough
-    spread = rows.mapInArrow(_deal_prefixes(width, percent, common, buckets, False), dealt).groupBy("b").applyInArrow(_shared, "token long, sid long")
-    spread = scratch.save(spread, "spread")
-    buckets = spread.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("sid") % F.lit(1 << 44)).alias("f"), F.sum(F.xxhash64("sid", F.lit(1)) % F.lit(1 << 44)).alias("g"), F.min(F.xxhash64("sid")).alias("lead"))
-    buckets = buckets.groupBy("c", "f", "g").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", "b.lead", "c")
-    members = scratch.save(spread.join(buckets, "token").join(sets.select("sid", "n"), "sid"), "members")
-    scratch.drop("spread")
-
-    # leaders: a bucket's set of the smallest hash; a set meets the leaders of its first buckets
-    heads = members.filter(F.xxhash64("sid") == F.col("lead")).select("token", F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    ranked = members.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEADERS).alias("tokens"), F.first("n").alias("n")).select("sid", "n", F.explode("tokens").alias("token"))
-    stars = ranked.join(heads, "token").filter(F.col("sid") != F.col("a")).filter(F.least("n", "n_a") * 100 >= percent * F.greatest("n", "n_a"))
-    stars = stars.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
+    # groups: a leader and all sets that share one of its buckets
+    spread = rows.mapInArrow(_deal_prefixes(width, percent, common, buckets), "b int, t binary, o binary, n binary").groupBy("b")
+    members = scratch.save(spread.applyInArrow(_shared, "g long, n_g long, sid long, n long").distinct(), "members")
+
+    # a set first meets the least of its leaders
+    near = F.least("n", "n_g") * 100 >= percent * F.greatest("n", "n_g")
+    ranked = members.filter(near).groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("g")), 1, LEADERS).alias("leads")).select("sid", F.explode("leads").alias("g"))
     bits = sets.select("sid", "n", "bits")
     stars = scratch.save(
-        stars.join(bits.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-        .join(bits.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-        .mapInArrow(_possible(percent), "a long, b long"),
+        ranked.join(bits.select("sid", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "sid")
+        .join(bits.select(F.col("sid").alias("g"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "g")
+        .mapInArrow(_possible(percent), "sid long, g long, w long"),
         "stars",
     )
-    links = scratch.save(_verified(stars, rows, sets, width, percent, scratch, "stars"), "links1")
+    many = stars.groupBy("g").agg(F.sum("w").alias("c")).select("g", F.ceil(F.col("c") / F.lit(PART)).cast("int").alias("parts"))
+    led = stars.join(many, "g").select("sid", "g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("_i"))
+    heads = many.select(F.col("g").alias("sid"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_i"))
+    slots = _slots(stars, "w", SLOT)
+    slot = F.pmod(F.xxhash64("g", "_i"), F.lit(slots)).cast("int").alias("_slot")
+    placed = led.unionByName(heads).select("sid", F.col("sid").alias("comp"), "g", F.col("_i").alias("_b"), "_i", F.col("_i").alias("_j"), slot)
+    links = scratch.save(_confirmed(scratch.save(placed, "led"), rows, sets, width, percent), "links1")
     joined = scratch.save(components(links, "a", "b", scratch, "near"), "joined")
 
-    # the trees, for buckets with more than one component
-    named = members.join(joined.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "token", "c", F.coalesce("component", "sid").alias("comp"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    full = named.join(mixed, "token").join(sets.select("sid", "bits"), "sid")
-    slots = max(8, -(-members.count() // SLOT_ROWS))
-    dealt = blocked(full, ["token"], "c", "sid", BLOCK, slots)
-    pairs = scratch.save(dealt.groupBy("_slot").applyInArrow(_bucket(percent), "a long, b long").distinct(), "pairs")
-    rest = scratch.save(_verified(pairs, rows, sets, width, percent, scratch, "trees"), "links2")
-    scratch.drop("members", "pairs", "joined")
+    # the trees, for groups with more than one component
+    every = members.select("sid", "n", "g").unionByName(members.select(F.col("g").alias("sid"), F.col("n_g").alias("n"), "g").distinct())
+    named = every.join(joined.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "g", F.coalesce("component", "sid").alias("comp"), F.lit(1).alias("w"))
+    full = dealt(named, "g", "comp", "sid", "w", BLOCK, _slots(named, "w", SLOT_ROWS)).join(sets.select("sid", "bits"), "sid")
+    pairs = scratch.save(full.groupBy("_slot").applyInArrow(_candidates(percent), "a long, b long").distinct(), "pairs")
+    grouped = scratch.save(components(pairs, "a", "b", scratch, "groups"), "grouped").select(F.col("id").alias("sid"), F.col("component").alias("g"))
+    open_ = grouped.join(joined.withColumnRenamed("id", "sid"), "sid", "left").join(sets.select("sid", "n"), "sid")
+    open_ = open_.select("sid", "g", F.coalesce("component", "sid").alias("comp"), F.greatest("n", F.lit(LEAST_SIZE)).alias("w"))
+    placed = scratch.save(dealt(open_, "g", "comp", "sid", "w", PART, _slots(open_, "w", SLOT)), "open")
+    rest = scratch.save(_confirmed(placed, rows, sets, width, percent), "links2")
+    scratch.drop("members", "pairs", "grouped", "stars", "led", "open")
 
     # from sets to texts: the smallest key of a component's sets
-    whole = components(links.unionByName(rest), "a", "b", scratch, "all")
-    placed = sets.select("sid", "key").join(whole.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    of = joined.select("id", "component")
+    ends = rest.join(of.select(F.col("id").alias("a"), F.col("component").alias("p")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("q")), "b", "left")
+    over = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")), "a", "b", scratch, "all")
+    over = over.select(F.col("id").alias("first"), F.col("component").alias("whole"))
+    placed = sets.select("sid", "key").join(of.withColumnRenamed("id", "sid"), "sid", "left").withColumn("first", F.coalesce("component", "sid"))
+    placed = placed.join(over, "first", "left").select("sid", "key", F.coalesce("whole", "first").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("key").alias("component_id"))
     of_set = scratch.save(placed.join(smallest, "component").select("sid", "component_id"), "of_set")
     linked = seen.filter(good).select("key", "n", "sid").join(of_set, "sid")
@@ -445,15 +560,15 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
 
 
 def _possible(percent: int):
-    """(b, a, n_a, bits_a, n_b, bits_b) to the pairs that bitmaps can't rule out."""
+    """(sid, g, n_a, bits_a, n_b, bits_b) to the pairs that bitmaps can't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             col = lambda c: batch.column(names.index(c))
             n_a, n_b = col("n_a").to_numpy(), col("n_b").to_numpy()
-            x, y = (np.frombuffer(b"".join(col(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            ok = pa.array(_may_link(x, y, n_a, n_b, percent))
-            yield pa.RecordBatch.from_arrays([col("a").filter(ok), col("b").filter(ok)], names=["a", "b"])
+            (x, long_x), (y, long_y) = (_sketches(col(c)) for c in ("bits_a", "bits_b"))
+            ok = pa.array(_may_link(x, y, n_a, n_b, percent, long_x, long_y))
+            yield pa.RecordBatch.from_arrays([col("sid").filter(ok), col("g").filter(ok), pa.array(np.maximum(n_a, LEAST_SIZE)).filter(ok)], names=["sid", "g", "w"])
 
     return run

@@ -6,9 +6,11 @@ temporary folder made and set as the checkpoint folder.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,21 @@ class Scratch:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@lru_cache(1)
+def _c_library():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # not on glibc: nothing to trim
+        return None
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the system, for the worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c_library(), "malloc_trim"):
+        _c_library().malloc_trim(0)
+
+
 def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be in the column ``key`` of wanted; some others pass too, so a join must follow.
 
