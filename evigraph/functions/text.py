@@ -51,7 +51,8 @@ def tokens(text: Column, stops: list[str]) -> Column:
     words = F.regexp_extract_all(body, F.lit("([a-zA-Z0-9_]+)"), F.lit(1))
     runs = F.regexp_extract_all(body, F.lit(f"([{CJK}]+)"), F.lit(1))
     pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 4), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_except(F.array_distinct(F.concat(words, runs, pairs)), F.array(*map(F.lit, stops)))
+    found = F.array_distinct(F.concat(words, runs, pairs))
+    return F.array_except(found, F.array(*map(F.lit, stops))) if stops else found
 
 
 def evidence_tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,10 @@ from evigraph.functions import text as T
 
 #: Vectors and queries that one task multiplies.
 BLOCK = 4000
+#: Queries that a worker holds for keyword search; more are matched in blocks, one pass over the texts a block.
+QUERY_BLOCK = 2000
+#: Texts scored at once, and distinct words of texts that a worker remembers.
+SCORED, KEPT_WORDS = 256, 200_000
 CHANNEL_WEIGHTS = {"vector": 0.60, "entity": 0.30, "keyword": 0.10}
 UNKNOWN_WEIGHT, SOURCE_BONUS = 0.20, 0.08
 RERANK_WEIGHTS = {"base": 0.45, "overlap": 0.25, "entity": 0.15, "source": 0.10, "length": 0.05}
@@ -70,16 +76,104 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(T.tokens(F.col(text), T.KEYWORD_STOPS)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+class _Keywords:
+    """The tokens of a block of queries, and which of them a word of a text is or holds."""
+
+    def __init__(self, queries: list[tuple[int, list[str]]]):
+        self.ids = np.array([q for q, _ in queries], np.int64)
+        self.sizes = np.array([len(t) for _, t in queries], np.int64)
+        self.phrases = [" ".join(t) for _, t in queries]
+        self.number: dict[str, int] = {}
+        posts: list[list[int]] = []
+        for q, (_, tokens) in enumerate(queries):
+            for t in tokens:
+                k = self.number.setdefault(t, len(self.number))
+                if k == len(posts):
+                    posts.append([])
+                posts[k].append(q)
+        #: Queries that have each token.
+        self.posts = [np.array(p, np.int64) for p in posts]
+        self.lengths = sorted({len(t) for t in self.number})
+        self.stops = frozenset(T.KEYWORD_STOPS)
+        self.held: dict[str, frozenset[int]] = {}
+
+    def inside(self, word: str) -> frozenset[int]:
+        """Tokens that are parts of a word; tokens hold no other characters than words do."""
+        found = self.held.get(word)
+        if found is None:
+            found = frozenset(k for n in self.lengths if n <= len(word) for i in range(len(word) - n + 1) if (k := self.number.get(word[i : i + n])) is not None)
+            if len(self.held) >= KEPT_WORDS:
+                self.held.clear()
+            self.held[word] = found
+        return found
+
+    def count(self, tokens) -> np.ndarray:
+        """For each query, how many of these tokens it has."""
+        posts = [self.posts[k] for k in tokens]
+        return np.bincount(np.concatenate(posts), minlength=len(self.ids)) if posts else np.zeros(len(self.ids), np.int64)
+
+    def scores(self, words: list[str], body: str) -> np.ndarray:
+        """Every query's score for a text of these distinct words; the formula is that of functions.text.keyword_score."""
+        own = [w for w in words if w not in self.stops]
+        if not own:
+            return np.zeros(len(self.ids))
+        both = self.count([k for w in own if (k := self.number.get(w)) is not None])
+        parts = self.count(frozenset().union(*map(self.inside, words)))
+        size = np.maximum(self.sizes, 1)
+        phrase = np.zeros(len(self.ids))
+        for q in np.flatnonzero((both > 0) & (parts == self.sizes)):
+            phrase[q] = 0.10 if self.phrases[q] in body else 0.0
+        full = np.minimum(0.65 * both / size + 0.25 * both / len(own) + phrase, 1.0)
+        return np.round(np.where(both > 0, full, np.where(parts > 0, np.minimum(0.25 + 0.1 * parts, 1.0), 0.0)), 9)
+
+
+def _keyword_top(queries: list[tuple[int, list[str]]], k: int):
+    """(id, words, body) to the k best texts of each query among those of one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Keywords(queries)
+        best, of = np.zeros((0, len(queries))), np.zeros((0, len(queries)), np.int64)
+
+        def keep(scores: list[np.ndarray], ids: list[int]) -> None:
+            nonlocal best, of
+            best = np.concatenate([best, np.stack(scores)])
+            of = np.concatenate([of, np.broadcast_to(np.array(ids, np.int64)[:, None], (len(ids), len(queries)))])
+            order = np.lexsort((of, -best), axis=0)[:k]
+            best, of = np.take_along_axis(best, order, axis=0), np.take_along_axis(of, order, axis=0)
+
+        for batch in batches:
+            scores, ids = [], []
+            for key, words, body in zip(*(c.to_pylist() for c in batch.columns)):
+                scores.append(index.scores(words, body))
+                ids.append(key)
+                if len(ids) == SCORED:
+                    keep(scores, ids)
+                    scores, ids = [], []
+            if ids:
+                keep(scores, ids)
+        at, q = np.nonzero(best > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(index.ids[q]), pa.array(of[at, q]), pa.array(best[at, q])], names=["query_id", "id", "score"])
+
+    return run
+
+
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank: the k best texts (id, text) of every query (query_id, query) by keyword score over 0.
 
-    A stated set of queries meets all texts; each text is tokenised once.
+    Queries are held in blocks of QUERY_BLOCK, as an index from tokens to queries; texts are read
+    once a block, and each task keeps k texts a query. Null texts and queries without tokens find
+    nothing; rows without an id are left out; ties go to the smaller id.
     """
-    q = queries.select("query_id", T.tokens(F.col("query"), T.KEYWORD_STOPS).alias("_q"))
-    d = docs.select("id", T.tokens(F.col("text"), T.KEYWORD_STOPS).alias("_t"), T.light(F.col("text")).alias("_b"))
-    scored = d.crossJoin(q).select("query_id", "id", F.round(T.keyword_score(F.col("_q"), F.col("_t"), F.col("_b")), 9).alias("score")).filter("score > 0")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), T.tokens(F.col("query"), T.KEYWORD_STOPS).alias("t")).filter("query_id is not null and size(t) > 0")
+    blocks = -(-asked.count() // QUERY_BLOCK) or 1
+    rows = docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), T.tokens(F.col("text"), []).alias("words"), T.light(F.col("text")).alias("body"))
+    found = None
+    for b in range(blocks):
+        held = [(r["query_id"], r["t"]) for r in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).sort("query_id", "t").collect()]
+        part = rows.mapInArrow(_keyword_top(held, k), "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def merge_channels(hits: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
