@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.shared import Scratch
+
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 12
 #: Characters of test items that one automaton holds; larger benchmarks are matched in blocks.
@@ -138,9 +140,9 @@ def _match(items: tuple[tuple[int, str], ...], chars_per_edit: int):
     return run
 
 
-def _items(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Distinct test items in blocks of about BLOCK_CHARS characters; one empty block if there are none."""
-    items = benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null").distinct()
+def _items(benchmark: DataFrame, item_key: str | None, item_text: str) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Distinct test items in blocks of about BLOCK_CHARS characters; one empty block if there are none. Without a key, items are told apart by their texts."""
+    items = benchmark.select((F.col(item_key).cast("long") if item_key else F.xxhash64(item_text)).alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // BLOCK_CHARS) or 1
     for b in range(blocks):
@@ -151,8 +153,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     """Every pair of a text and a test item that occurs in it within the item's budget.
 
     Columns: key, item_id, distance (of the nearest passage), budget, end (of that passage, in the
-    normalised text). Case, ASCII punctuation and white space do not count as edits. Items of fewer
-    than ``chars_per_edit`` characters have no budget and are found as whole words; items that are
+    normalised text). Case, ASCII punctuation and white space do not count as edits. Items without
+    a key are not looked for; items of fewer than ``chars_per_edit`` characters have no budget and are found as whole words; items that are
     null or empty once normalised match nothing, as do null and empty texts. Texts are matched
     whole. Repeated rows repeat their pairs; repeated items are matched once. Test items are held
     in memory in blocks of BLOCK_CHARS characters, one pass over the texts a block. Empty tables
@@ -166,12 +168,16 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item_
     return out.select(F.col("key").alias(key), F.col("item").alias("item_id"), "distance", "budget", "end")
 
 
-def drop_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str, item_text: str, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no test item within its budget; null and empty texts stay."""
-    items, out = _items(benchmark, item_key, item_text), docs
-    for held in items:
-        matcher_of = _dropper(held, text, chars_per_edit)
-        out = out.mapInArrow(matcher_of, docs.schema)
+def drop_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item_text: str, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no test item within its budget; null and empty texts stay.
+
+    Items need no key. One block of items is held at a time: what a block leaves is written before
+    the next one.
+    """
+    scratch, out = Scratch(docs.sparkSession, "leaks"), None
+    for k, held in enumerate(_items(benchmark, None, item_text)):
+        left = docs if out is None else scratch.save(out, f"block{k}")
+        out = left.mapInArrow(_dropper(held, text, chars_per_edit), docs.schema)
     return out
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evigraph.llm.components import blocked, components, segments
 from evigraph.llm.shared import Scratch
@@ -158,7 +159,10 @@ def near_vectors(vectors: DataFrame, key: str, vector: str, label: str, threshol
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    source = vectors.select(F.col(key).cast("long").alias("vec"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    name = F.col(label)
+    if not isinstance(vectors.schema[label].dataType, IntegralType):
+        name = F.when(name.isNotNull(), F.xxhash64(name.cast("string")))  # labels are only compared
+    source = vectors.select(F.col(key).cast("long").alias("vec"), name.cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     usable = source.filter("label is not null and vec is not null")
     keyed = scratch.save(usable.mapInArrow(_keyed, "vec long, label long, unit binary, keys array<long>"), "keyed")
     same = scratch.save(keyed.groupBy("label", "unit").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys")), "same")

@@ -135,8 +135,11 @@ def redact_secrets(docs: DataFrame, text: str, repository: str, owner: str, max_
     """docs, all columns, with every kept span of text replaced: by <SECRET> where its value is owner-specific, by <EXAMPLE> where it is widely copied.
 
     Overlapping spans are replaced once, by the first one's mark. Only texts with candidates are
-    shuffled. Nulls, repeats and empty tables as in scan_secrets.
+    shuffled. Nulls, repeats and empty tables as in scan_secrets; columns may have any name.
     """
+    names = docs.columns
+    text, repository, owner = (f"c{names.index(c)}" for c in (text, repository, owner))
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
     marked = _candidates(docs, text, repository, owner)
     found = marked.filter(HAS_CANDIDATES)
     judged = _judged(found, max_owners, max_repositories)
@@ -153,7 +156,7 @@ def redact_secrets(docs: DataFrame, text: str, repository: str, owner: str, max_
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
     )
     changed = found.join(judged, "_text").withColumn(text, body).select(docs.columns)
-    return marked.filter(f"not ({HAS_CANDIDATES})").select(docs.columns).unionByName(changed)
+    return marked.filter(f"not ({HAS_CANDIDATES})").select(docs.columns).unionByName(changed).toDF(*names)
 
 
 def digest_columns(scanned: DataFrame, key: str) -> DataFrame:

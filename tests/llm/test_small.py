@@ -100,7 +100,7 @@ def test_decontamination(spark, docs):
     b = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "lazy dog"), (5, "zzzz qqqq completely absent thing here")], "item_id long, text string")
     got = decontamination.find_leaks(docs, "doc_id", "text", b, "item_id", "text").collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (1, 4), (2, 1), (2, 1), (2, 4), (2, 4)]
-    kept = decontamination.drop_leaks(docs, "text", b, "item_id", "text")
+    kept = decontamination.drop_leaks(docs, "text", b, "text")
     assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 3
 
 
@@ -423,3 +423,37 @@ def test_empty_tables(spark):
     assert embedding_dedup.near_vectors(d, "doc_id", "e", "label").count() == 0
     assert kneser_ney.score(d, "doc_id", "text", kneser_ney.fit(d, "text")).count() == 0
     assert archives.archive_pages(d, "doc_id", "url", "text").count() == 0
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(1, "token = abcdef123456", "o", 1, 2, 3, 4), (2, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, src string, base int, _text int, _words int, _owner int")
+    got = secrets.redact_secrets(d, "text", "src", "src").sort("doc_id").collect()
+    assert got[0].__fields__ == d.columns and "abcdef" not in got[0]["text"] and got[1]["text"] is None and got[0]["base"] == 1
+    assert secrets.redact_secrets(d.limit(0), "text", "src", "src").count() == 0
+
+
+def test_drop_leaks_of_items_without_a_key(spark):
+    item = "the quick brown fox jumps over the lazy dog"
+    d = spark.createDataFrame([(1, f"so {item} they say"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.drop_leaks(d, "text", items, "text").collect()) == [2, 3]
+    assert decontamination.drop_leaks(d.limit(0), "text", items, "text").count() == 0
+
+
+def test_near_vectors_with_string_labels(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)], "vec_id long, v array<double>, label string")
+    assert {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(d, "vec_id", "v", "label").collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_long_sketches_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for size, other in ((5000, 5200), (2500, 2700), (9000, 8900)):
+        x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        y = np.unique(np.r_[x[: int(size * 0.93)], rng.integers(0, 2**63, other - int(size * 0.93), dtype=np.uint64)])
+        both = ngram_join.overlap(x, y)
+        similar = 100 * both // (len(x) + len(y) - both)
+        one = lambda s: (ngram_join.bitmap(s)[None], np.array([len(s)]), [ngram_join.wide(s)])
+        (bx, nx, wx), (by, ny, wy) = one(x), one(y)
+        assert ngram_join._may_link(bx, by, nx, ny, similar, wx, wy).all()
+        assert not ngram_join._may_link(bx, by, nx, ny, min(99, similar + 8), wx, wy).any()
