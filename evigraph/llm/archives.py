@@ -282,8 +282,8 @@ def originals(manifest: DataFrame) -> DataFrame:
     return manifest.join(first, "payload_digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def convert_arcs(manifest: DataFrame, root: str) -> DataFrame:
-    """Convert ARC files to WARC files under root: one group a file; returns path and records.
+def convert_arcs(manifest: DataFrame, root: str, files: int) -> DataFrame:
+    """Convert so many ARC files to WARC files under root, each in a group of its own that is dealt to one of as many tasks; returns path and records.
 
     manifest: path, ordinal, payload_digest, refers_to for every record of these files.
     """
@@ -300,7 +300,7 @@ def convert_arcs(manifest: DataFrame, root: str) -> DataFrame:
         writer.close()
         return pa.table({"path": [writer.uri], "records": pa.array([done], pa.int64())})
 
-    return manifest.select("path", "ordinal", "payload_digest", "refers_to").groupBy("path").applyInArrow(run, "path string, records long")
+    return manifest.select("path", "ordinal", "payload_digest", "refers_to").repartition(max(1, files), "path").groupBy("path").applyInArrow(run, "path string, records long")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
@@ -353,7 +353,8 @@ def archive_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     manifest = scratch.save(write_arc(pages, key, url, html, scratch.path("arc")), "manifest")
-    files = scratch.save(convert_arcs(originals(manifest), scratch.path("warc")), "files")
+    arcs = manifest.select("path").distinct().count()
+    files = scratch.save(convert_arcs(originals(manifest), scratch.path("warc"), arcs), "files")
     scratch.drop("arc")
     parts = max(1, min(files.count(), spark.sparkContext.defaultParallelism * 8))
     read = scratch.save(read_warcs(files.repartition(parts)), "read")
