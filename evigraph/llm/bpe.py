@@ -30,7 +30,8 @@ ENDS = ".,;:!?|"
 class Encoder:
     """Encoder and decoder for one vocabulary of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = CACHE_PIECES):
+        self.pieces = pieces
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
@@ -153,7 +154,7 @@ class Encoder:
         else:
             ids = ",".join(map(str, self.encode(chunk)))
         if len(chunk) <= CACHE_BYTES:
-            if len(self.kept) >= CACHE_PIECES:
+            if len(self.kept) >= self.pieces:
                 self.kept.clear()
             self.kept[chunk] = ids
         return ids
@@ -183,17 +184,17 @@ class Encoder:
 
 
 @lru_cache(2)
-def load(path: str, pattern: str) -> Encoder:
+def load(path: str, pattern: str, pieces: int = CACHE_PIECES) -> Encoder:
     """The encoder for a file of base64 tokens and ranks; kept for the worker's life."""
     with open(path, "rb") as f:
-        return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+        return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, pieces)
 
 
-def digest_batches(path: str, pattern: str):
+def digest_batches(path: str, pattern: str, pieces: int = CACHE_PIECES):
     """For mapInArrow: batches of (key, text) to (key, n_tokens, ids_sha256, decoded_sha256, decoded_same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(path, pattern)
+        encoder = load(path, pattern, pieces)
         for batch in batches:
             n, ids, decoded, same = [], [], [], []
             for text in batch.column(1):
@@ -221,17 +222,17 @@ def token_batches(path: str, pattern: str):
     return run
 
 
-def encode_digests(docs, key: str, text: str, path: str, pattern: str):
+def encode_digests(docs, key: str, text: str, path: str, pattern: str, pieces: int = CACHE_PIECES):
     """Encode every whole text and decode it again; one row per row of docs.
 
     Columns: key, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256,
     round_trip (whether the decoded bytes are the text's). A null text is encoded as empty; null
     keys and repeated rows are kept as they are; an empty table gives no rows; only the two named
-    columns are read.
+    columns are read. A worker keeps the encodings of at most ``pieces`` stretches of text.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(digest_batches(path, pattern), f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(digest_batches(path, pattern, pieces), f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("key", key)
 
 
 def encode(docs, key: str, text: str, path: str, pattern: str):

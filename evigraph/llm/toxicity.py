@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan
 from evigraph.llm.kneser_ney import _write, mapped
-from evigraph.llm.shared import Scratch, likely
+from evigraph.llm.shared import Scratch, likely, trim
 from evigraph.llm.wordtable import WordTable, add_rows
 
 # What signs may stand for, marks that may part letters, and costs in natural logarithms.
@@ -35,6 +35,8 @@ FILE_FEATURES, LEAST_FILES = 200_000, 16
 PREFIXES = (4, 5, 6, 8)
 #: Labelled texts on which the two weights of the score are fitted.
 FIT_TEXTS = 20_000
+#: Words whose features a worker keeps, and features that it counts before it sends them; runs whose evidence it keeps.
+KEPT_FEATURES, KEPT_RUNS = 80_000, 20_000
 
 _CLASS = np.full(256, 28, np.int64)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
@@ -313,7 +315,7 @@ def _text_sums(model: ToxicityModel):
         value = memo.get(run)
         if value is None:
             value = float(model.best([[w] for w in decode(" ".join(run), model.chars).split()]).sum())
-            if len(run) <= KEPT_RUN and len(memo) < 100_000:
+            if len(run) <= KEPT_RUN and len(memo) < KEPT_RUNS:
                 memo[run] = value
         return value
 
@@ -349,7 +351,7 @@ def _feature_counts(chars: CharModel):
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, into, seen = set(text.split()), counts[toxic > 0], set()
-                if len(known) > 300_000:
+                if len(known) > KEPT_FEATURES:
                     known.clear()
                 new = [w for w in words if w not in known]
                 made = [[f for w in restore_word(word, chars) for f in features(w)] for word in new]
@@ -361,9 +363,11 @@ def _feature_counts(chars: CharModel):
                     seen.update(known[word])
                 for h in seen:
                     into[h] = into.get(h, 0) + 1
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                if len(counts[0]) + len(counts[1]) > KEPT_FEATURES:
                     yield part()
         yield part()
+        known.clear()
+        trim()
 
     return run
 
@@ -449,6 +453,8 @@ def score_texts(docs: DataFrame, key: str, text: str, model: ToxicityModel) -> D
         for batch in batches:
             s = of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(s)), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["key", "score", "evidence", "words"])
+        del of
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -474,5 +480,7 @@ def drop_toxic(docs: DataFrame, text: str, model: ToxicityModel, threshold: floa
         of = _text_sums(model)
         for batch in batches:
             yield batch.filter(pa.array(model.score(of(batch.column(batch.schema.names.index(text)))) < threshold))
+        del of
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
