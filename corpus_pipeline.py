@@ -16,6 +16,8 @@ from evigraph.llm.shared import Scratch
 TOXIC = 0.7
 #: Near duplicates: words of a shingle, and similarity in percent.
 WIDTH, PERCENT = 5, 80
+#: Stretches of text whose encodings a worker keeps; fewer than usual, as workers have run other stages before.
+PIECES = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item within its error budget go."""
-    return decontamination.drop_leaks(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return decontamination.drop_leaks(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are encoded to byte-pair tokens and decoded again."""
-    return bpe.encode_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, PIECES)
 
 
 STAGES = [
