@@ -32,13 +32,13 @@ from evigraph.llm.kneser_ney import merge, pack, unpack
 from evigraph.llm.shared import Scratch, likely, trim
 
 #: Hashes that come last in the order; so many at most are held by every worker.
-COMMON = 50_000
-#: A hash that is in the prefix of fewer sets than this is not put last.
-COMMON_SETS = 150
+COMMON = 100_000
+#: A hash that is in the prefix of no more sets than this is not put last.
+COMMON_SETS = 100
 #: 64-bit words of a bitmap, and of a sketch of parities.
-BITMAP = 16
+BITMAP = 8
 #: Sets of more elements than this have a longer sketch of parities besides, of at least half as many bits as elements.
-WIDE_FROM = 2000
+WIDE_FROM = 800
 #: Sets of one bucket, as bitmaps, that meet in one part; and sets that a task takes, of many small buckets or of parts of a large one, or so.
 BLOCK, SLOT_ROWS = 1000, 10_000
 #: Elements of whole sets of one group that meet in one part, and that a task takes, or so; a set counts as LEAST_SIZE at least.
@@ -263,11 +263,11 @@ def _deal_prefixes(width: int, percent: int, common: np.ndarray, buckets: int):
 
 
 def _over(limit: int):
-    """For applyInArrow on one bucket of counted hashes: those met more than limit times."""
+    """For applyInArrow on one bucket of counted hashes: those met more than limit times, and how often."""
 
     def run(table: pa.Table) -> pa.Table:
         tokens, counts = merge([unpack(t, np.uint64) for t in table.column("t").to_pylist()], [unpack(o, np.uint32).astype(np.int64) for o in table.column("o").to_pylist()])
-        return pa.table({"token": tokens[counts > limit].view(np.int64)})
+        return pa.table({"token": tokens[counts > limit].view(np.int64), "n": counts[counts > limit]})
 
     return run
 
@@ -504,10 +504,9 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     total = seen.filter(good).agg(F.sum(size)).first()[0] or 0
     buckets = max(4, -(-total // GATHER))
-    # at most total / limit hashes can be met over limit times, so COMMON bounds what is collected here
-    limit = max(COMMON_SETS, -(-total // COMMON))
-    often = seen.select("pre").mapInArrow(_count_prefixes(buckets), "b int, t binary, o binary").groupBy("b").applyInArrow(_over(limit), "token long")
-    common = np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
+    often = seen.select("pre").mapInArrow(_count_prefixes(buckets), "b int, t binary, o binary").groupBy("b").applyInArrow(_over(COMMON_SETS), "token long, n long")
+    common = often.orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
+    common = np.sort(common.astype(np.int64).view(np.uint64))
 
     # groups: a leader and all sets that share one of its buckets
     spread = rows.mapInArrow(_deal_prefixes(width, percent, common, buckets), "b int, t binary, o binary, n binary").groupBy("b")
