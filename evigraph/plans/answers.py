@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evigraph.operators import answering as A
 from evigraph.operators import evidence as E
-from evigraph.sources.graph_tables import EDGES_SQL, edges, table
+from evigraph.sources.graph_tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 
 def questions(spark, sf_dir):
@@ -66,7 +67,30 @@ def ev_text_block(spark, sf_dir):
     return E.evidence_text(_selected(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
+def ans_display(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node_key", A.display(F.col("name")).alias("name"))
+
+
+def ans_intent(spark, sf_dir):
+    """What every message of the conversations asks for."""
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", A.intent(F.col("text")).alias("i"))
+    return asked.select("conv_id", "turn", "role", F.col("i.group").alias("relation_group"), F.col("i.label").alias("answer_label"))
+
+
+def ans_compose(spark, sf_dir):
+    out = A.answer(questions(spark, sf_dir), _fused(spark, sf_dir))
+    return out.select("query_id", "answer", "generation_type", "answerability", F.round("semantic_score", 6).alias("semantic_score"), F.size("citations").alias("n_citations"))
+
+
+def kg_evidence_dedup(spark, sf_dir):
+    """Every supplier's neighbours as evidence, each edge once though both of its ends ask for it."""
+    q = questions(spark, sf_dir)
+    seeds = q.select("query_id", F.explode("entities").alias("entity"))
+    found = E.search.neighbor_search(edges(spark, sf_dir), seeds.select(F.col("entity").alias("query_id"), "entity").distinct(), "both", 10).drop("query_id", "rank")
+    return E.fuse(E.from_neighbors(seeds.join(found, "entity"))).select(*_COLS, F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (ans_display, ans_intent, ans_compose, kg_evidence_dedup, kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
 
 
 def _light(x):
@@ -107,8 +131,30 @@ ver AS (SELECT q.query_id, coalesce(n_selected, 0) AS n_selected, round(coalesce
 five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE evidence_type WHEN 'relation' THEN 4 WHEN 'path' THEN 3 ELSE 2 END DESC, semantic_score DESC, rank) AS r5 FROM chosen) WHERE r5 <= 5),
 conf AS (SELECT query_id, count(*) AS n_steps, avg(semantic_score) AS m, max(CASE WHEN evidence_type = 'relation' THEN 1 ELSE 0 END) AS rel, max(CASE WHEN evidence_type = 'path' THEN 1 ELSE 0 END) AS pat FROM five GROUP BY query_id)
 """
+_SMALL = ", ".join(f"'{w}'" for w in A.SMALL_WORDS)
+_DISPLAY = f"""CASE WHEN contains(t, ' ') OR contains(t, '·') THEN t WHEN len(list_filter(string_split(replace(t, '-', '_'), '_'), lambda p: p <> '')) = 0 THEN replace(t, '-', '_')
+    ELSE array_to_string(list_transform(list_filter(string_split(replace(t, '-', '_'), '_'), lambda p: p <> ''), lambda p, i: CASE WHEN i > 1 AND lower(p) IN ({_SMALL}) THEN lower(p) ELSE upper(p[1]) || p[2:] END), ' ') END"""
+_ASKED = "trim(regexp_replace(translate(lower(trim(text)), '_', ' '), '\\s+', ' ', 'g'))"
+
+
+def _case(value):
+    rules = " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{value(group, label)}'" for group, label, words in A.INTENTS)
+    return f"CASE {rules} END"
+
+
+_NAME = "upper({0}[1]) || {0}[2:]"
 _C = "query_id, evidence_type, source_entity, relation, target_entity, text"
 ORACLES = {
+    "ans_display": f"WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT node_key, trim(name) AS t FROM nodes) SELECT node_key, {_DISPLAY} AS name FROM d",
+    "ans_intent": f"WITH d AS (SELECT conv_id, turn, role, {_ASKED} AS q FROM conversations) SELECT conv_id, turn, role, {_case(lambda g, l: g)} AS relation_group, {_case(lambda g, l: l)} AS answer_label FROM d",
+    "ans_compose": f"""{_SQL}, rels AS (SELECT query_id, string_agg({_NAME.format('source_entity')} || ' 与 ' || {_NAME.format('target_entity')} || ' 之间存在“' || relation || '”关系', '；' ORDER BY k) AS r
+          FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sel_rank) AS k FROM chosen WHERE evidence_type = 'relation') WHERE k <= 3 GROUP BY query_id),
+        bas AS (SELECT query_id, string_agg(sel_rank || '. ' || text, ' ' ORDER BY sel_rank) AS b FROM chosen WHERE sel_rank <= 3 GROUP BY query_id)
+        SELECT query_id, CASE answerability WHEN 'answerable' THEN '{A.SURE}' ELSE '{A.GENERIC_UNSURE}' END || r || '。' || CASE answerability WHEN 'uncertain' THEN chr(10) || chr(10) || '{A.CAUTION}' ELSE '' END
+          || chr(10) || chr(10) || '依据是：' || b AS answer, 'rule' AS generation_type, answerability, round(semantic, 6) AS semantic_score, n_selected AS n_citations
+        FROM ver JOIN rels USING (query_id) JOIN bas USING (query_id)""",
+    "kg_evidence_dedup": f"""{_SQL}, n AS (SELECT query_id, 'neighbor' AS evidence_type, src AS source_entity, relation, dst AS target_entity, src || ' --' || relation || '--> ' || dst AS text, max(score) AS score FROM q JOIN nb ON entity IN (a, b) GROUP BY ALL)
+        SELECT * FROM (SELECT {_C}, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_entity, relation, target_entity) AS rank FROM n) WHERE rank <= 30""",
     "kg_retrieve_evidence": f"{_SQL} SELECT {_C}, round(score, 6) AS score, rank FROM fused",
     "ev_type_counts": f"{_SQL} SELECT evidence_type, count(*) AS n FROM fused GROUP BY 1",
     "ev_semantic_score": f"{_SQL} SELECT {_C}, round(semantic_score, 6) AS semantic_score FROM scored",
