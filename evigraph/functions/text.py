@@ -45,6 +45,45 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+# Outer punctuation, what a mention may begin or end with, and texts that name nothing.
+OUTER = " \t\r\n.,;:!?，。；：！？\"'“”‘’()（）[]【】{}<>《》、"
+PREFIXES = ("请问", "帮我看看", "帮我查一下", "帮我分析一下", "我想知道", "我想问", "关于", "有关", "介绍一下", "介绍", "解释一下", "解释", "说明一下", "说明", r"the\s+", r"a\s+", r"an\s+")
+SUFFIXES = ("是什么", "是谁", "有哪些", "有什么", "怎么样", "怎么回事", "的关系", "之间的关系", "相关内容", "相关对象", "的信息", "的情况", r"\?", "？", "。", r"\.")
+NO_ENTITY = (
+    "谁", "什么", "哪里", "哪个", "哪些", "多少", "如何", "为什么", "怎么", "怎么办", "怎么样", "关系", "路径", "实体", "对象", "内容", "信息", "情况", "介绍", "说明", "解释", "分析",
+    "这个", "那个", "它", "他", "她", "who", "what", "where", "which", "why", "how",
+    "relation", "relationship", "path", "entity", "object", "thing", "information", "about", "explain", "describe", "tell", "me",
+)
+
+
+def entity_name(text: Column) -> Column:
+    """White space collapsed and outer punctuation off; the case stays."""
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), F.lit(OUTER))
+
+
+def node_key(text: Column) -> Column:
+    """Accents off, _ and - as space, white space collapsed, lower case; punctuation stays."""
+    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    return F.trim(F.regexp_replace(F.translate(bare, "_-", "  "), r"\s+", " "))
+
+
+def clean_mention(text: Column) -> Column:
+    """The name without the phrases that lead to it or follow it, each taken off once, in their order."""
+    out = entity_name(text)
+    for p in PREFIXES:
+        out = F.trim(F.regexp_replace(out, f"(?i)^{p}", ""))
+    for p in SUFFIXES:
+        out = F.trim(F.regexp_replace(out, f"(?i){p}$", ""))
+    return F.btrim(out, F.lit(OUTER))
+
+
+def valid_entity(text: Column) -> Column:
+    """Whether a text can name an entity: 1 to 120 characters, a single one only A to Z, neither digits nor signs alone, not a word that names nothing."""
+    name = entity_name(text)
+    single = (F.length(name) > 1) | name.rlike("^[A-Z]$")
+    return (name != "") & (F.length(name) <= 120) & single & ~name.rlike(r"^\p{Nd}+$") & ~name.rlike(r"^[^\p{L}\p{N}]+$") & ~F.trim(F.lower(name)).isin(*NO_ENTITY)
+
+
 def tokens(text: Column, stops: list[str]) -> Column:
     """Words of letters, digits and _, then runs of Chinese characters, then pairs of these in longer runs; distinct, in order."""
     body = light(text)

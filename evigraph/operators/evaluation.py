@@ -54,3 +54,28 @@ def require_unique_cases(cases: DataFrame, key: str = "case_id") -> DataFrame:
     if twice:
         raise ValueError(f"duplicate {key}: {twice[0][0]}")
     return cases
+
+
+def filter_cases(cases: DataFrame, category: str | None = None, difficulty: str | None = None, expected_route: str | None = None) -> DataFrame:
+    """Cases equal in every field that is asked for."""
+    for name, value in (("category", category), ("difficulty", difficulty), ("expected_route", expected_route)):
+        if value is not None:
+            cases = cases.filter(F.col(name) == value)
+    return cases
+
+
+def run_summary(records: DataFrame) -> DataFrame:
+    """total, and count and rate (four digits, 0 without records) of errors, answers, evidence and grounded entities.
+
+    records are (has_error, answer, num_evidence, num_grounded_entities); null means no.
+    """
+    some = {
+        "errors": F.coalesce(F.col("has_error"), F.lit(False)),
+        "with_answer": F.trim(F.coalesce("answer", F.lit(""))) != "",
+        "with_evidence": F.coalesce("num_evidence", F.lit(0)) > 0,
+        "with_grounded_entities": F.coalesce("num_grounded_entities", F.lit(0)) > 0,
+    }
+    total = F.count(F.lit(1))
+    counts = [F.count_if(c).alias(f"num_{k}") for k, c in some.items()]
+    rates = [F.bround(F.when(total > 0, F.count_if(c) / total).otherwise(0.0), 4).alias(f"{k}_rate") for k, c in some.items()]
+    return records.agg(total.alias("total"), *counts, *rates)

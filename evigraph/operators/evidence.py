@@ -59,13 +59,36 @@ def from_subgraph(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.lit("subgraph").alias("evidence_type"), F.col("head").alias("source_entity"), "relation", F.col("tail").alias("target_entity"), F.array().cast("array<string>").alias("path"), F.array(_triple("head", "relation", "tail")).alias("triples"), F.lit(0.6).alias("score"), search.edge_text("head", "relation", "tail").alias("text"))
 
 
+def dedup_key() -> Column:
+    """What makes two rows of evidence equal: type, source, relation and target, else the path, else the text; empty without any."""
+    source, relation, target, text = (T.light(F.col(c)) for c in ("source_entity", "relation", "target_entity", "text"))
+    kind = F.concat(F.coalesce(F.nullif(T.light(F.col("evidence_type")), F.lit("")), F.lit("text")), F.lit("::"))
+    named = F.concat(source, relation, target) != ""
+    nodes = F.array_join(F.transform("path", T.light), "|")
+    return (
+        F.when(named, F.concat(kind, F.concat_ws("|", source, relation, target)))
+        .when(F.size("path") > 0, F.concat(kind, nodes))
+        .when(text != "", F.concat(F.lit("text::"), text))
+        .otherwise("")
+    )
+
+
+def evidence_id() -> Column:
+    """ev_ and twelve hex digits that depend on type, ends, relation, path and text only; null counts as empty."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("evidence_type", "source_entity", "relation", "target_entity")]
+    path = F.array_join(F.coalesce("path", F.array().cast("array<string>")), "\u0002", "")
+    whole = F.concat_ws("\u0001", *parts, path, F.coalesce("text", F.lit("")))
+    return F.concat(F.lit("ev_"), F.substring(F.md5(whole), 1, 12))
+
+
 def fuse(evidence: DataFrame, max_evidence: int = MAX_EVIDENCE, min_score: float = 0.0) -> DataFrame:
-    """Equal (type, source, relation, target) once, by best score; by type, then score; at most max_evidence a query; column rank."""
-    name = lambda c: T.light(F.col(c))
-    key = F.concat_ws("|", F.concat(F.col("evidence_type"), F.lit("::"), name("source_entity")), name("relation"), name("target_entity"))
+    """Equal evidence (by dedup_key) once, by best score; by type, then score; at most max_evidence a query; column rank.
+
+    Evidence that names nothing (the empty key) is left out.
+    """
     once = Window.partitionBy("query_id", "_key").orderBy(F.desc("score"), "text")
     cut = Window.partitionBy("query_id").orderBy(F.desc("_o"), F.desc("score"), "source_entity", "relation", "target_entity")
-    out = evidence.filter(F.col("score") >= min_score).withColumn("_key", key).withColumn("_r", F.row_number().over(once)).filter("_r = 1")
+    out = evidence.filter(F.col("score") >= min_score).withColumn("_key", dedup_key()).filter("_key <> ''").withColumn("_r", F.row_number().over(once)).filter("_r = 1")
     out = out.withColumn("_o", _map(FUSION_ORDER, "evidence_type", 0)).withColumn("rank", F.row_number().over(cut))
     return out.filter(F.col("rank") <= max_evidence).drop("_key", "_r", "_o")
 

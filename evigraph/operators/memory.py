@@ -68,3 +68,41 @@ def explicit_capture(messages: DataFrame) -> DataFrame:
     low = F.lower(content)
     kind = F.when(low.rlike("prefer|like|喜欢|偏好"), "preference").when(low.rlike("must|never|always|必须|不要"), "constraint").when(low.rlike("project|项目"), "project").when(low.rlike("todo|task|任务"), "task").otherwise("fact")
     return asked.select("session", "turn", content.alias("content"), kind.alias("memory_type"))
+
+
+def scoped(memories: DataFrame, scopes: DataFrame, as_of: str) -> DataFrame:
+    """Active memories that each scope may see, newest first: the columns of memories besides query_id and rank.
+
+    scopes is (query_id, namespace, user_id, project_id, session_id); a null or blank user, project or
+    session asks for any. The namespace must be equal, and null names none. A memory of a session is
+    seen from that session or where no session is asked for; one without a session from everywhere.
+    Scopes that name a user meet that user's rows only, so a large namespace is no hot key for them.
+    """
+    asked = scopes.select("query_id", *(F.nullif(F.trim(c), F.lit("")).alias(f"_{c}") for c in ("namespace", "user_id", "project_id", "session_id")))
+    live = active(memories, as_of)
+    sees = (
+        (F.col("_project_id").isNull() | F.col("project_id").eqNullSafe(F.col("_project_id")))
+        & (F.col("_session_id").isNull() | (F.coalesce("session_id", F.lit("")) == "") | (F.col("session_id") == F.col("_session_id")))
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "memory_id")
+    space = F.col("namespace") == F.col("_namespace")
+    of_user = asked.filter("_user_id is not null").join(live, space & (F.col("user_id") == F.col("_user_id")) & sees)
+    of_any = asked.filter("_user_id is null").join(live, space & sees)
+    return of_user.unionByName(of_any).select("query_id", *memories.columns, F.row_number().over(order).alias("rank"))
+
+
+def supersede(memories: DataFrame, ids: DataFrame, status: str = "superseded") -> DataFrame:
+    """memories, those named in ids (memory_id) with the given status; ids of no memory do nothing."""
+    named = ids.select("memory_id").distinct().withColumn("_named", F.lit(True))
+    return memories.join(named, "memory_id", "left").withColumn("status", F.when(F.col("_named"), F.lit(status)).otherwise(F.col("status"))).select(memories.columns)
+
+
+def forget(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """memories without those named in ids (memory_id)."""
+    return memories.join(ids.select("memory_id"), "memory_id", "left_anti").select(memories.columns)
+
+
+def unwritten(turns: DataFrame, written: DataFrame, key: str = "request_id") -> DataFrame:
+    """Turns whose key is not among those written, each key once; a turn without a key is always new."""
+    new = turns.join(written.select(key), key, "left_anti").select(turns.columns)
+    return new.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(new.filter(F.col(key).isNull()))

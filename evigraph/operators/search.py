@@ -116,8 +116,12 @@ def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, ma
 
     Nodes are admitted level by level in the order of their keys until max_nodes; centres always.
     Edges among admitted nodes count whatever the direction; the first max_edges stay, equal ones once.
+    Of a node only the first max_nodes neighbours by key are followed: a neighbour is admitted after
+    all lesser ones of the same node, so one further on can't be among the first max_nodes of all.
     """
     step = adjacency(edges, True) if direction == "out" else adjacency(edges, True).select(F.col("next").alias("node"), F.col("node").alias("next")) if direction == "in" else adjacency(edges, False)
+    first = Window.partitionBy("node").orderBy("next")
+    step = step.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_nodes).drop("_r")
     known = adjacency(edges, False).select("node").distinct()
     level = centers.join(known, F.col("entity") == F.col("node"), "left_semi").select("query_id", F.col("entity").alias("id")).distinct().withColumn("depth", F.lit(0))
     found = level

@@ -33,20 +33,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
-    """name, id from lines of "name ... number" or JSON objects; lines of neither kind are skipped, the greatest number of a name wins."""
-    lines = read_lines(spark, path)
-    pairs = lines.filter("value like '{%'").select(F.explode(F.from_json("value", "map<string,int>")).alias("name", "id"))
-    plain = lines.filter("value not like '{%'").select(F.regexp_extract("value", r"^(.*\S)\s+(\S+)$", 1).alias("name"), F.expr(r"try_cast(regexp_extract(value, '^(.*\\S)\\s+(\\S+)$', 2) as int)").alias("id"))
-    return pairs.unionByName(plain).filter("name <> '' and id is not null").groupBy("name").agg(F.max("id").alias("id"))
+    """name, id from lines of "name ... number" or JSON objects; lines of neither kind are skipped, the last line of a name wins (files by path)."""
+    # a split is read in order, so the place in it and the split's start give the place in the file
+    at = F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), at.alias("at")).filter("value <> ''")
+    pairs = lines.filter("value like '{%'").select("at", F.explode(F.from_json("value", "map<string,int>")).alias("name", "id"))
+    plain = lines.filter("value not like '{%'").select("at", F.regexp_extract("value", r"^(.*\S)\s+(\S+)$", 1).alias("name"), F.expr(r"try_cast(regexp_extract(value, '^(.*\\S)\\s+(\\S+)$', 2) as int)").alias("id"))
+    return pairs.unionByName(plain).filter("name <> '' and id is not null").groupBy("name").agg(F.max_by("id", "at").alias("id"))
 
 
-def read_triple_lines(spark: SparkSession, path: str, entities: DataFrame, relations: DataFrame) -> DataFrame:
+def read_triple_lines(spark: SparkSession, path: str, entities: DataFrame, relations: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Triples from lines split by tabs, or else by white space; ids joined by exact name, time_id "0" by default.
 
-    entities and relations are (name, id).
+    entities and relations are (name, id). With max_rows, only so many valid lines are read.
     """
+    if max_rows is not None and max_rows <= 0:
+        raise ValueError("max_rows must be above 0")
     parts = read_lines(spark, path).select(F.when(F.size(F.split("value", "\t")) >= 3, F.split("value", "\t")).otherwise(F.split("value", r"\s+")).alias("p")).filter("size(p) >= 3")
     rows = parts.select(*(F.trim(F.col("p")[i]).alias(n) for i, n in enumerate(("head_entity", "relation_code", "tail_entity"))), F.coalesce(F.nullif(F.trim(F.get("p", 3)), F.lit("")), F.lit("0")).alias("time_id"))
+    rows = rows if max_rows is None else rows.limit(max_rows)
     out = rows.join(entities.select(F.col("name").alias("head_entity"), F.col("id").alias("head_id")), "head_entity", "left")
     out = out.join(entities.select(F.col("name").alias("tail_entity"), F.col("id").alias("tail_id")), "tail_entity", "left")
     return out.join(relations.select(F.col("name").alias("relation_code"), F.col("id").alias("internal_relation_id")), "relation_code", "left").select(*TRIPLE_COLUMNS)
@@ -109,3 +114,37 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def upsert_by_id(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows of new replace those of existing with the same id."""
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def get_by(store: DataFrame, ids: DataFrame | None = None, where: Column | None = None, key: str = "id") -> DataFrame:
+    """Rows of a store by ids, by a condition, or by both; all rows without either."""
+    out = store if ids is None else store.join(ids.select(key), key, "left_semi")
+    return out if where is None else out.filter(where)
+
+
+def delete_by(store: DataFrame, ids: DataFrame | None = None, where: Column | None = None, key: str = "id") -> DataFrame:
+    """The store without the rows that get_by finds; a condition that is null deletes nothing. One of both must be given."""
+    if ids is None and where is None:
+        raise ValueError("ids or where must be given")
+    if ids is None:
+        return store.filter(~F.coalesce(where, F.lit(False)))
+    if where is None:
+        return store.join(ids.select(key), key, "left_anti").select(store.columns)
+    named = ids.select(key).distinct().withColumn("_named", F.lit(True))
+    return store.join(named, key, "left").filter(F.col("_named").isNull() | ~F.coalesce(where, F.lit(False))).select(store.columns)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object or list that may go over several lines."""
+    return spark.read.json(path, multiLine=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, in UTF-8; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def event_lines(events: DataFrame, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """value: one JSON line an event, the columns named in hidden replaced by a mark where they hold something."""
+    shown = [F.when(F.col(c).isNotNull(), F.lit("[redacted]")).alias(c) if c in hidden else F.col(c) for c in events.columns]
+    return events.select(F.to_json(F.struct(*shown)).alias("value"))
