@@ -90,7 +90,11 @@ def kg_evidence_dedup(spark, sf_dir):
     return E.fuse(E.from_neighbors(seeds.join(found, "entity"))).select(*_COLS, F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (ans_display, ans_intent, ans_compose, kg_evidence_dedup, kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
+def kg_evidence_ids(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "evidence_type", "rank", E.evidence_id().alias("evidence_id"))
+
+
+QUERIES = {f.__name__: f for f in (kg_evidence_ids, ans_display, ans_intent, ans_compose, kg_evidence_dedup, kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
 
 
 def _light(x):
@@ -145,6 +149,8 @@ def _case(value):
 _NAME = "upper({0}[1]) || {0}[2:]"
 _C = "query_id, evidence_type, source_entity, relation, target_entity, text"
 ORACLES = {
+    "kg_evidence_ids": f"""{_SQL} SELECT query_id, evidence_type, rank, 'ev_' || substr(md5(evidence_type || chr(1) || source_entity || chr(1) || relation || chr(1) || target_entity || chr(1)
+        || coalesce(array_to_string(path, chr(2)), '') || chr(1) || text), 1, 12) AS evidence_id FROM fused""",
     "ans_display": f"WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT node_key, trim(name) AS t FROM nodes) SELECT node_key, {_DISPLAY} AS name FROM d",
     "ans_intent": f"WITH d AS (SELECT conv_id, turn, role, {_ASKED} AS q FROM conversations) SELECT conv_id, turn, role, {_case(lambda g, l: g)} AS relation_group, {_case(lambda g, l: l)} AS answer_label FROM d",
     "ans_compose": f"""{_SQL}, rels AS (SELECT query_id, string_agg({_NAME.format('source_entity')} || ' 与 ' || {_NAME.format('target_entity')} || ' 之间存在“' || relation || '”关系', '；' ORDER BY k) AS r

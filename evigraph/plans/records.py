@@ -8,6 +8,7 @@ from evigraph.functions import text as T
 from evigraph.operators import evaluation as V
 from evigraph.operators import memory as M
 from evigraph.operators import resolve
+from evigraph.sources import readers
 from evigraph.sources.graph_tables import EDGES_SQL, NODES_SQL, nodes, table
 from evigraph.streaming import sessions as S
 
@@ -55,6 +56,58 @@ def mem_explicit_capture(spark, sf_dir):
     return M.explicit_capture(_messages(spark, sf_dir))
 
 
+def _tenants(spark, sf_dir):
+    """Each message as a memory of a user with four sessions; every second one belongs to its session, every fifth is superseded."""
+    c = table(spark, sf_dir, "conversations")
+    user = F.floor(F.col("conv_id") / 4).cast("string")
+    own = F.when(F.col("turn") % 2 == 0, F.col("conv_id").cast("string"))
+    status = F.when(F.col("turn") % 5 == 0, "superseded").otherwise("active")
+    return c.select(
+        F.concat_ws("-", "conv_id", "turn", "role").alias("memory_id"), F.lit("chat").alias("namespace"), user.alias("user_id"), F.lit(None).cast("string").alias("project_id"), own.alias("session_id"),
+        status.alias("status"), F.lit(None).cast("string").alias("expires_at"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 86400).alias("updated_at"),
+    )
+
+
+def mem_scoped(spark, sf_dir):
+    """What each session sees of its user's memories; sessions of odd number ask for none in particular."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    session = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id").cast("string"))
+    asked = c.select(F.col("conv_id").alias("query_id"), F.lit("chat").alias("namespace"), F.floor(F.col("conv_id") / 4).cast("string").alias("user_id"), F.lit("").alias("project_id"), session.alias("session_id"))
+    return M.scoped(_tenants(spark, sf_dir), asked, AS_OF).select("query_id", "memory_id", "rank")
+
+
+def mem_supersede(spark, sf_dir):
+    m = _memories(spark, sf_dir).withColumn("status", F.lit("active"))
+    return M.supersede(m, m.filter("updated_at >= timestamp_seconds(1700000000 + 3 * 86400)")).select("memory_id", "scope", "status")
+
+
+def mem_forget(spark, sf_dir):
+    m = _memories(spark, sf_dir)
+    return M.forget(m, m.filter("updated_at >= timestamp_seconds(1700000000 + 3 * 86400)")).select("memory_id", "scope")
+
+
+def eval_run_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return V.run_summary(d.select((F.col("toxic") == 1).alias("has_error"), F.col("text").alias("answer"), F.col("quality").alias("num_evidence"), (F.col("n_chars") % 3).alias("num_grounded_entities")))
+
+
+def er_clean_mention(spark, sf_dir):
+    """The first three words of each document as a mention."""
+    words = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("m"))
+    return d.select("doc_id", T.clean_mention(F.col("m")).alias("mention"), T.valid_entity(F.col("m")).alias("valid"))
+
+
+def er_node_key(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node_key", T.node_key(F.col("name")).alias("index_key"))
+
+
+def vec_store_delete(spark, sf_dir):
+    """The store after the vectors of label 3 with an id divisible by 4 are deleted."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return readers.delete_by(v, v.filter("vec_id % 4 = 0"), F.col("label") == 3, "vec_id")
+
+
 def _cases(spark, sf_dir):
     """Each labelled document as a case: its first five words are asked for, and its own text answers."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -135,6 +188,7 @@ def ev_stream_sessions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    mem_scoped, mem_supersede, mem_forget, eval_run_summary, er_clean_mention, er_node_key, vec_store_delete,
     mem_recent_messages, mem_token_estimate, mem_summary, mem_lexical_retrieve, mem_sensitive_filter, mem_upsert, mem_explicit_capture, eval_bool_summary, eval_numeric_summary, eval_keyword_recall,
     eval_match_metrics, eval_count_by_key, er_normalize_mention, er_router_label, er_quoted_mentions, er_proper_mentions, kg_alias_map, kg_alias_first_wins, er_alias_link, er_ground, etl_json_props, ev_stream_tumbling, ev_stream_sessions,
 )}
@@ -152,7 +206,28 @@ _LINK = f"""WITH {EDGES_SQL}, {NODES_SQL}, {_ALIAS}, amap AS (SELECT alias_key,
     h AS (SELECT *, row_number() OVER (PARTITION BY query_id, mention ORDER BY tier, node_key) AS r FROM t JOIN amap USING (alias_key)),
     lk AS (SELECT query_id, mention, node_key, CASE WHEN node_key IS NULL THEN 0.0::DOUBLE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM ment LEFT JOIN (SELECT * FROM h WHERE r = 1) USING (query_id, mention))"""
 _SENS = " OR ".join(f"regexp_matches(text, '{p}')" for p in T.SENSITIVE)
+_OUTER = T.OUTER.replace("'", "''")
+_CLEAN = f"trim(regexp_replace(coalesce(m, ''), '\\s+', ' ', 'g'), '{_OUTER}')"
+for _p in T.PREFIXES:
+    _CLEAN = f"trim(regexp_replace({_CLEAN}, '(?i)^{_p}', ''))"
+for _p in T.SUFFIXES:
+    _CLEAN = f"trim(regexp_replace({_CLEAN}, '(?i){_p}$', ''))"
+_NO_ENTITY = ", ".join(f"'{w}'" for w in T.NO_ENTITY)
 ORACLES = {
+    "mem_scoped": """WITH m AS (SELECT conv_id || '-' || turn || '-' || role AS memory_id, conv_id // 4 AS u, CASE WHEN turn % 2 = 0 THEN conv_id END AS s, turn AS t FROM conversations WHERE turn % 5 <> 0),
+        a AS (SELECT DISTINCT conv_id AS query_id, conv_id // 4 AS u, CASE WHEN conv_id % 2 = 0 THEN conv_id END AS s FROM conversations)
+        SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, memory_id) AS rank FROM a JOIN m ON a.u = m.u AND (a.s IS NULL OR m.s IS NULL OR a.s = m.s)""",
+    "mem_supersede": "SELECT conv_id || '-' || turn AS memory_id, conv_id AS scope, CASE WHEN turn >= 3 THEN 'superseded' ELSE 'active' END AS status FROM conversations WHERE role = 'user'",
+    "mem_forget": "SELECT conv_id || '-' || turn AS memory_id, conv_id AS scope FROM conversations WHERE role = 'user' AND turn < 3",
+    "eval_run_summary": """WITH d AS (SELECT coalesce(toxic = 1, false) AS e, trim(coalesce(text, '')) <> '' AS a, coalesce(quality, 0) > 0 AS v, coalesce(n_chars % 3, 0) > 0 AS g FROM documents JOIN labels USING (doc_id))
+        SELECT count(*) AS total, count_if(e) AS num_errors, count_if(a) AS num_with_answer, count_if(v) AS num_with_evidence, count_if(g) AS num_with_grounded_entities, round_even(count_if(e) / count(*), 4) AS errors_rate,
+        round_even(count_if(a) / count(*), 4) AS with_answer_rate, round_even(count_if(v) / count(*), 4) AS with_evidence_rate, round_even(count_if(g) / count(*), 4) AS with_grounded_entities_rate FROM d""",
+    "er_clean_mention": f"""WITH d AS (SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 3), ' ') AS m FROM documents),
+        n AS (SELECT doc_id, m, trim(regexp_replace(coalesce(m, ''), '\\s+', ' ', 'g'), '{_OUTER}') AS n FROM d)
+        SELECT doc_id, trim({_CLEAN}, '{_OUTER}') AS mention, n <> '' AND length(n) <= 120 AND (length(n) > 1 OR regexp_matches(n, '^[A-Z]$')) AND NOT regexp_matches(n, '^\\p{{Nd}}+$') AND NOT regexp_matches(n, '^[^\\p{{L}}\\p{{N}}]+$')
+        AND trim(lower(n)) NOT IN ({_NO_ENTITY}) AS valid FROM n""",
+    "er_node_key": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT node_key, trim(regexp_replace(translate(translate(lower(coalesce(name, '')), '{T.ACCENTED}', '{T.PLAIN}'), '_-', '  '), '\\s+', ' ', 'g')) AS index_key FROM nodes",
+    "vec_store_delete": "SELECT vec_id, label FROM embeddings WHERE NOT (vec_id % 4 = 0 AND coalesce(label = 3, false))",
     "mem_recent_messages": f"WITH {_RECENT} SELECT session, turn, role, age FROM m WHERE age <= 5",
     "mem_token_estimate": """SELECT conv_id AS session, turn, role, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(a / 4 + (length(text) - a) / 1.5::DOUBLE))::INT END AS n_tokens
         FROM (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS a FROM conversations)""",
