@@ -154,7 +154,8 @@ def near_vectors(vectors: DataFrame, key: str, vector: str, label: str, threshol
     (smallest key reachable by links, itself included), kept (vec_id = component_id). Vectors that
     are null, empty, zero or hold null or non-finite components, and rows with a null label or a
     null key, link with nothing; vectors of different lengths do not link. Equal vectors are
-    compared once and counted as often as they occur (repeated rows too). An empty table gives no
+    compared once and counted as often as they occur (repeated rows too). Keys are to be unique:
+    different vectors of one key count as one node, whose links add up. An empty table gives no
     rows. Only the three named columns are read.
     """
     spark = vectors.sparkSession
@@ -175,7 +176,7 @@ def near_vectors(vectors: DataFrame, key: str, vector: str, label: str, threshol
     found = scratch.save(dealt.groupBy("_slot").applyInArrow(_compare(threshold), "kind int, a long, b long"), "found")
     links = found.filter("kind = 1").select("a", "b")
     degree = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("degree")).withColumnRenamed("a", "rep")
-    # equal vectors under one key each are one node; a key that two different vectors share joins them nowhere
+    # a node is the least key of equal vectors, so different vectors under one key are one node
     joined = components(links, "a", "b", scratch).withColumnRenamed("id", "rep")
     by_rep = same.select("label", "unit", "rep", "weight").join(degree, "rep", "left").join(joined, "rep", "left")
     solved = keyed.select("vec", "label", "unit").join(by_rep, ["label", "unit"])

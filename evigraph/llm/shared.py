@@ -1,7 +1,7 @@
 """Work that every executor can see: tables in the folder named by ``spark.checkpoint.dir``.
 
-The folder is read from the session. Only where it is unset (tests on one machine) is a
-temporary folder made and set as the checkpoint folder.
+The folder is read from the session. Only where it is unset on one machine (as in tests) is a
+temporary folder made and set as the checkpoint folder; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evigraph-"))
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return where.rstrip("/")

@@ -1,11 +1,15 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; results are in the docstrings."""
 
+import math
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, secrets, sharding, toxicity
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, secrets, sharding, shared, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 BPE = P.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +45,37 @@ def test_sharding(docs):
         sharding.assign_shards(docs, "doc_id", [0.0])
 
 
+def test_sharding_equals_a_plain_search(docs):
+    """The owner of every key by hashing it with each shard's number outside Spark."""
+
+    def owner(key, weights):
+        seed = xxhash.xxh64_intdigest(("null" if key is None else str(key)).encode(), 42)
+        u = [((xxhash.xxh64_intdigest(struct.pack("<i", k), seed) >> 11) + 0.5) / 2**53 for k in range(len(weights))]
+        return max(range(len(weights)), key=lambda k: (-weights[k] / math.log(u[k]), -k))
+
+    for weights, more in (([1.0] * 16, [1.0]), ([0.5, 3.0, 1.0], [2.0, 1.0]), ([1.0], [1.0])):
+        rows = docs.select("doc_id", "text").unionByName(docs.sparkSession.range(500).selectExpr("id as doc_id", "'t' as text"))
+        for r in sharding.assign_shards(rows, "doc_id", weights, more, payload="text").collect():
+            assert (r["shard"], r["grown_shard"]) == (owner(r["doc_id"], weights), owner(r["doc_id"], [*weights, *more]))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Unset:
+        conf = type("", (), {"get": lambda self, *a: None})()
+        sparkContext = type("", (), {"master": "local-cluster[2,1,1024]"})()
+
+    held = type("", (), {"isDefined": lambda self: False})()
+    Unset.sparkContext._jsc = type("", (), {"sc": lambda self: type("", (), {"getCheckpointDir": lambda self: held})()})()
+    with pytest.raises(ValueError):
+        shared.shared_dir(Unset())
+
+
+def test_vectors_that_share_a_key(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [0.0, 1.0], 0), (3, [1.0, 1.0], 0)], "vec_id long, v array<double>, label int")
+    got = embedding_dedup.near_vectors(d, "vec_id", "v", "label").collect()
+    assert len(got) == 5 and {r.vec_id: r.component_id for r in got} == {1: 1, 2: 1, None: None, 3: 3}
+
+
 def test_sharding_by_weight(spark):
     got = sharding.assign_shards(spark.range(20_000).withColumnRenamed("id", "k"), "k", [1.0, 3.0]).groupBy("shard").count().collect()
     assert abs({r["shard"]: r["count"] for r in got}[1] - 15_000) < 400
@@ -352,7 +387,6 @@ def test_toxicity_learns_from_every_feature(spark, shared):
 
 def test_kneser_ney_against_brute_force(spark):
     import collections
-    import math
 
     rng = np.random.default_rng(4)
     texts = [(i, " ".join(f"w{min(rng.geometric(0.15), 40)}" for _ in range(rng.integers(0, 40)))) for i in range(80)] + [(90, None), (91, "")]
