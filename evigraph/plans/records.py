@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 from evigraph.operators import evaluation as V
 from evigraph.operators import memory as M
-from evigraph.operators import resolve
+from evigraph.operators import mentions, resolve
 from evigraph.sources import readers
 from evigraph.sources.graph_tables import EDGES_SQL, NODES_SQL, nodes, table
 from evigraph.streaming import sessions as S
@@ -172,6 +172,32 @@ def er_ground(spark, sf_dir):
     return resolve.ground(resolve.link(_mentions(spark, sf_dir), resolve.aliases(n)), n)
 
 
+def _nations(spark, sf_dir):
+    """The nations as entities, and mentions of them: an alias, a name within other words, and one that says little."""
+    name, key = F.col("n_name"), F.col("n_nationkey")
+    t = table(spark, sf_dir, "nation")
+    said = F.when(key % 3 == 0, F.lower(name)).when(key % 3 == 1, F.concat_ws(" ", name, name, F.lit("land"))).otherwise(F.concat(F.lit("nation of "), name))
+    return t.select(key.cast("long").alias("id"), F.concat(F.lit("nation:"), key).alias("node_key"), name.alias("name")), t.select(key.cast("long").alias("query_id"), said.alias("mention"))
+
+
+def er_extract(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Where was "), "c_name", F.lit(" born?")).alias("query"))
+    return mentions.extract(c)
+
+
+def er_link_candidates(spark, sf_dir):
+    entities, said = _nations(spark, sf_dir)
+    out = resolve.candidates(said, resolve.aliases(nodes(spark, sf_dir)), entities, resolve.name_search(entities), 3)
+    return out.select("query_id", "mention", "rank", "node_key", F.round("score", 6).alias("score"), "source", "selected", "status")
+
+
+def er_resolve(spark, sf_dir):
+    """Questions that quote a nation, to nodes of the graph."""
+    entities, n = _nations(spark, sf_dir)[0], nodes(spark, sf_dir)
+    asked = entities.select(F.col("id").alias("query_id"), F.concat(F.lit('"'), "name", F.lit('" 是什么')).alias("query"))
+    return resolve.resolve(asked, resolve.aliases(n), entities, n, resolve.name_search(entities))
+
+
 def etl_json_props(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"), F.countDistinct("user_id").alias("n_users"))
@@ -188,7 +214,7 @@ def ev_stream_sessions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mem_scoped, mem_supersede, mem_forget, eval_run_summary, er_clean_mention, er_node_key, vec_store_delete,
+    er_extract, er_link_candidates, er_resolve, mem_scoped, mem_supersede, mem_forget, eval_run_summary, er_clean_mention, er_node_key, vec_store_delete,
     mem_recent_messages, mem_token_estimate, mem_summary, mem_lexical_retrieve, mem_sensitive_filter, mem_upsert, mem_explicit_capture, eval_bool_summary, eval_numeric_summary, eval_keyword_recall,
     eval_match_metrics, eval_count_by_key, er_normalize_mention, er_router_label, er_quoted_mentions, er_proper_mentions, kg_alias_map, kg_alias_first_wins, er_alias_link, er_ground, etl_json_props, ev_stream_tumbling, ev_stream_sessions,
 )}
@@ -205,6 +231,26 @@ _LINK = f"""WITH {EDGES_SQL}, {NODES_SQL}, {_ALIAS}, amap AS (SELECT alias_key,
     t AS (SELECT query_id, mention, 0 AS tier, mention AS alias_key FROM ment UNION ALL SELECT query_id, mention, 1, lower(mention) FROM ment UNION ALL SELECT query_id, mention, 2, {_MENTION.format('mention')} FROM ment),
     h AS (SELECT *, row_number() OVER (PARTITION BY query_id, mention ORDER BY tier, node_key) AS r FROM t JOIN amap USING (alias_key)),
     lk AS (SELECT query_id, mention, node_key, CASE WHEN node_key IS NULL THEN 0.0::DOUBLE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM ment LEFT JOIN (SELECT * FROM h WHERE r = 1) USING (query_id, mention))"""
+_SAID = "SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name || ' ' || n_name || ' land' ELSE 'nation of ' || n_name END AS mention FROM nation"
+
+
+def _hashed(rows, cells):
+    """Cells of hashed words of rows (k, t), of unit length."""
+    return f"""{rows}_t AS (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM {rows}),
+    {rows}_c AS (SELECT k, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 AS idx, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM {rows}_t GROUP BY 1, 2),
+    {cells} AS (SELECT k, idx, s / sqrt(sum(s * s) OVER (PARTITION BY k)) AS v FROM {rows}_c WHERE s <> 0)"""
+
+
+_CANDIDATES = f"""{_LINK.replace("SELECT n_nationkey AS query_id, lower(translate(n_name, '_', ' ')) AS mention FROM nation", _SAID)},
+    ent AS (SELECT 'nation:' || n_nationkey AS node_key, n_nationkey AS id, n_name AS name FROM nation),
+    asked AS (SELECT query_id AS k, mention, ent.id AS own, coalesce(ent.name, mention) AS t FROM lk LEFT JOIN ent USING (node_key)), names AS (SELECT id AS k, name AS t FROM ent),
+    {_hashed("asked", "qc")}, {_hashed("names", "ec")}, dots AS (SELECT qc.k AS q, ec.k AS id, sum(qc.v * ec.v) AS c FROM qc JOIN ec USING (idx) GROUP BY 1, 2),
+    d AS (SELECT a.k AS q, e.k AS id, round(1 - coalesce(c, 0), 9) AS d FROM asked a CROSS JOIN names e LEFT JOIN dots ON dots.q = a.k AND dots.id = e.k),
+    near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM d QUALIFY r <= 3),
+    u AS (SELECT k AS q, own AS id, 1.0::DOUBLE AS score, 'alias_map' AS source, 0 AS r FROM asked WHERE own IS NOT NULL
+          UNION ALL SELECT q, id, least(1, greatest(0, 1 - d)), 'vector', r FROM near JOIN asked ON k = q WHERE own IS NULL OR own <> id),
+    z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r, id) AS rank, score - coalesce(lead(score) OVER (PARTITION BY q ORDER BY r, id), 0) AS margin FROM u),
+    s AS (SELECT *, rank = 1 AND (source = 'alias_map' OR (round(score, 9) >= 0.72 AND round(margin, 9) >= 0.05)) AS selected FROM z WHERE rank <= 3)"""
 _SENS = " OR ".join(f"regexp_matches(text, '{p}')" for p in T.SENSITIVE)
 _OUTER = T.OUTER.replace("'", "''")
 _CLEAN = f"trim(regexp_replace(coalesce(m, ''), '\\s+', ' ', 'g'), '{_OUTER}')"
@@ -214,6 +260,11 @@ for _p in T.SUFFIXES:
     _CLEAN = f"trim(regexp_replace({_CLEAN}, '(?i){_p}$', ''))"
 _NO_ENTITY = ", ".join(f"'{w}'" for w in T.NO_ENTITY)
 ORACLES = {
+    "er_extract": """SELECT c_custkey AS query_id, 1 AS rank, c_name AS mention, 10 AS "start", 10 + length(c_name) AS "end", 0.93::DOUBLE AS confidence FROM customer
+        UNION ALL SELECT c_custkey, 2, 'Customer', 10, 18, 0.78::DOUBLE FROM customer""",
+    "er_link_candidates": f"""{_CANDIDATES} SELECT q AS query_id, mention, rank, 'nation:' || id AS node_key, round(score, 6) AS score, source, selected,
+        CASE WHEN max(selected::INT) OVER (PARTITION BY q) = 1 THEN 'selected' ELSE 'need_confirmation' END AS status FROM s JOIN asked ON k = q""",
+    "er_resolve": "SELECT n_nationkey AS query_id, n_name AS mention, 'nation:' || n_nationkey AS node_key, 'direct_node_key' AS method, 1.0::DOUBLE AS score, 1 AS rank FROM nation",
     "mem_scoped": """WITH m AS (SELECT conv_id || '-' || turn || '-' || role AS memory_id, conv_id // 4 AS u, CASE WHEN turn % 2 = 0 THEN conv_id END AS s, turn AS t FROM conversations WHERE turn % 5 <> 0),
         a AS (SELECT DISTINCT conv_id AS query_id, conv_id // 4 AS u, CASE WHEN conv_id % 2 = 0 THEN conv_id END AS s FROM conversations)
         SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, memory_id) AS rank FROM a JOIN m ON a.u = m.u AND (a.s IS NULL OR m.s IS NULL OR a.s = m.s)""",
