@@ -93,10 +93,12 @@ def fuse(evidence: DataFrame, max_evidence: int = MAX_EVIDENCE, min_score: float
     return out.filter(F.col("rank") <= max_evidence).drop("_key", "_r", "_o")
 
 
-def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_nodes: int = 4) -> DataFrame:
+def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_nodes: int = 4, subgraph_nodes: int = 0) -> DataFrame:
     """Fused evidence for every query (query_id, entities array): relations and paths of all pairs, neighbours of each entity.
 
-    Neighbours are searched once for each distinct entity, however many queries name it.
+    Neighbours are searched once for each distinct entity, however many queries name it. With
+    subgraph_nodes over 0, the edges of a subgraph of so many nodes around all entities count too,
+    cut to MAX_EVIDENCE before the whole is; the other searches find fewer than that by themselves.
     """
     named = queries.select("query_id", F.posexplode("entities").alias("at", "entity"))
     a, b = named.select("query_id", F.col("at").alias("i"), F.col("entity").alias("source")), named.select("query_id", F.col("at").alias("j"), F.col("entity").alias("target"))
@@ -105,7 +107,11 @@ def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_
     paths = from_paths(search.path_search(edges, pairs, max_nodes=max_nodes), edges)
     around = search.neighbor_search(edges, named.select(F.col("entity").alias("query_id"), "entity").distinct(), "both", max_neighbors).drop("query_id", "rank")
     neighbors = from_neighbors(named.select("query_id", "entity").distinct().join(around, "entity"))
-    return fuse(relations.unionByName(paths).unionByName(neighbors))
+    found = relations.unionByName(paths).unionByName(neighbors)
+    if subgraph_nodes > 0:
+        around = search.subgraph_search(edges, named.select("query_id", "entity").distinct(), max_nodes=subgraph_nodes)[1]
+        found = found.unionByName(fuse(from_subgraph(around)).drop("rank"))
+    return fuse(found)
 
 
 def _entity_overlap(query: Column) -> Column:

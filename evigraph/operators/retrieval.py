@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +21,24 @@ QUERY_BLOCK = 2000
 SCORED, KEPT_WORDS = 256, 200_000
 CHANNEL_WEIGHTS = {"vector": 0.60, "entity": 0.30, "keyword": 0.10}
 UNKNOWN_WEIGHT, SOURCE_BONUS = 0.20, 0.08
+CROSS_WEIGHT = 0.65
 RERANK_WEIGHTS = {"base": 0.45, "overlap": 0.25, "entity": 0.15, "source": 0.10, "length": 0.05}
 
 
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    """Rows of lists of numbers, shorter ones filled with zeros."""
+    sizes = np.diff(v.offsets.to_numpy())
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None] < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def _top(k: int, metric: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         is_query = table.column("q").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
+        x = _matrix(table.column("v").combine_chunks())
         a, b, qi, vi = x[is_query], x[~is_query], ids[is_query], ids[~is_query]
         if not len(qi) or not len(vi):
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
@@ -47,10 +58,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq") ->
     """The k nearest vectors (id, v) of every query (id, v): query_id, id, distance, score = 1 - distance in [0, 1], rank.
 
     Blocks of queries meet blocks of vectors; each pair of blocks keeps k a query, so no task holds
-    more than two blocks. Distances are compared at nine digits; ties go to the smaller id.
+    more than two blocks. Distances are compared at nine digits; ties go to the smaller id. Vectors
+    that are null or hold null or non-finite numbers are left out, as are rows without an id; of two
+    vectors of different lengths, the shorter one counts as filled with zeros. A vector of zeros has
+    the cosine 0 with all.
     """
     n, m = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
-    usable = "v is not null"
+    usable = "id is not null and v is not null and forall(v, x -> x is not null and abs(x) < double('infinity'))"
     q = queries.filter(usable).select(F.lit(True).alias("q"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("vb"))
     v = vectors.filter(usable).select(F.lit(False).alias("q"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("vb"))
     part = q.unionByName(v).groupBy("qb", "vb").applyInArrow(_top(k, metric), "query_id long, id long, distance double")
@@ -176,19 +190,46 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFram
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def merge_channels(hits: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
+def check_weights(weights: dict[str, float]) -> dict[str, float]:
+    """Weights must be finite and not negative, and one of them positive; they are not rescaled."""
+    if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    if not any(w > 0 for w in weights.values()):
+        raise ValueError("at least one weight must be positive")
+    return weights
+
+
+def merge_channels(hits: DataFrame, k: int = 10, min_score: float = 0.0, weights: dict[str, float] | None = None) -> DataFrame:
     """Merge hits (query_id, id, channel, score) of several channels: weighted sum, more for several channels, in [0, 1].
 
-    A channel that returns an id twice adds twice.
+    A channel that returns an id twice adds twice. Columns: query_id, id, score, n_sources, rank, channel (the first by
+    name), raw_scores (each channel's best).
     """
     weight = F.lit(UNKNOWN_WEIGHT)
-    for channel, w in CHANNEL_WEIGHTS.items():
+    for channel, w in check_weights(CHANNEL_WEIGHTS if weights is None else weights).items():
         weight = F.when(F.col("channel") == channel, w).otherwise(weight)
-    out = hits.groupBy("query_id", "id").agg(F.sum(F.col("score") * weight).alias("raw"), F.countDistinct("channel").alias("n_sources"))
+    each = hits.groupBy("query_id", "id", "channel").agg(F.sum("score").alias("sum"), F.max("score").alias("best"))
+    out = each.groupBy("query_id", "id").agg(
+        F.sum(F.col("sum") * weight).alias("raw"), F.count("channel").alias("n_sources"), F.min("channel").alias("channel"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "best")))).alias("raw_scores")
+    )
     out = out.withColumn("score", F.round(T.clip(F.col("raw") * (1 + SOURCE_BONUS * (F.col("n_sources") - 1))), 9))
     out = out.filter(F.col("score") >= min_score) if min_score > 0 else out
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "n_sources", "rank")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "n_sources", "rank", "channel", "raw_scores")
+
+
+def hybrid(channels: dict[str, DataFrame], k: int = 10, min_score: float = 0.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """Hits (query_id, id, score) of each named channel, merged; a channel without hits changes nothing."""
+    parts = [hits.select("query_id", "id", F.lit(name).alias("channel"), F.col("score").cast("double").alias("score")) for name, hits in channels.items()]
+    if not parts:
+        raise ValueError("no channel to search")
+    return merge_channels(reduce(DataFrame.unionByName, parts).filter("query_id is not null and id is not null"), k, min_score, weights)
+
+
+def retrieve_and_rerank(queries: DataFrame, texts: DataFrame, channels: dict[str, DataFrame], k: int = 10, top: int = 8, min_score: float = 0.0) -> DataFrame:
+    """Hybrid retrieval of k hits, then re-ranking to the top ones: queries (query_id, query), texts (id, text)."""
+    hits = hybrid(channels, k, min_score).drop("rank").join(queries.select("query_id", "query"), "query_id").join(texts.select("id", "text"), "id")
+    return rerank(hits, top)
 
 
 def rerank(candidates: DataFrame, k: int = 8, entities: str | None = None, metadata: str | None = None) -> DataFrame:
@@ -213,3 +254,10 @@ def min_max(df: DataFrame, score: str) -> DataFrame:
     w = Window.partitionBy("query_id")
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return df.withColumn("scaled", F.when(hi == lo, 0.5).otherwise((F.col(score) - lo) / (hi - lo)))
+
+
+def blend(ranked: DataFrame, cross: str, rule: str = "rerank_score", k: int = 8) -> DataFrame:
+    """Re-rank by a cross-encoder's given scores, scaled in each query, and the rules' score: query_id, id, blended, rank."""
+    total = F.round(CROSS_WEIGHT * F.col("scaled") + (1 - CROSS_WEIGHT) * F.col(rule), 9)
+    out = min_max(ranked, cross).select("query_id", "id", total.alias("blended"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("blended"), "id"))).filter(F.col("rank") <= k)

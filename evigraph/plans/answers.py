@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import answering as A
 from evigraph.operators import evidence as E
+from evigraph.plans import graph
 from evigraph.sources.graph_tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 
@@ -94,7 +95,12 @@ def kg_evidence_ids(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "evidence_type", "rank", E.evidence_id().alias("evidence_id"))
 
 
-QUERIES = {f.__name__: f for f in (kg_evidence_ids, ans_display, ans_intent, ans_compose, kg_evidence_dedup, kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
+def ev_subgraph(spark, sf_dir):
+    """The edges around every supplier as evidence."""
+    return E.fuse(E.from_subgraph(graph.kg_subgraph_edges(spark, sf_dir))).select(*_COLS, F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (ev_subgraph, kg_evidence_ids, ans_display, ans_intent, ans_compose, kg_evidence_dedup, kg_retrieve_evidence, ev_type_counts, ev_semantic_score, ev_selected, ev_rejected, ev_answerability, ev_reasoning_confidence, ev_citations, ev_text_block)}
 
 
 def _light(x):
@@ -159,6 +165,8 @@ ORACLES = {
         SELECT query_id, CASE answerability WHEN 'answerable' THEN '{A.SURE}' ELSE '{A.GENERIC_UNSURE}' END || r || '。' || CASE answerability WHEN 'uncertain' THEN chr(10) || chr(10) || '{A.CAUTION}' ELSE '' END
           || chr(10) || chr(10) || '依据是：' || b AS answer, 'rule' AS generation_type, answerability, round(semantic, 6) AS semantic_score, n_selected AS n_citations
         FROM ver JOIN rels USING (query_id) JOIN bas USING (query_id)""",
+    "ev_subgraph": f"""WITH g AS ({graph.ORACLES["kg_subgraph_edges"]}), e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY head, relation, tail) AS rank FROM g)
+        SELECT query_id, 'subgraph' AS evidence_type, head AS source_entity, relation, tail AS target_entity, head || ' --' || relation || '--> ' || tail AS text, 0.6::DOUBLE AS score, rank FROM e WHERE rank <= 30""",
     "kg_evidence_dedup": f"""{_SQL}, n AS (SELECT query_id, 'neighbor' AS evidence_type, src AS source_entity, relation, dst AS target_entity, src || ' --' || relation || '--> ' || dst AS text, max(score) AS score FROM q JOIN nb ON entity IN (a, b) GROUP BY ALL)
         SELECT * FROM (SELECT {_C}, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_entity, relation, target_entity) AS rank FROM n) WHERE rank <= 30""",
     "kg_retrieve_evidence": f"{_SQL} SELECT {_C}, round(score, 6) AS score, rank FROM fused",

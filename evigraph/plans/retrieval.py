@@ -75,7 +75,7 @@ def hyb_merge(spark, sf_dir):
     hits = _keyword(spark, sf_dir)[2].select("query_id", "id", F.lit("keyword").alias("channel"), "score")
     v = _vectors(spark, sf_dir)
     near = R.knn(v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi"), v, 20).select("query_id", "id", F.lit("vector").alias("channel"), "score")
-    return R.merge_channels(hits.unionByName(near)).withColumn("score", F.round("score", 6))
+    return R.merge_channels(hits.unionByName(near)).drop("channel", "raw_scores").withColumn("score", F.round("score", 6))
 
 
 def hyb_rerank(spark, sf_dir):
@@ -84,7 +84,31 @@ def hyb_rerank(spark, sf_dir):
     return R.rerank(c).withColumn("rerank_score", F.round("rerank_score", 6))
 
 
-QUERIES = {f.__name__: f for f in (vec_knn_l2sq, vec_knn_cosine, vec_knn_where, vec_margin_select, txt_tokenize, txt_inverted_index, txt_hash_embedding, txt_keyword_search, hyb_merge, hyb_rerank)}
+def _channels(spark, sf_dir):
+    queries, docs, hits = _keyword(spark, sf_dir)
+    v = _vectors(spark, sf_dir)
+    near = R.knn(v.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi"), v, 20)
+    return queries, docs, {"keyword": hits, "vector": near, "entity": near.filter("rank <= 5")}
+
+
+def hyb_three_channels(spark, sf_dir):
+    """Keyword hits, vector hits and, as entities, the five nearest vectors; hits below 0.2 go."""
+    out = R.hybrid(_channels(spark, sf_dir)[2], 10, 0.2)
+    raw = F.col("raw_scores")
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "n_sources", "channel", F.round(F.coalesce(raw["keyword"], F.lit(0.0)), 6).alias("keyword_score"), F.round(F.coalesce(raw["vector"], F.lit(0.0)), 6).alias("vector_score"), "rank")
+
+
+def hyb_retrieve_rerank(spark, sf_dir):
+    return R.retrieve_and_rerank(*_channels(spark, sf_dir)).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
+def hyb_blend(spark, sf_dir):
+    """Re-ranked keyword hits blended with given scores, here a number drawn from the length of the text."""
+    given = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.length("text") % 17).cast("double").alias("ce_score"))
+    return R.blend(hyb_rerank(spark, sf_dir).join(given, "id"), "ce_score", k=5).withColumn("blended", F.round("blended", 6))
+
+
+QUERIES = {f.__name__: f for f in (vec_knn_l2sq, vec_knn_cosine, vec_knn_where, vec_margin_select, txt_tokenize, txt_inverted_index, txt_hash_embedding, txt_keyword_search, hyb_merge, hyb_rerank, hyb_three_channels, hyb_retrieve_rerank, hyb_blend)}
 
 _KSTOPS = "[" + ", ".join(f"'{s}'" for s in T.KEYWORD_STOPS) + "]"
 _RSTOPS = "[" + ", ".join(f"'{s}'" for s in T.RERANK_STOPS) + "]"
@@ -146,3 +170,19 @@ ORACLES = {
         z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM g)
         SELECT query_id, id, round(s, 6) AS rerank_score, rank FROM z WHERE rank <= 8""",
 }
+
+_HYBRID = f"""WITH {_VEC}, {_KEYWORD}, {_knn_sql(_L2, 20, queries='q.id IN (SELECT item_id FROM benchmark)')},
+    hits AS (SELECT query_id, id, 'keyword' AS c, score AS raw, 0.1::DOUBLE AS w FROM k WHERE rank <= 10 UNION ALL SELECT query_id, id, 'vector', s, 0.6::DOUBLE FROM n UNION ALL SELECT query_id, id, 'entity', s, 0.3::DOUBLE FROM n WHERE rank <= 5),
+    m AS (SELECT query_id, id, count(DISTINCT c) AS n_sources, min(c) AS channel, coalesce(max(raw) FILTER (c = 'keyword'), 0) AS ks, coalesce(max(raw) FILTER (c = 'vector'), 0) AS vs,
+        round(least(1, greatest(0, sum(raw * w) * (1 + 0.08::DOUBLE * (count(DISTINCT c) - 1)))), 9) AS score FROM hits GROUP BY query_id, id)"""
+_SOURCE = "CASE WHEN n_sources >= 2 THEN 1.0::DOUBLE WHEN channel = 'entity' THEN 0.9::DOUBLE WHEN channel = 'vector' THEN 0.8::DOUBLE WHEN channel = 'keyword' THEN 0.65::DOUBLE ELSE 0.5::DOUBLE END"
+_RANKED = ORACLES["hyb_rerank"][ORACLES["hyb_rerank"].index("f AS (") :].replace("0.10::DOUBLE * 0.65::DOUBLE", f"0.10::DOUBLE * {_SOURCE}")
+ORACLES["hyb_three_channels"] = f"""{_HYBRID} SELECT query_id, id, round(score, 6) AS score, n_sources, channel, round(ks, 6) AS keyword_score, round(vs, 6) AS vector_score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m WHERE score >= 0.2::DOUBLE QUALIFY rank <= 10"""
+ORACLES["hyb_retrieve_rerank"] = f"""{_HYBRID}, best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+    c AS (SELECT best.query_id, best.id, best.score, n_sources, channel, q.query, dt.text, {_tokens('q.query', _RSTOPS)} AS qt,
+        list_distinct(list_filter(regexp_extract_all(dt.b, '[a-zA-Z0-9_]+'), lambda t: NOT list_contains({_RSTOPS}, t))) AS tt, dt.b FROM best JOIN q USING (query_id) JOIN dt USING (id)), {_RANKED}"""
+ORACLES["hyb_blend"] = f"""WITH h AS ({ORACLES["hyb_rerank"]}), j AS (SELECT query_id, id, rerank_score, (length(text) % 17)::DOUBLE AS ce FROM h JOIN documents ON doc_id = id),
+    x AS (SELECT *, min(ce) OVER w AS lo, max(ce) OVER w AS hi FROM j WINDOW w AS (PARTITION BY query_id)),
+    y AS (SELECT query_id, id, round(0.65::DOUBLE * CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE (ce - lo) / (hi - lo) END + 0.35::DOUBLE * rerank_score, 9) AS b FROM x)
+    SELECT query_id, id, round(b, 6) AS blended, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id) AS rank FROM y QUALIFY rank <= 5"""
