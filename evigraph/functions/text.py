@@ -153,6 +153,24 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(body == "", 0).otherwise(F.greatest(F.lit(1), F.floor(ascii_ / 4 + (F.length(body) - ascii_) / 1.5).cast("int")))
 
 
+def trim_tokens(text: Column, budget: int) -> Column:
+    """The longest beginning of a text whose estimate is at most budget, without white space at its end; a text that fits stays as it is."""
+    if budget <= 0:
+        return F.lit("")
+    body = F.coalesce(text, F.lit(""))
+    letters = F.regexp_extract_all(body, F.lit("(?s)(.)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("o"), F.lit(0).alias("n"))
+
+    def step(s: Column, c: Column) -> Column:
+        plain_ = c.rlike(r"^[\x00-\x7F]$")
+        a, o = s["a"] + F.when(plain_, 1).otherwise(0), s["o"] + F.when(plain_, 0).otherwise(1)
+        fits = F.floor(a / 4 + o / 1.5) <= budget
+        return F.struct(a.alias("a"), o.alias("o"), F.when(fits, a + o).otherwise(s["n"]).alias("n"))
+
+    kept = F.aggregate(letters, start, step, lambda s: s["n"])
+    return F.when(estimate_tokens(body) <= budget, body).otherwise(F.regexp_replace(F.substring(body, F.lit(1), kept), r"(?U)\s+$", ""))
+
+
 def quoted(text: Column) -> Column:
     """Texts within one of the pairs of quotes, without white space around them."""
     parts = [r'"([^"\n]{1,80})"', r"“([^”\n]{1,80})”", r"「([^」\n]{1,80})」", r"『([^』\n]{1,80})』", r"《([^》\n]{1,80})》"]
@@ -195,7 +213,8 @@ def route(query: Column) -> Column:
     )
 
 
-SENSITIVE = (r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", r"\bsk-[A-Za-z0-9_-]{8,}", r"(?i)bearer\s+[A-Za-z0-9._-]{8,}")
+# What counts as a secret in a memory.
+SENSITIVE = (r"(?i)\b(?:api[_ -]?key|access[_ -]?token|secret|password|passwd)\b\s*[:=]\s*\S+", r"(?i)\bsk-[a-z0-9_-]{12,}\b", r"(?i)\bbearer\s+[a-z0-9._~-]{12,}\b")
 
 
 def sensitive(text: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 
 MAX_MESSAGES, SUMMARY_MESSAGES, SUMMARY_CHARS = 20, 12, 720
+#: Candidates that one write takes.
+MOST_CANDIDATES = 8
+# Kinds of memories.
+MEMORY_TYPES = ("preference", "fact", "constraint", "project", "task", "summary", "note")
 # How a message asks to be remembered, and its negations.
 EXPLICIT = r"(?i)(?:remember that|please remember|记住|请记住)[:：,， ]*(.{2,500})"
 NEGATED = r"(?i)(?:don't remember|do not remember|不要记住|别记住)"
@@ -106,3 +110,22 @@ def unwritten(turns: DataFrame, written: DataFrame, key: str = "request_id") ->
     """Turns whose key is not among those written, each key once; a turn without a key is always new."""
     new = turns.join(written.select(key), key, "left_anti").select(turns.columns)
     return new.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(new.filter(F.col(key).isNull()))
+
+
+def screen(candidates: DataFrame, most: int = MOST_CANDIDATES, need_user: bool = True, types: tuple[str, ...] = MEMORY_TYPES) -> DataFrame:
+    """candidates (scope, ord, user_id, memory_type, content, confidence) with reason: why a row is not written, null for those that are.
+
+    The first reason that holds counts: beyond the first most of a scope (by ord, then type and
+    content), no user, a type that is not allowed or null, a secret in the content, a confidence
+    that is not positive or null.
+    """
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("ord", "memory_type", "content"))
+    no_user = (F.trim(F.coalesce(F.col("user_id").cast("string"), F.lit(""))) == "") if need_user else F.lit(False)
+    reason = (
+        F.when(F.col("_place") > most, "write_candidate_budget")
+        .when(no_user, "missing_user_id")
+        .when(~F.coalesce(F.col("memory_type").isin(*types), F.lit(False)), "memory_type_not_allowed")
+        .when(T.sensitive(F.col("content")), "sensitive_content")
+        .when(~(F.coalesce(F.col("confidence"), F.lit(0.0)) > 0), "invalid_confidence")
+    )
+    return candidates.withColumn("_place", place).withColumn("reason", reason).drop("_place")

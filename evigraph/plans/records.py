@@ -180,6 +180,16 @@ def _nations(spark, sf_dir):
     return t.select(key.cast("long").alias("id"), F.concat(F.lit("nation:"), key).alias("node_key"), name.alias("name")), t.select(key.cast("long").alias("query_id"), said.alias("mention"))
 
 
+def mem_write_reasons(spark, sf_dir):
+    """Every message as a candidate, of types, users and confidences by its numbers, and why it is not written."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    kind = F.when(turn % 3 == 0, "fact").when(turn % 3 == 1, "preference").otherwise("rumour")
+    c = table(spark, sf_dir, "conversations").select(
+        conv.alias("scope"), turn.alias("ord"), F.when(conv % 7 != 0, conv.cast("string")).alias("user_id"), kind.alias("memory_type"), F.col("text").alias("content"), (turn % 4 / 4).alias("confidence")
+    )
+    return M.screen(c, 5).groupBy("scope", F.coalesce("reason", F.lit("written")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def er_extract(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Where was "), "c_name", F.lit(" born?")).alias("query"))
     return mentions.extract(c)
@@ -214,7 +224,7 @@ def ev_stream_sessions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    er_extract, er_link_candidates, er_resolve, mem_scoped, mem_supersede, mem_forget, eval_run_summary, er_clean_mention, er_node_key, vec_store_delete,
+    mem_write_reasons, er_extract, er_link_candidates, er_resolve, mem_scoped, mem_supersede, mem_forget, eval_run_summary, er_clean_mention, er_node_key, vec_store_delete,
     mem_recent_messages, mem_token_estimate, mem_summary, mem_lexical_retrieve, mem_sensitive_filter, mem_upsert, mem_explicit_capture, eval_bool_summary, eval_numeric_summary, eval_keyword_recall,
     eval_match_metrics, eval_count_by_key, er_normalize_mention, er_router_label, er_quoted_mentions, er_proper_mentions, kg_alias_map, kg_alias_first_wins, er_alias_link, er_ground, etl_json_props, ev_stream_tumbling, ev_stream_sessions,
 )}
@@ -260,6 +270,10 @@ for _p in T.SUFFIXES:
     _CLEAN = f"trim(regexp_replace({_CLEAN}, '(?i){_p}$', ''))"
 _NO_ENTITY = ", ".join(f"'{w}'" for w in T.NO_ENTITY)
 ORACLES = {
+    "mem_write_reasons": f"""WITH c AS (SELECT conv_id AS scope, turn, CASE turn % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' ELSE 'rumour' END AS kind, text FROM conversations),
+        p AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY turn, kind, text) AS place FROM c),
+        r AS (SELECT scope, CASE WHEN place > 5 THEN 'write_candidate_budget' WHEN scope % 7 = 0 THEN 'missing_user_id' WHEN kind = 'rumour' THEN 'memory_type_not_allowed' WHEN {_SENS} THEN 'sensitive_content'
+            WHEN turn % 4 = 0 THEN 'invalid_confidence' ELSE 'written' END AS reason FROM p) SELECT scope, reason, count(*) AS n FROM r GROUP BY 1, 2""",
     "er_extract": """SELECT c_custkey AS query_id, 1 AS rank, c_name AS mention, 10 AS "start", 10 + length(c_name) AS "end", 0.93::DOUBLE AS confidence FROM customer
         UNION ALL SELECT c_custkey, 2, 'Customer', 10, 18, 0.78::DOUBLE FROM customer""",
     "er_link_candidates": f"""{_CANDIDATES} SELECT q AS query_id, mention, rank, 'nation:' || id AS node_key, round(score, 6) AS score, source, selected,
