@@ -19,11 +19,6 @@ def test_screen(spark):
     assert M.screen(d.filter("scope = 2"), need_user=False).first()["reason"] is None and M.screen(d.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("text, hit", [("api key = x", True), ("access-token: x", True), ("token: x", False), ("sk-abcdefghijkl", True), ("sk-abc", False), ("Bearer abc.def~ghi-jk", True), ("my secret", False), (None, False)])
-def test_sensitive(spark, text, hit):
-    assert one(spark, T.sensitive(F.col("t")), t=text) is hit
-
-
 @pytest.mark.parametrize("text, budget, want", [("abcdefgh", 2, "abcdefgh"), ("abcdefghijklm", 2, "abcdefghijk"), ("abcdefg    xyz", 2, "abcdefg"), ("姚明姚明", 1, "姚明"), ("😀😀😀", 1, "😀😀"), ("abc", 0, ""), ("", 5, ""), (None, 5, "")])
 def test_trim_tokens(spark, text, budget, want):
     assert one(spark, T.trim_tokens(F.col("t"), budget), t=text) == want
