@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, secrets, sharding, toxicity
+from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, resampling, secrets, sharding, toxicity
 
 SHARDS = 16
 
@@ -78,6 +78,11 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(docs, "doc_id", "text", "repository", "source"), "doc_id")
 
 
+def op12_crc_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resampling.resample(docs, "doc_id", "text", target, "text")
+
+
 QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_signature_tree_join": op2_signature_tree_join,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_kneser_ney_scoring": op8_kneser_ney_scoring,
     "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
+    "op12_crc_importance_resampling": op12_crc_importance_resampling,
 }
 
 _KIND_SQL = " UNION ALL ".join(
@@ -172,4 +178,35 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op12_crc_importance_resampling": """
+        WITH w AS (
+            SELECT id, src, list_filter(string_split_regex(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+            FROM (SELECT doc_id AS id, text AS t, 0 AS src FROM documents UNION ALL SELECT item_id, text, 1 FROM benchmark)
+        ), f AS (
+            SELECT id, src, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM w
+        ), g AS (
+            SELECT id, src, f, count(*) AS n FROM f GROUP BY ALL
+        ), step AS (
+            SELECT list_transform(range(16), lambda v: list_reduce(range(4), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS s
+        ), d AS (
+            SELECT f, lower(hex(encode(f))) AS h FROM (SELECT DISTINCT f FROM g)
+        ), b AS (
+            SELECT f, xor(list_reduce(list_transform(range(len(h)), lambda i: instr('0123456789abcdef', h[i + 2 - 2 * (i % 2)]) - 1), lambda c, y: xor(c >> 4, s[(xor(c, y) & 15) + 1]), 4294967295), 4294967295) % 10000 AS b FROM d, step
+        ), e AS (
+            SELECT id, src, b, sum(n) AS n FROM g JOIN b USING (f) GROUP BY ALL
+        ), tot AS (
+            SELECT coalesce(sum(n) FILTER (src = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (src = 1), 0)::DOUBLE AS t FROM e
+        ), gain AS (
+            SELECT b, floor(1000 * ln((coalesce(sum(n) FILTER (src = 1), 0)::DOUBLE + 1) * (tot.s + 10000) / ((coalesce(sum(n) FILTER (src = 0), 0)::DOUBLE + 1) * (tot.t + 10000))))::BIGINT AS g FROM e, tot GROUP BY b, tot.s, tot.t
+        ), weight AS (
+            SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM e JOIN gain USING (b) WHERE src = 0 GROUP BY id
+        ), scored AS (
+            SELECT w.id AS doc_id, len(w.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM w LEFT JOIN weight ON weight.id = w.id WHERE src = 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, (SELECT count(*) FROM scored WHERE words >= 20) AS m FROM scored
+        )
+        SELECT doc_id, words AS n_words, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * m // 100 THEN place END AS rank FROM placed
+    """,
 }
