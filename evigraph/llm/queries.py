@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, resampling, secrets, sharding, toxicity
+from evigraph.llm import archives, bpe, collocations, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, resampling, secrets, sharding, toxicity
 
 SHARDS = 16
 
@@ -78,6 +78,10 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(docs, "doc_id", "text", "repository", "source"), "doc_id")
 
 
+def op11_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find_collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "lang")
+
+
 def op12_crc_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resampling.resample(docs, "doc_id", "text", target, "text")
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_kneser_ney_scoring": op8_kneser_ney_scoring,
     "op9_legacy_archives": op9_legacy_archives,
     "op10_secret_ownership": op10_secret_ownership,
+    "op11_trie_collocations": op11_trie_collocations,
     "op12_crc_importance_resampling": op12_crc_importance_resampling,
 }
 
@@ -209,4 +214,33 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, words AS n_words, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * m // 100 THEN place END AS rank FROM placed
     """,
+    "op11_trie_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents
+        ), w AS (
+            SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p
+        ), g AS (
+            SELECT lang, unnest(list_transform(w, lambda x: [x]) || list_transform(range(1, len(w)), lambda i: w[i:i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM w
+        ), f AS (
+            SELECT lang, g, count(*) AS f FROM g GROUP BY ALL
+        ), tot AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+        ), c AS (
+            SELECT * FROM f WHERE len(g) > 1 AND f >= 10
+        ), x AS (
+            SELECT *, unnest(range(1, len(g))) AS k FROM c
+        ), cut AS (
+            SELECT x.lang, x.g, x.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * x.f * x.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM x JOIN f l ON l.lang = x.lang AND l.g = x.g[1:k] JOIN f r ON r.lang = x.lang AND r.g = x.g[k + 1:]
+        ), weak AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        ), longer AS (
+            SELECT lang, g, max(f) AS f FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM c WHERE len(g) = 3) GROUP BY lang, g
+        ), kept AS (
+            SELECT weak.lang, array_to_string(weak.g, ' ') AS phrase, a, l, r, score, len(weak.g)::INT AS words
+            FROM weak LEFT JOIN longer ON longer.lang = weak.lang AND longer.g = weak.g WHERE longer.f IS NULL OR 100 * longer.f < 50 * a
+        )
+        SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, words
+        FROM kept JOIN tot ON tot.lang = kept.lang QUALIFY rank <= 2000
+    """,
 }
