@@ -336,7 +336,7 @@ def _range_cuts(trie: Trie, words: Words, ranges: int) -> list[np.ndarray]:
 def cut_trie(trie: Trie, words: Words, ranges: int) -> Iterator[tuple[int, list[bytes]]]:
     """(range, packed levels). Ancestors in an earlier range come along with a count of 0."""
     of = _range_cuts(trie, words, ranges)
-    for r in np.unique(np.concatenate(of)):
+    for r in np.flatnonzero(np.bincount(np.concatenate(of), minlength=ranges)):
         lo_hi, below = [None] * len(of), None
         for level in range(len(of) - 1, -1, -1):
             lo, hi = np.searchsorted(of[level], [r, r + 1])
@@ -353,17 +353,14 @@ def cut_trie(trie: Trie, words: Words, ranges: int) -> Iterator[tuple[int, list[
             counts[: max(0, own[0] - lo)] = 0
             counts[max(0, own[1] - lo) :] = 0
             parent = trie.parents[level][lo:hi] - (lo_hi[level - 1][0] if level else 0)
-            parts += [pack(parent.astype(np.uint32)), pack(trie.words[level][lo:hi].astype(np.uint32)), pack(counts)]
+            parts += [pack(x) if len(x) else b"" for x in (parent.astype(np.uint32), trie.words[level][lo:hi].astype(np.uint32), counts)]
         yield int(r), parts
 
 
 def _load(parts: list[bytes]) -> Trie:
-    levels = len(parts) // 3
-    return Trie(
-        [unpack(parts[3 * k], np.uint32).astype(np.int64) for k in range(levels)],
-        [unpack(parts[3 * k + 1], np.uint32).astype(np.int64) for k in range(levels)],
-        [unpack(parts[3 * k + 2], np.int64) for k in range(levels)],
-    )
+    kinds = (np.uint32, np.uint32, np.int64)
+    columns = [[unpack(p, kind).astype(np.int64) if p else np.empty(0, np.int64) for p in parts[i::3]] for i, kind in enumerate(kinds)]
+    return Trie(*columns)
 
 
 def _shards(words: Words, ranges: int, longest: int):
@@ -466,7 +463,7 @@ def weakest_cut(f: Column, lefts: Column, rights: Column) -> Column:
         r_count = F.element_at(rights, i + 1)
         top = F.lit(1_000_000).cast("decimal(7,0)") * (_whole(f) * _whole(f))
         score = F.call_function("div", top, _whole(l_count) * _whole(r_count)).cast("long")
-        return F.struct(score.alias("score"), i.alias("k"), l_count.alias("l"), r_count.alias("r"))
+        return F.struct(score.alias("score"), (i + 1).alias("k"), l_count.alias("l"), r_count.alias("r"))
 
     return F.array_min(F.transform(lefts, cut))
 

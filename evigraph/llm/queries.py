@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import archives, bpe, collocations, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, resampling, secrets, sharding, toxicity
+from evigraph.llm import archives, bpe, collocations, decontamination, embedding_dedup, kneser_ney, language_id, ngram_join, resampling, secrets, sharding, token_files, toxicity
 
 SHARDS = 16
+#: The id that ends each document in token files.
+END_ID = 2
 
 
 def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,11 @@ def op12_crc_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFram
     return resampling.resample(docs, "doc_id", "text", target, "text")
 
 
+def op13_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_files.store_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_signature_tree_join": op2_signature_tree_join,
@@ -100,6 +107,7 @@ QUERIES = {
     "op10_secret_ownership": op10_secret_ownership,
     "op11_trie_collocations": op11_trie_collocations,
     "op12_crc_importance_resampling": op12_crc_importance_resampling,
+    "op13_rans_token_files": op13_rans_token_files,
 }
 
 _KIND_SQL = " UNION ALL ".join(
