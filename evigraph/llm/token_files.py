@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import bytescan, rans, spans
 from evigraph.llm.resampling import shift
-from evigraph.llm.shared import Scratch
+from evigraph.llm.shared import Scratch, trim
 
 MAGIC = b"EVTOKEN1"
 #: Ids of a file; blocks that one task decodes at once.
@@ -201,6 +202,12 @@ class Encoder:
         yield begin, len(part)
 
 
+@lru_cache(1)
+def _encoder(tokenizer: str) -> Encoder:
+    """A worker's encoder; it outlives a task, so that the next one finds its stretches."""
+    return Encoder(tokenizer)
+
+
 class Piece(NamedTuple):
     """A document's ids in one file: where they begin in the file, the document's length, where they begin in it, its key as text."""
 
@@ -328,7 +335,7 @@ def _write_range(tokenizer: str, end_id: int, root: str):
     """(key text, text) in order to one row a file: its number in the range, URI, ids, documents that begin in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, n, pieces, seq, part = Encoder(tokenizer), [], 0, [], 0, 0
+        encoder, held, n, pieces, seq, part = _encoder(tokenizer), [], 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n, pieces, seq
@@ -356,6 +363,7 @@ def _write_range(tokenizer: str, end_id: int, root: str):
                         yield flush()
         if n:
             yield flush()
+        trim()
 
     return run
 
