@@ -153,22 +153,40 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(body == "", 0).otherwise(F.greatest(F.lit(1), F.floor(ascii_ / 4 + (F.length(body) - ascii_) / 1.5).cast("int")))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any script around it; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+$", "")
+
+
+def ascii_count(text: Column) -> Column:
+    """How many ASCII characters a text has."""
+    return F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+
+
+def prefix_tokens(text: Column, budget: int, ascii_before: Column | int = 0, others_before: Column | int = 0) -> Column:
+    """The longest beginning of a text that keeps within budget, where so many characters come before it."""
+    letters = F.regexp_extract_all(F.substring(text, 1, 4 * budget + 4), F.lit("(?s)(.)"), F.lit(1))
+    first = [F.lit(x) if isinstance(x, int) else x for x in (ascii_before, others_before)]
+    start = F.struct(first[0].cast("long").alias("a"), first[1].cast("long").alias("o"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+
+    def step(s: Column, c: Column) -> Column:
+        own = F.when(F.ascii(c) < 128, 1).otherwise(0)
+        a, o, i = s["a"] + own, s["o"] + 1 - own, s["i"] + 1
+        return F.struct(a.alias("a"), o.alias("o"), i.alias("i"), F.when(F.floor(a / 4 + o / 1.5) <= budget, i).otherwise(s["n"]).alias("n"))
+
+    return F.substring(text, F.lit(1), F.aggregate(letters, start, step, lambda s: s["n"]))
+
+
 def trim_tokens(text: Column, budget: int) -> Column:
     """The longest beginning of a text whose estimate is at most budget, without white space at its end; a text that fits stays as it is."""
     if budget <= 0:
         return F.lit("")
     body = F.coalesce(text, F.lit(""))
-    letters = F.regexp_extract_all(body, F.lit("(?s)(.)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("o"), F.lit(0).alias("n"))
-
-    def step(s: Column, c: Column) -> Column:
-        plain_ = c.rlike(r"^[\x00-\x7F]$")
-        a, o = s["a"] + F.when(plain_, 1).otherwise(0), s["o"] + F.when(plain_, 0).otherwise(1)
-        fits = F.floor(a / 4 + o / 1.5) <= budget
-        return F.struct(a.alias("a"), o.alias("o"), F.when(fits, a + o).otherwise(s["n"]).alias("n"))
-
-    kept = F.aggregate(letters, start, step, lambda s: s["n"])
-    return F.when(estimate_tokens(body) <= budget, body).otherwise(F.regexp_replace(F.substring(body, F.lit(1), kept), r"(?U)\s+$", ""))
+    return F.when(estimate_tokens(body) <= budget, body).otherwise(rstrip(prefix_tokens(body, budget)))
 
 
 def quoted(text: Column) -> Column:
@@ -213,7 +231,8 @@ def route(query: Column) -> Column:
     )
 
 
-SENSITIVE = (r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", r"\bsk-[A-Za-z0-9_-]{8,}", r"(?i)bearer\s+[A-Za-z0-9._-]{8,}")
+# What counts as a secret in a memory.
+SENSITIVE = (r"(?i)\b(api[_ -]?key|access[_ -]?token|secret|password|passwd)\b\s*[:=]\s*\S+", r"(?i)\bsk-[a-z0-9_-]{12,}\b", r"(?i)\b(bearer)\s+[a-z0-9._~-]{12,}\b")
 
 
 def sensitive(text: Column) -> Column:

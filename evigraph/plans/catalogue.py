@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import answers, graph, records, retrieval
+from evigraph.plans import answers, contexts, graph, records, retrieval
 
-_MODULES = (graph, answers, retrieval, records)
+_MODULES = (graph, answers, retrieval, records, contexts)
 
 
 def flagship(spark, sf_dir):

@@ -55,7 +55,7 @@ def test_percentiles_interpolate(spark):
 
 
 def test_memory_keeps_no_secrets_and_merges(spark):
-    m = spark.createDataFrame([(1, "fact", "Likes  tea", 0.5), (1, "fact", "likes tea", 0.9), (1, "fact", "token = abcdefghijk", 0.9)], "scope long, memory_type string, content string, confidence double")
+    m = spark.createDataFrame([(1, "fact", "Likes  tea", 0.5), (1, "fact", "likes tea", 0.9), (1, "fact", "access token = abcdefghijk", 0.9)], "scope long, memory_type string, content string, confidence double")
     got = memory.upsert(m.limit(0), m).collect()
     assert [(r.key, r.confidence, r.n) for r in got] == [("likes tea", 0.9, 2)]
 
