@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import answers, contexts, graph, records, retrieval
+from evigraph.plans import answers, contexts, graph, normalized, records, retrieval
 
-_MODULES = (graph, answers, retrieval, records, contexts)
+_MODULES = (graph, answers, retrieval, records, contexts, normalized)
 
 
 def flagship(spark, sf_dir):
