@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from evigraph.operators import context as C
 from evigraph.plans.records import AS_OF, _messages, _tenants
 from evigraph.sources.graph_tables import table
+from evigraph.sources.workspace import folder
+from evigraph.streaming.store import MemoryStore
 
 #: Turns that the earlier summary covers; budgets so small that many texts are cut.
 EARLY, SUMMARY_BUDGET, CONTEXT_BUDGET, MOST = 2, 150, 300, 3
@@ -50,7 +52,22 @@ def mem_context(spark, sf_dir):
     return out.select("query_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "estimated_tokens", "n_memories", "n_recent")
 
 
-QUERIES = {f.__name__: f for f in (mem_summary_previous, mem_retrieve_requests, mem_context)}
+def mem_store_batches(spark, sf_dir):
+    """A store after three batches of messages, the first of which comes again; every message comes twice, once with blanks around it."""
+    c = table(spark, sf_dir, "conversations")
+    none = F.lit("")
+    turn = F.col("turn")
+    d = c.select(
+        F.lit("chat").alias("namespace"), F.floor(F.col("conv_id") / 4).cast("string").alias("user_id"), none.alias("project_id"), none.alias("session_id"), F.when(turn % 2 == 0, "fact").otherwise("note").alias("memory_type"),
+        F.explode(F.array("text", F.concat(F.lit("  "), "text", F.lit(" ")))).alias("content"), F.col("role").alias("source"), ((turn % 4 + 1) / 5).alias("confidence"), (F.col("conv_id") * 1000 + turn).alias("ord"), F.create_map(F.concat(F.lit("turn"), turn), F.col("conv_id").cast("string")).alias("metadata"),
+    )
+    store = MemoryStore(spark, folder(spark, "memories"), 8)
+    for batch in (0, 1, 0, 2):
+        store.write(d.filter(F.pmod(F.floor(F.col("ord") / 1000), F.lit(3)) == batch), AS_OF, batch=batch)
+    return store.read().select("user_id", "memory_type", F.md5("key").alias("key_md5"), F.md5("content").alias("content_md5"), "source", "confidence", "status", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("metadata"))
+
+
+QUERIES = {f.__name__: f for f in (mem_summary_previous, mem_retrieve_requests, mem_context, mem_store_batches)}
 
 
 def _spent(t):
@@ -93,4 +110,8 @@ ORACLES = {
         w AS (SELECT query_id, a.n AS na, b.n AS nb, array_to_string(list_filter(['{C.SUMMARY_HEAD}' || chr(10) || {_strip('early.s')}, a.t, b.t], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS t
             FROM asked LEFT JOIN early ON session = query_id LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)), z AS (SELECT *, {_cut('t', CONTEXT_BUDGET)} AS c FROM w)
         SELECT query_id, md5(c) AS text_md5, length(c)::INT AS n_chars, greatest(1, {_spent('c')})::INT AS estimated_tokens, coalesce(na, 0) AS n_memories, coalesce(nb, 0) AS n_recent FROM z""",
+    "mem_store_batches": """WITH c AS (SELECT conv_id, turn, role, conv_id // 4 AS u, CASE WHEN turn % 2 = 0 THEN 'fact' ELSE 'note' END AS kind, (turn % 4 + 1) / 5 AS conf, unnest([text, '  ' || text || ' ']) AS t FROM conversations),
+        k AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS x, trim(regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')) AS key, conv_id * 1000 + turn AS ord, conv_id % 3 AS batch FROM c WHERE trim(t) <> '')
+        SELECT u::VARCHAR AS user_id, kind AS memory_type, md5(key) AS key_md5, md5(first(x ORDER BY batch, ord, x)) AS content_md5, last(role ORDER BY batch, ord, role) AS source, max(conf) AS confidence, 'active' AS status,
+        array_to_string(list_sort(list_distinct(list('turn' || turn))), ',') AS metadata FROM k GROUP BY u, kind, key""",
 }
