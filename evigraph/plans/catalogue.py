@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import answers, contexts, graph, normalized, records, retrieval
+from evigraph.plans import answers, contexts, graph, normalized, records, retrieval, runs
 
-_MODULES = (graph, answers, retrieval, records, contexts, normalized)
+_MODULES = (graph, answers, retrieval, records, contexts, normalized, runs)
 
 
 def flagship(spark, sf_dir):
