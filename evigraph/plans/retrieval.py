@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
+from evigraph.operators import ivf
 from evigraph.operators import retrieval as R
 from evigraph.sources.graph_tables import table
+from evigraph.sources.workspace import folder
 
 
 def _vectors(spark, sf_dir):
@@ -37,6 +39,20 @@ def vec_knn_where(spark, sf_dir):
     return _nearest(R.knn(v.filter("id % 20 = 0"), v.filter("label = 3"), 10))
 
 
+def vec_ivf_search(spark, sf_dir):
+    """Exact search through an index of all vectors, cell by cell."""
+    v = _vectors(spark, sf_dir)
+    return _nearest(ivf.search(v.filter("id % 20 = 0"), ivf.build(v, folder(spark, "cells"), metric="cosine"), 10, exact=True))
+
+
+def vec_ivf_recall(spark, sf_dir):
+    """How much of the ten nearest vectors a search finds in as many cells as other vectors needed, against the whole scan."""
+    v = _vectors(spark, sf_dir)
+    q, index = v.filter("id % 20 = 0"), ivf.build(v, folder(spark, "cells"), metric="cosine")
+    found = ivf.search(q, index, 10, ivf.tune(v.filter("id % 20 <> 0"), index, 10))
+    return ivf.recall(found, R.knn(q, v, 10, "cosine"), 10)
+
+
 def vec_margin_select(spark, sf_dir):
     """Automatic selection of the best other vector: its score and its lead over the next one."""
     v = _vectors(spark, sf_dir)
@@ -108,7 +124,7 @@ def hyb_blend(spark, sf_dir):
     return R.blend(hyb_rerank(spark, sf_dir).join(given, "id"), "ce_score", k=5).withColumn("blended", F.round("blended", 6))
 
 
-QUERIES = {f.__name__: f for f in (vec_knn_l2sq, vec_knn_cosine, vec_knn_where, vec_margin_select, txt_tokenize, txt_inverted_index, txt_hash_embedding, txt_keyword_search, hyb_merge, hyb_rerank, hyb_three_channels, hyb_retrieve_rerank, hyb_blend)}
+QUERIES = {f.__name__: f for f in (vec_knn_l2sq, vec_knn_cosine, vec_knn_where, vec_ivf_search, vec_ivf_recall, vec_margin_select, txt_tokenize, txt_inverted_index, txt_hash_embedding, txt_keyword_search, hyb_merge, hyb_rerank, hyb_three_channels, hyb_retrieve_rerank, hyb_blend)}
 
 _KSTOPS = "[" + ", ".join(f"'{s}'" for s in T.KEYWORD_STOPS) + "]"
 _RSTOPS = "[" + ", ".join(f"'{s}'" for s in T.RERANK_STOPS) + "]"
@@ -146,6 +162,7 @@ ORACLES = {
     "vec_knn_l2sq": f"WITH {_VEC}, {_knn_sql(_L2, 10)} {_NEAR}",
     "vec_knn_cosine": f"WITH {_VEC}, {_knn_sql(_COS, 10)} {_NEAR}",
     "vec_knn_where": f"WITH {_VEC}, {_knn_sql(_L2, 10, where='v.label = 3')} {_NEAR}",
+    "vec_ivf_search": f"WITH {_VEC}, {_knn_sql(_COS, 10)} {_NEAR}",
     "vec_margin_select": f"""WITH {_VEC}, {_knn_sql(_COS, 3)}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM n WHERE id <> query_id),
         t AS (SELECT a.query_id, a.id, a.s AS s1, coalesce(b.s, 0) AS s2 FROM o a LEFT JOIN o b ON a.query_id = b.query_id AND b.k = 2 WHERE a.k = 1)
         SELECT query_id, id, round(s1, 6) AS score, round(s1 - s2, 6) AS margin, CASE WHEN round(s1, 9) >= 0.72 AND round(s1 - s2, 9) >= 0.05 THEN 'selected' ELSE 'need_confirmation' END AS status FROM t""",
