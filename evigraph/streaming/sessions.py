@@ -44,7 +44,7 @@ def recent_buffer(messages: DataFrame, keep: int = 20, timeout_ms: int = 3_600_0
             return
         held = list(zip(*state.get)) if state.exists else []
         for frame in frames:
-            held += [(int(t), str(x)) for t, x in zip(frame["turn"], frame["text"]) if str(x).strip()]
+            held += [(int(t), x) for t, x in zip(frame["turn"], frame["text"]) if isinstance(x, str) and x.strip() and t == t]
         held = sorted(set(held))[-keep:]
         state.update(([t for t, _ in held], [x for _, x in held]))
         state.setTimeoutDuration(timeout_ms)
