@@ -169,7 +169,7 @@ def ascii_count(text: Column) -> Column:
 
 def prefix_tokens(text: Column, budget: int, ascii_before: Column | int = 0, others_before: Column | int = 0) -> Column:
     """The longest beginning of a text that keeps within budget, where so many characters come before it."""
-    letters = F.regexp_extract_all(F.substring(text, 1, 4 * budget + 4), F.lit("(?s)(.)"), F.lit(1))
+    letters = F.split(F.substring(text, 1, 4 * budget + 4), "")
     first = [F.lit(x) if isinstance(x, int) else x for x in (ascii_before, others_before)]
     start = F.struct(first[0].cast("long").alias("a"), first[1].cast("long").alias("o"), F.lit(0).alias("i"), F.lit(0).alias("n"))
 

@@ -78,20 +78,36 @@ def summarize(messages: DataFrame, previous: DataFrame | None = None, budget: in
     return pack(segments, "session", ["section", "ord"], budget).withColumnRenamed("text", "summary")
 
 
+def _words(low: Column) -> Column:
+    """Different words (letters, digits and _ of any script) of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+
+
+def _relevance(q: Column, q_words: Column, c: Column, c_words: Column, confidence: Column, updated_at: Column, as_of: Column) -> Column:
+    both = F.size(F.array_intersect(q_words, c_words))
+    overlap = both / F.greatest(F.size(q_words) + F.size(c_words) - both, F.lit(1))
+    lexical = F.when(q == "", 0.35).when(F.contains(c, q) | F.contains(q, c), 1.0).otherwise(overlap)
+    days = (F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp(updated_at.cast("string")))) / 86_400_000_000
+    recency = F.when(days.isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0.0), days) / 180))
+    return T.clip(0.72 * lexical + 0.18 * T.clip(confidence) + 0.10 * recency)
+
+
+def _asked(query: Column) -> Column:
+    return F.lower(T.strip(query))
+
+
+def _said(content: Column) -> Column:
+    return F.lower(F.coalesce(content, F.lit("")))
+
+
 def relevance(query: Column, content: Column, confidence: Column, updated_at: Column, as_of: Column) -> Column:
     """0.72 lexical, 0.18 confidence, 0.10 recency, in [0, 1].
 
     Lexical: 0.35 for an empty query, 1 if one text holds the other, else the Jaccard similarity of
     their words (letters, digits and _ of any script). A time that can't be read counts as none.
     """
-    q, c = F.lower(T.strip(query)), F.lower(F.coalesce(content, F.lit("")))
-    words = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    a, b = words(q), words(c)
-    both = F.size(F.array_intersect(a, b))
-    lexical = F.when(q == "", 0.35).when(F.contains(c, q) | F.contains(q, c), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
-    days = (F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp(updated_at.cast("string")))) / 86_400_000_000
-    recency = F.when(days.isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0.0), days) / 180))
-    return T.clip(0.72 * lexical + 0.18 * T.clip(confidence) + 0.10 * recency)
+    q, c = _asked(query), _said(content)
+    return _relevance(q, _words(q), c, _words(c), confidence, updated_at, as_of)
 
 
 def retrieve_for(requests: DataFrame, memories: DataFrame, as_of: str, k: int = MOST_MEMORIES, least: float = LEAST_SCORE, types: Sequence[str] = ()) -> DataFrame:
@@ -99,11 +115,14 @@ def retrieve_for(requests: DataFrame, memories: DataFrame, as_of: str, k: int =
 
     requests: query_id, query, namespace, user_id, project_id, session_id, one row a question. A
     request meets the memories of its own scope only (memory.scoped). Ties go to the newer memory,
-    then to the smaller id. With types, other kinds of memories are not looked at.
+    then to the smaller id. With types, other kinds of memories are not looked at. Words are taken
+    from each memory and each question once, not once a pair.
     """
     able = memories.filter(F.col("memory_type").isin(*types)) if types else memories
-    seen = M.scoped(able, requests, as_of).drop("rank").join(requests.select("query_id", F.col("query").alias("_query")), "query_id")
-    score = relevance(F.col("_query"), F.col("content"), F.col("confidence"), F.col("updated_at"), F.lit(as_of).cast("timestamp"))
+    able = able.withColumn("_c", _said(F.col("content"))).withColumn("_cw", _words(F.col("_c")))
+    told = requests.select("query_id", _asked(F.col("query")).alias("_q")).withColumn("_qw", _words(F.col("_q")))
+    seen = M.scoped(able, requests, as_of).drop("rank").join(told, "query_id")
+    score = _relevance(F.col("_q"), F.col("_qw"), F.col("_c"), F.col("_cw"), F.col("confidence"), F.col("updated_at"), F.lit(as_of).cast("timestamp"))
     scored = seen.withColumn("score", F.round(score, 9)).filter(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated_at"), "memory_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", *memories.columns, "score", "rank")
