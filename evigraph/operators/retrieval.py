@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
+from evigraph.sources.workspace import folder
 
 #: Vectors and queries that one task multiplies.
 BLOCK = 4000
-#: Queries that a worker holds for keyword search; more are matched in blocks, one pass over the texts a block.
-QUERY_BLOCK = 2000
-#: Texts scored at once, and distinct words of texts that a worker remembers.
-SCORED, KEPT_WORDS = 256, 200_000
+#: Queries, and tokens of queries, that a worker holds for keyword search; more are matched in blocks, one pass over the texts a block.
+QUERY_BLOCK, BLOCK_TOKENS = 2000, 200_000
+#: Words, runs of Chinese characters and runs of blanks, as functions.text has them.
+ASCII_WORD, CJK_RUN, BLANK_RUN = re.compile(r"[a-zA-Z0-9_]+"), re.compile(f"[{T.CJK}]+"), re.compile(r"\s+", re.ASCII)
 CHANNEL_WEIGHTS = {"vector": 0.60, "entity": 0.30, "keyword": 0.10}
 UNKNOWN_WEIGHT, SOURCE_BONUS = 0.20, 0.08
 CROSS_WEIGHT = 0.65
@@ -91,82 +95,101 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class _Keywords:
-    """The tokens of a block of queries, and which of them a word of a text is or holds."""
+    """The tokens of a block of queries, which of them a text holds, and the k best texts of each query so far."""
 
-    def __init__(self, queries: list[tuple[int, list[str]]]):
-        self.ids = np.array([q for q, _ in queries], np.int64)
+    def __init__(self, queries: list[tuple[int, list[str]]], k: int):
+        self.k, self.ids = k, np.array([q for q, _ in queries], np.int64)
         self.sizes = np.array([len(t) for _, t in queries], np.int64)
         self.phrases = [" ".join(t) for _, t in queries]
         self.number: dict[str, int] = {}
         posts: list[list[int]] = []
         for q, (_, tokens) in enumerate(queries):
             for t in tokens:
-                k = self.number.setdefault(t, len(self.number))
-                if k == len(posts):
+                n = self.number.setdefault(t, len(self.number))
+                if n == len(posts):
                     posts.append([])
-                posts[k].append(q)
+                posts[n].append(q)
         #: Queries that have each token.
         self.posts = [np.array(p, np.int64) for p in posts]
-        self.lengths = sorted({len(t) for t in self.number})
         self.stops = frozenset(T.KEYWORD_STOPS)
-        self.held: dict[str, frozenset[int]] = {}
-
-    def inside(self, word: str) -> frozenset[int]:
-        """Tokens that are parts of a word; tokens hold no other characters than words do."""
-        found = self.held.get(word)
-        if found is None:
-            found = frozenset(k for n in self.lengths if n <= len(word) for i in range(len(word) - n + 1) if (k := self.number.get(word[i : i + n])) is not None)
-            if len(self.held) >= KEPT_WORDS:
-                self.held.clear()
-            self.held[word] = found
-        return found
+        #: Finds all tokens inside a text in one pass.
+        self.finder = ahocorasick.Automaton()
+        for t, n in self.number.items():
+            self.finder.add_word(t, n)
+        self.finder.make_automaton()
+        #: The most that tokens inside words can score.
+        self.inner = np.round(np.minimum(0.25 + 0.1 * self.sizes, 1.0), 9)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in queries]
+        #: Score and id of each query's k-th text, which others must beat.
+        self.least, self.last = np.zeros(len(queries)), np.full(len(queries), np.iinfo(np.int64).min)
+
+    def beats(self, scores: np.ndarray | float, key: int) -> np.ndarray:
+        """For each query, whether a text of such a score and this id would be among the k best so far."""
+        return (scores > self.least) | ((scores == self.least) & (key < self.last))
 
     def count(self, tokens) -> np.ndarray:
         """For each query, how many of these tokens it has."""
         posts = [self.posts[k] for k in tokens]
         return np.bincount(np.concatenate(posts), minlength=len(self.ids)) if posts else np.zeros(len(self.ids), np.int64)
 
-    def scores(self, words: list[str], body: str) -> np.ndarray:
-        """Every query's score for a text of these distinct words; the formula is that of functions.text.keyword_score."""
-        own = [w for w in words if w not in self.stops]
+    def parts(self, words: set[str]) -> np.ndarray:
+        """For each query, how many of its tokens are words or parts of words; tokens hold no other characters than words do."""
+        return self.count({k for _, k in self.finder.iter(" ".join(words))})
+
+    def read(self, key: int, low: str) -> None:
+        """Score a text in lower case for the queries whose k best it can enter; the formula is that of functions.text.keyword_score."""
+        if not self.beats(1.0, key).any():
+            return
+        text = low.replace("_", " ").replace("-", " ")
+        words = set(ASCII_WORD.findall(text))
+        if not text.isascii():
+            runs = CJK_RUN.findall(text)
+            words.update(runs, (r[i : i + 2] for r in runs if len(r) >= 4 for i in range(len(r) - 1)))
+        own = len(words) - len(words & self.stops)
         if not own:
-            return np.zeros(len(self.ids))
-        both = self.count([k for w in own if (k := self.number.get(w)) is not None])
-        parts = self.count(frozenset().union(*map(self.inside, words)))
+            return
         size = np.maximum(self.sizes, 1)
-        phrase = np.zeros(len(self.ids))
-        for q in np.flatnonzero((both > 0) & (parts == self.sizes)):
-            phrase[q] = 0.10 if self.phrases[q] in body else 0.0
-        full = np.minimum(0.65 * both / size + 0.25 * both / len(own) + phrase, 1.0)
-        return np.round(np.where(both > 0, full, np.where(parts > 0, np.minimum(0.25 + 0.1 * parts, 1.0), 0.0)), 9)
+        both = self.count([k for w in words - self.stops if (k := self.number.get(w)) is not None])
+        # the bound of a query is its score with the whole phrase
+        bound = np.where(both > 0, np.round(np.minimum(0.65 * both / size + 0.25 * both / own + 0.10, 1.0), 9), self.inner)
+        can = self.beats(bound, key)
+        exact, inner = np.flatnonzero(can & (both > 0)), np.flatnonzero(can & (both == 0))
+        if len(exact):
+            phrase = np.zeros(len(exact))
+            # all words of a phrase but the first and the last stand in the text as they are
+            near = np.flatnonzero(both[exact] >= self.sizes[exact] - 2)
+            if len(near):
+                body = BLANK_RUN.sub(" ", text).strip(" ")
+                phrase[near] = [0.10 if self.phrases[q] in body else 0.0 for q in exact[near]]
+            self.keep(exact, np.minimum(0.65 * both[exact] / size[exact] + 0.25 * both[exact] / own + phrase, 1.0), key)
+        if len(inner):
+            parts = self.parts(words)[inner]
+            self.keep(inner, np.where(parts > 0, np.minimum(0.25 + 0.1 * parts, 1.0), 0.0), key)
+
+    def keep(self, at: np.ndarray, scores: np.ndarray, key: int) -> None:
+        """Let a text with these scores into the k best of queries, where it is one of them."""
+        for q, s in zip(at.tolist(), np.round(scores, 9).tolist()):
+            heap, entry = self.heaps[q], (s, -key)
+            if s <= 0:
+                continue
+            if len(heap) < self.k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+            if len(heap) == self.k:
+                self.least[q], self.last[q] = heap[0][0], -heap[0][1]
 
 
 def _keyword_top(queries: list[tuple[int, list[str]]], k: int):
-    """(id, words, body) to the k best texts of each query among those of one task."""
+    """(id, low) to the k best texts of each query among those of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Keywords(queries)
-        best, of = np.zeros((0, len(queries))), np.zeros((0, len(queries)), np.int64)
-
-        def keep(scores: list[np.ndarray], ids: list[int]) -> None:
-            nonlocal best, of
-            best = np.concatenate([best, np.stack(scores)])
-            of = np.concatenate([of, np.broadcast_to(np.array(ids, np.int64)[:, None], (len(ids), len(queries)))])
-            order = np.lexsort((of, -best), axis=0)[:k]
-            best, of = np.take_along_axis(best, order, axis=0), np.take_along_axis(of, order, axis=0)
-
-        for batch in batches:
-            scores, ids = [], []
-            for key, words, body in zip(*(c.to_pylist() for c in batch.columns)):
-                scores.append(index.scores(words, body))
-                ids.append(key)
-                if len(ids) == SCORED:
-                    keep(scores, ids)
-                    scores, ids = [], []
-            if ids:
-                keep(scores, ids)
-        at, q = np.nonzero(best > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(index.ids[q]), pa.array(of[at, q]), pa.array(best[at, q])], names=["query_id", "id", "score"])
+        index = _Keywords(queries, k)
+        for batch in batches if queries else ():
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1)):
+                index.read(key, low.as_py())
+        rows = [(q, -i, s) for q, heap in zip(index.ids.tolist(), index.heaps) for s, i in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
     return run
 
@@ -174,18 +197,26 @@ def _keyword_top(queries: list[tuple[int, list[str]]], k: int):
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank: the k best texts (id, text) of every query (query_id, query) by keyword score over 0.
 
-    Queries are held in blocks of QUERY_BLOCK, as an index from tokens to queries; texts are read
-    once a block, and each task keeps k texts a query. Null texts and queries without tokens find
-    nothing; rows without an id are left out; ties go to the smaller id.
+    Queries are held in blocks of about QUERY_BLOCK queries and BLOCK_TOKENS tokens, as an index from tokens to queries;
+    of several blocks one at a time is brought to the tasks, and what it found is written before the next. Texts are read
+    once a block. Each task keeps k texts a query; a text is scored only for queries whose k-th text its bound beats, and
+    is not even split into words where no score would do. Null texts and queries without tokens find nothing; rows
+    without an id are left out; ties go to the smaller id.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), T.tokens(F.col("query"), T.KEYWORD_STOPS).alias("t")).filter("query_id is not null and size(t) > 0")
-    blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    rows = docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), T.tokens(F.col("text"), []).alias("words"), T.light(F.col("text")).alias("body"))
-    found = None
+    n = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("t")).first()
+    blocks = max(1, -(-n["n"] // QUERY_BLOCK), -(-n["t"] // BLOCK_TOKENS))
+    rows = docs.filter("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low"))
+    at = None if blocks == 1 else folder(queries.sparkSession, "keywords")
     for b in range(blocks):
         held = [(r["query_id"], r["t"]) for r in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).sort("query_id", "t").collect()]
-        part = rows.mapInArrow(_keyword_top(held, k), "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+        found = rows.mapInArrow(_keyword_top(held, k), "query_id long, id long, score double")
+        if at:
+            found.write.parquet(f"{at}/block={b}")
+    if at:
+        found = queries.sparkSession.read.schema(found.schema).parquet(*(f"{at}/block={b}" for b in range(blocks)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -238,12 +269,15 @@ def rerank(candidates: DataFrame, k: int = 8, entities: str | None = None, metad
     entities names a column of the query's entity terms (array of strings), metadata one of a
     candidate's metadata (map of strings), in whose values terms are looked up too.
     """
-    q, t = T.tokens(F.col("query"), T.RERANK_STOPS), T.tokens(F.col("text"), T.RERANK_STOPS)
+    # behind a generator, so that tokens are taken once a row and not at each mention
+    once = F.explode(F.array(F.struct(T.tokens(F.col("query"), T.RERANK_STOPS).alias("q"), T.tokens(F.col("text"), T.RERANK_STOPS).alias("t"), T.light(F.col("text")).alias("body"))))
+    candidates = candidates.withColumn("_once", once)
+    q, t, body = (F.col("_once")[c] for c in ("q", "t", "body"))
     source = F.when(F.col("n_sources") >= 2, 1.0).when(F.col("channel") == "entity", 0.9).when(F.col("channel") == "vector", 0.8).when(F.col("channel") == "keyword", 0.65).otherwise(0.5)
     w = RERANK_WEIGHTS
     more = F.concat_ws(" ", F.map_values(metadata)) if metadata else F.lit("")
     entity = T.entity_score(F.col(entities), F.col("text"), more) if entities else F.lit(0.0)
-    total = w["base"] * T.clip(F.col("score")) + w["overlap"] * T.overlap_score(q, t, T.light(F.col("text"))) + w["entity"] * entity + w["source"] * source + w["length"] * T.length_score(F.col("text"))
+    total = w["base"] * T.clip(F.col("score")) + w["overlap"] * T.overlap_score(q, t, body) + w["entity"] * entity + w["source"] * source + w["length"] * T.length_score(F.col("text"))
     out = candidates.select("query_id", "id", F.round(T.clip(total), 9).alias("rerank_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
