@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evigraph.plans import answers, contexts, evaluated, graph, normalized, records, retrieval, runs
+from evigraph.plans import answers, contexts, dictionaries, evaluated, graph, normalized, records, retrieval, runs
 
-_MODULES = (graph, answers, retrieval, records, contexts, normalized, runs, evaluated)
+_MODULES = (graph, answers, retrieval, records, contexts, normalized, runs, evaluated, dictionaries)
 
 
 def flagship(spark, sf_dir):
