@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 from evigraph.sources.workspace import folder
 
+#: Records of which a task makes aliases.
+RECORDS = 50_000
 # Where an alias record may name its entity, and which of its ids are aliases too.
 NAMES = ("entity_name", "name", "entity", "title", "label")
 IDS = ("entity_id", "id", "node_id", "node_key", "key")
@@ -60,10 +62,14 @@ def alias_entries(entities: DataFrame, first_wins: bool = False) -> DataFrame:
         F.coalesce(F.col("entity_id").cast("string"), F.lit("")).alias("entity_id"), name.alias("entity_name"), key.alias("node_key"), F.coalesce(F.nullif("type", F.lit("")), F.lit("entity")).alias("type"),
         F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.col("ord").cast("long").alias("ord"),
     )
+    # dealt to tasks of so many records, as each becomes several rows
+    one = one.repartition(-(-entities.count() // RECORDS) or 1, "node_key", "entity_id")
     said = F.transform(F.concat(F.array("entity_name", "node_key", "entity_id"), "aliases"), T.strip)
-    long = one.withColumn("alias_key", F.explode(F.array_distinct(F.concat(said, F.transform(said, F.lower))))).filter("alias_key <> ''")
+    long = one.withColumn("alias_key", F.explode(F.array_distinct(F.concat(said, F.transform(said, F.lower))))).filter("alias_key <> ''").withColumn("_o", F.coalesce("ord", F.lit(-(2**63))))
+    # the best place of each alias is a number, found without sorting; only the records there are compared whole
+    best = long.groupBy("alias_key").agg((F.min if first_wins else F.max)("_o").alias("_o"))
     record, place = F.struct("entity_id", "entity_name", "node_key", "type", "aliases"), F.struct("ord", "node_key", "entity_id")
-    return long.groupBy("alias_key").agg((F.min_by if first_wins else F.max_by)(record, place).alias("r")).select("alias_key", "r.*")
+    return long.join(best.hint("merge"), ["alias_key", "_o"]).groupBy("alias_key").agg((F.min_by if first_wins else F.max_by)(record, place).alias("r")).select("alias_key", "r.*")
 
 
 def alias_map(entries: DataFrame, first_wins: bool = False) -> DataFrame:

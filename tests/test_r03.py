@@ -3,6 +3,7 @@
 import duckdb
 
 from evigraph.plans import records
+from evigraph.sources import dictionaries
 
 TEXTS = ["Se que. Ciónos asbo", "Éier aTime été", "Ab Cd", "caféPython nu", "pythoné", "whoé who is", "Brown São", "Ä.B C_d-é"]
 
@@ -15,3 +16,19 @@ def test_router_ends_words_as_its_sql(spark, tmp_path):
     want = dict(c.execute(records.ORACLES["er_router_label"]).fetchall())
     assert want[0] == "kg_rag"
     assert {r[0]: r[1] for r in records.er_router_label(spark, str(tmp_path)).collect()} == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def entities(spark):
+    rows = [("1", "Ann", "", "", ["x", " X "], None), ("2", "Bob", "b", "p", ["x"], 5), ("3", "Cy", "c", None, ["x"], 5), ("4", "Di", None, "", None, 2)]
+    return spark.createDataFrame(rows, "entity_id string, entity_name string, node_key string, type string, aliases array<string>, ord long")
+
+
+def test_aliases_find_their_place_by_number_and_break_ties_by_key(spark):
+    first, last = ({r.alias_key: r.entity_id for r in dictionaries.alias_entries(entities(spark), w).collect()} for w in (True, False))
+    assert (first["x"], last["x"], first["X"], last["X"], last["di"]) == ("1", "3", "1", "1", "4")
+    # the rows of all aliases are not sorted to be grouped, only those of the best places
+    assert "HashAggregate(keys=[alias_key" in plan(dictionaries.alias_entries(entities(spark)))
