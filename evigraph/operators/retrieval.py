@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 from evigraph.sources.workspace import folder
 
-#: Vectors and queries that one task multiplies.
-BLOCK = 4000
+#: Vectors and queries that one task multiplies, and queries that it ranks at a time.
+BLOCK, RANKED = 4000, 250
 #: Queries, and tokens of queries, that a worker holds for keyword search; more are matched in blocks, one pass over the texts a block.
 QUERY_BLOCK, BLOCK_TOKENS = 2000, 200_000
 #: Words, runs of Chinese characters and runs of blanks, as functions.text has them.
@@ -46,14 +46,22 @@ def _top(k: int, metric: str):
         a, b, qi, vi = x[is_query], x[~is_query], ids[is_query], ids[~is_query]
         if not len(qi) or not len(vi):
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        if metric == "cosine":
-            na, nb = np.linalg.norm(a, axis=1, keepdims=True), np.linalg.norm(b, axis=1, keepdims=True)
-            d = 1 - (a @ b.T) / np.where(na == 0, 1, na) / np.where(nb == 0, 1, nb).T
-        else:
-            d = np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0)
-        d = np.round(d, 9) + 0.0
-        order = np.lexsort((np.broadcast_to(vi, d.shape), d), axis=1)[:, :k]
-        return pa.table({"query_id": np.repeat(qi, order.shape[1]), "id": vi[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+        nb = np.linalg.norm(b, axis=1) if metric == "cosine" else (b * b).sum(axis=1)
+        best, near = [], []
+        for at in range(0, len(qi), RANKED):
+            some = a[at : at + RANKED]
+            d = some @ b.T
+            if metric == "cosine":
+                na = np.linalg.norm(some, axis=1, keepdims=True)
+                d = 1 - d / np.where(na == 0, 1, na) / np.where(nb == 0, 1, nb)
+            else:
+                d = np.maximum((some * some).sum(axis=1)[:, None] + nb[None] - 2 * d, 0)
+            d = np.round(d, 9) + 0.0
+            order = np.lexsort((np.broadcast_to(vi, d.shape), d), axis=1)[:, :k]
+            best.append(vi[order])
+            near.append(np.take_along_axis(d, order, axis=1))
+        ids, distances = np.concatenate(best), np.concatenate(near)
+        return pa.table({"query_id": np.repeat(qi, ids.shape[1]), "id": ids.ravel(), "distance": distances.ravel()})
 
     return run
 
