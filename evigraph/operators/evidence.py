@@ -43,9 +43,11 @@ def from_neighbors(found: DataFrame) -> DataFrame:
 
 
 def from_paths(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each hop takes the relation of its first edge; related_to where the graph has none in that direction."""
+    """Each hop takes the relation of its first edge, looked up among the edges of the hops alone; related_to where the graph has none in that direction."""
     hop = found.select("query_id", "source", "target", "rank", "score", "path", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.struct(F.element_at("path", i).alias("u"), F.try_element_at("path", i + 1).alias("v")))).alias("at", "h"))
-    first = edges.groupBy("src", "dst").agg(F.min_by("relation", F.struct("ord", "relation")).alias("relation"))
+    steps, n = search.settle(hop.select(F.col("h.u").alias("_u"), F.col("h.v").alias("_v")).distinct(), "steps")
+    used = edges.join(search.hinted(steps, n), (F.col("src") == F.col("_u")) & (F.col("dst") == F.col("_v")), "left_semi")
+    first = used.groupBy("src", "dst").agg(F.min_by("relation", F.struct("ord", "relation")).alias("relation"))
     named = hop.join(first, (F.col("h.u") == F.col("src")) & (F.col("h.v") == F.col("dst")), "left")
     triple = F.struct("at", F.struct(F.col("h.u").alias("head"), F.coalesce("relation", F.lit("related_to")).alias("relation"), F.col("h.v").alias("tail")).alias("t"))
     out = named.groupBy("query_id", "source", "target", "rank", "score", "path").agg(F.array_sort(F.collect_list(triple)).alias("ts"))
@@ -100,11 +102,14 @@ def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_
     subgraph_nodes over 0, the edges of a subgraph of so many nodes around all entities count too,
     cut to MAX_EVIDENCE before the whole is; the other searches find fewer than that by themselves.
     """
-    named = queries.select("query_id", F.posexplode("entities").alias("at", "entity"))
+    named, _ = search.settle(queries.select("query_id", F.posexplode("entities").alias("at", "entity")), "named")
     a, b = named.select("query_id", F.col("at").alias("i"), F.col("entity").alias("source")), named.select("query_id", F.col("at").alias("j"), F.col("entity").alias("target"))
     pairs = a.join(b, "query_id").filter("i < j and lower(source) <> lower(target)").select("query_id", "source", "target").distinct()
-    relations = from_relations(search.relation_search(edges, pairs))
-    paths = from_paths(search.path_search(edges, pairs, max_nodes=max_nodes), edges)
+    pairs, _ = search.settle(pairs, "pairs")
+    ends, n = search.settle(named.select(F.col("entity").alias("node")).distinct(), "entities")
+    between = search.within(search.within(edges, "src", ends, n), "dst", ends, n)
+    relations = from_relations(search.relation_search(between, pairs))
+    paths = from_paths(search.settle(search.path_search(edges, pairs, max_nodes=max_nodes), "paths")[0], edges)
     around = search.neighbor_search(edges, named.select(F.col("entity").alias("query_id"), "entity").distinct(), "both", max_neighbors).drop("query_id", "rank")
     neighbors = from_neighbors(named.select("query_id", "entity").distinct().join(around, "entity"))
     found = relations.unionByName(paths).unionByName(neighbors)

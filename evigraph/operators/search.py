@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.sources.workspace import folder
+
+#: Node keys (about 100 bytes each in memory), and paths, that are sent to all tasks; more are merged.
+FEW, FEW_PATHS = 500_000, 20_000
+#: Parts into which a node's neighbours are dealt before each part is cut.
+SPREAD = 4
 #: Score of a path by its number of nodes; longer paths have the last one.
 PATH_SCORES = {1: 1.0, 2: 0.90, 3: 0.82, 4: 0.74, 5: 0.66}
 LONG_PATH_SCORE = 0.58
@@ -50,14 +56,23 @@ def neighbor_search(edges: DataFrame, seeds: DataFrame, direction: str = "both",
     """Neighbours of every seed (query_id, entity); an unknown direction means both."""
     direction = direction if direction in ("in", "out") else "both"
     e = edges.select("src", F.col("relation") if include_relation else F.lit("related_to").alias("relation"), "dst", "score", "ord")
+    keys = seeds.select(F.col("entity").alias("node"))
+    rows = keys.limit(FEW + 1).count()
+    few = rows <= FEW
     parts = []
-    if direction in ("out", "both"):
-        parts.append(seeds.join(e, F.col("entity") == F.col("src")).withColumns({"neighbor": F.col("dst"), "direction": F.lit("out"), "place": F.lit(0)}))
-    if direction in ("in", "both"):
-        parts.append(seeds.join(e, F.col("entity") == F.col("dst")).withColumns({"neighbor": F.col("src"), "direction": F.lit("in"), "place": F.lit(1)}))
+    for way, at, other, place in (("out", "src", "dst", 0), ("in", "dst", "src", 1)):
+        if direction in (way, "both"):
+            near = within(e, at, keys, rows) if few else e
+            found = near.join(F.broadcast(seeds) if few else seeds, F.col("entity") == F.col(at))
+            parts.append(found.select("query_id", "entity", "relation", F.col(other).alias("neighbor"), F.lit(place).alias("place"), "score", F.coalesce("ord", F.lit(-(2**31))).alias("ord")))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # the first parallel edge gives the score
-    once = found.groupBy("query_id", "entity", "src", "relation", "dst", "direction", "place", "neighbor").agg(F.min_by("score", F.struct("ord", -F.col("score"))).alias("score"))
+    # the first parallel edge gives the score, of equal ones an unknown score, else the highest; all by sums of numbers, which take no sorting
+    found = found.withColumn("_part", F.pmod(F.xxhash64("neighbor"), F.lit(SPREAD))).repartition("query_id", "_part")
+    edge = ["query_id", "_part", "entity", "relation", "neighbor", "place"]
+    score = F.when(~F.max(F.col("score").isNull()), -F.min(-F.col("score"))).alias("score")
+    once = found.groupBy(*edge, "ord").agg(score).groupBy(*edge).agg(F.min_by("score", "ord").alias("score"))
+    out_going = F.col("place") == 0
+    once = once.select("query_id", "entity", F.when(out_going, F.col("entity")).otherwise(F.col("neighbor")).alias("src"), "relation", F.when(out_going, F.col("neighbor")).otherwise(F.col("entity")).alias("dst"), "neighbor", F.when(out_going, "out").otherwise("in").alias("direction"), "place", "score")
     cut = Window.partitionBy("query_id").orderBy(F.desc("score"), "place", "src", "relation", "dst")
     out = once.withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_neighbors)
     return out.select("query_id", "entity", F.col("src").alias("source"), "relation", F.col("dst").alias("target"), "neighbor", "direction", "score", edge_text("src", "relation", "dst").alias("text"), "rank")
@@ -71,44 +86,82 @@ def adjacency(edges: DataFrame, directed: bool = True) -> DataFrame:
     return out.distinct()
 
 
-def distances(step: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """(node, target, left): least hops from a node to a target, up to hops. step is (node, next)."""
-    level = targets.select(F.col("target").alias("node"), "target").distinct().withColumn("left", F.lit(0))
-    out = level
-    for h in range(1, hops + 1):
-        level = step.join(level.select(F.col("node").alias("next"), "target"), "next").select("node", "target").distinct().withColumn("left", F.lit(h))
-        out = out.unionByName(level)
-    return out.groupBy("node", "target").agg(F.min("left").alias("left"))
+def settle(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """df written to a folder of the run and read back, with its number of rows."""
+    spark = df.sparkSession
+    where = folder(spark, tag)
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    return out, out.count()
+
+
+def hinted(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
+    """df for the right side of a join: sent to all tasks if it has few rows, else merged."""
+    return F.broadcast(df) if rows <= few else df.hint("merge")
+
+
+def within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame:
+    """Edges one end of which is among nodes (node), of which there are so many rows; Spark filters them before it groups or joins them."""
+    return edges.join(hinted(nodes.select(F.col("node").alias("_node")), rows), F.col(end) == F.col("_node"), "left_semi")
+
+
+def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool) -> DataFrame:
+    """node, target, path: all simple paths of 1 to hops hops that can belong to a pair (source, target) with other ends.
+
+    Sets of nodes grow from the sources and paths from the targets, each time on the side that has fewer rows, until
+    they are one hop apart. Paths then grow on from node to node through the sources' sets alone, so hubs that
+    lead elsewhere are followed on neither side, and no pair is carried along.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    if not directed:
+        ends = ends.unionByName(ends.select(F.col("next").alias("node"), F.col("node").alias("next")))
+    sources = [settle(pairs.select(F.col("source").alias("node")).distinct(), "sources")]
+    zero = pairs.select(F.col("target").alias("node"), "target", F.array("target").alias("path")).distinct()
+    tails, rows = settle(zero, "targets")
+    zero = tails
+
+    def grown(tails: DataFrame, rows: int, place: int) -> DataFrame:
+        step = ends
+        if place < len(sources) and (place or sources[0][1] < rows):
+            step = within(step, "node", *sources[place])
+        if rows <= FEW_PATHS:  # only what is joined is made distinct
+            step = within(step, "next", tails.select("node").distinct(), rows).distinct()
+        else:  # dealt by next once, for both
+            step = step.repartition("next").distinct()
+        longer = step.join(hinted(tails.withColumnRenamed("node", "next"), rows, FEW_PATHS), "next").filter(~F.array_contains("path", F.col("node")))
+        return longer.select("node", "target", F.concat(F.array("node"), "path").alias("path"))
+
+    place = hops
+    while place > len(sources):
+        if rows <= sources[-1][1]:
+            place -= 1
+            tails, rows = settle(zero.unionByName(grown(tails, rows, place)), "tails")
+        else:
+            nodes, n = sources[-1]
+            sources.append(settle(within(ends, "node", nodes, n).select(F.col("next").alias("node")).distinct(), "heads"))
+    while place > 1:
+        place -= 1
+        tails, rows = settle(zero.unionByName(grown(tails, rows, place)), "tails")
+    return grown(tails, rows, 0)
 
 
 def path_search(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4, max_paths: int = 5, directed: bool = True) -> DataFrame:
     """Simple paths of at most max_nodes nodes between the ends of every pair (query_id, source, target).
 
-    Each hop keeps only nodes from which the target can still be reached in the hops left, so hubs
-    that lead elsewhere are not expanded. Per pair the max_paths shortest stay, ties by node keys.
-    A pair with equal ends is one path of one node, known or not.
+    Paths are made and cut once for each two ends that have some, then joined to the pairs. Per pair the max_paths
+    shortest stay, ties by node keys. A pair with equal ends is one path of one node, known or not.
     """
     if not 2 <= max_nodes <= MAX_PATH_NODES:
         raise ValueError(f"max_nodes must be from 2 to {MAX_PATH_NODES}")
-    step, hops = adjacency(edges, directed), max_nodes - 1
-    far = pairs.filter("source <> target")
-    reach = distances(step, far, hops - 1)
-    front = far.select("query_id", "source", "target", F.col("source").alias("node"), F.array("source").alias("path"))
-    same = pairs.filter("source = target").select("query_id", "source", "target", F.array("source").alias("path"))
-    done = same
-    for h in range(1, hops + 1):
-        grown = front.join(step, "node").filter(~F.array_contains("path", F.col("next")))
-        grown = grown.select("query_id", "source", "target", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
-        grown = grown.join(reach.filter(F.col("left") <= hops - h), ["node", "target"]).drop("left")
-        done = done.unionByName(grown.filter("node = target").select("query_id", "source", "target", "path"))
-        front = grown.filter("node <> target")
     size = F.size("path")
+    cut = Window.partitionBy("node", "target").orderBy("path_length", "path")
+    found = _suffixes(edges, pairs.filter("source <> target"), max_nodes - 1, directed).withColumn("path_length", size).withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_paths)
+    far = pairs.filter("source <> target").select("query_id", "source", "target").join(found.withColumnRenamed("node", "source"), ["source", "target"])
+    same = pairs.filter("source = target").select("query_id", "source", "target", F.array("source").alias("path"), F.lit(1).alias("path_length"), F.lit(1).alias("rank"))
     score = F.lit(LONG_PATH_SCORE)
     for n, s in sorted(PATH_SCORES.items(), reverse=True):
         score = F.when(F.col("path_length") == n, s).otherwise(score)
-    cut = Window.partitionBy("query_id", "source", "target").orderBy("path_length", "path")
-    out = done.withColumn("path_length", size).withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_paths)
-    return out.select("query_id", "source", "target", "path", "path_length", (F.col("path_length") - 1).alias("num_hops"), score.alias("score"), "rank")
+    return far.unionByName(same).select("query_id", "source", "target", "path", "path_length", (F.col("path_length") - 1).alias("num_hops"), score.alias("score"), "rank")
 
 
 def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, max_nodes: int = 50, max_edges: int = 100, direction: str = "both") -> tuple[DataFrame, DataFrame]:
@@ -119,23 +172,37 @@ def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, ma
     Of a node only the first max_nodes neighbours by key are followed: a neighbour is admitted after
     all lesser ones of the same node, so one further on can't be among the first max_nodes of all.
     """
-    step = adjacency(edges, True) if direction == "out" else adjacency(edges, True).select(F.col("next").alias("node"), F.col("node").alias("next")) if direction == "in" else adjacency(edges, False)
+    out_going = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    coming = out_going.select(F.col("next").alias("node"), F.col("node").alias("next"))
+    either = out_going.unionByName(coming)
+    ends = out_going if direction == "out" else coming if direction == "in" else either
     first = Window.partitionBy("node").orderBy("next")
-    step = step.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_nodes).drop("_r")
-    known = adjacency(edges, False).select("node").distinct()
-    level = centers.join(known, F.col("entity") == F.col("node"), "left_semi").select("query_id", F.col("entity").alias("id")).distinct().withColumn("depth", F.lit(0))
+    start, rows = settle(centers.select("query_id", F.col("entity").alias("id")).distinct(), "centres")
+    known, n = settle(within(either, "node", start.select(F.col("id").alias("node")), rows).select("node").distinct(), "known")
+    level = start.join(hinted(known, n), F.col("id") == F.col("node"), "left_semi").withColumn("depth", F.lit(0))
     found = level
     for depth in range(1, max_depth + 1):
+        # of queries that have all their nodes nothing is expanded, nor what is beyond the cap
+        size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+        level, rows = settle(found.withColumn("_n", size).filter((F.col("_n") < max_nodes) & (F.col("depth") == depth - 1)).select("query_id", "id"), "level")
+        if not rows:
+            break
+        step = within(ends, "node", level.select(F.col("id").alias("node")), rows)
+        step = step.withColumn("_part", F.pmod(F.xxhash64("next"), F.lit(SPREAD))).repartition("node", "_part").distinct()
+        step = step.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_nodes).select("node", "next")
         new = level.join(step, F.col("id") == F.col("node")).select("query_id", F.col("next").alias("id")).distinct()
         new = new.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        found = found.unionByName(new)
-        # what is beyond the cap is not expanded
         cut = Window.partitionBy("query_id").orderBy("depth", "id")
-        found = found.withColumn("_r", F.row_number().over(cut)).filter((F.col("_r") <= max_nodes) | (F.col("depth") == 0)).drop("_r")
-        level = found.filter(F.col("depth") == depth)
+        found = found.unionByName(new).withColumn("_r", F.row_number().over(cut)).filter((F.col("_r") <= max_nodes) | (F.col("depth") == 0)).drop("_r")
+        found, _ = settle(found, "found")
     nodes = found.select("query_id", "id", "depth", (F.col("depth") == 0).alias("is_center"))
-    ends = nodes.select("query_id", "id")
-    inner = edges.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["query_id", "dst"])
+    held = nodes.select("query_id", "id")
+    # an edge is joined first by the end that fewer queries hold, so a hub's edges don't meet all of its queries
+    per = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = edges.select("src", "relation", "dst", "ord").join(per.select(F.col("id").alias("src"), F.col("n").alias("_s")), "src").join(per.select(F.col("id").alias("dst"), F.col("n").alias("_d")), "dst")
+    by_src = F.col("_s") <= F.col("_d")
+    both = both.select("src", "relation", "dst", "ord", F.when(by_src, F.col("src")).otherwise(F.col("dst")).alias("_a"), F.when(by_src, F.col("dst")).otherwise(F.col("src")).alias("_b"))
+    inner = both.join(held.withColumnRenamed("id", "_a"), "_a").join(held.withColumnRenamed("id", "_b"), ["query_id", "_b"])
     cut = Window.partitionBy("query_id").orderBy("relation", "src", "dst", "ord")
     kept = inner.withColumn("_r", F.row_number().over(cut)).filter(F.col("_r") <= max_edges)
     return nodes, kept.select("query_id", F.col("src").alias("head"), "relation", F.col("dst").alias("tail")).distinct()
