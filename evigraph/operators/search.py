@@ -67,7 +67,8 @@ def neighbor_search(edges: DataFrame, seeds: DataFrame, direction: str = "both",
             parts.append(found.select("query_id", "entity", "relation", F.col(other).alias("neighbor"), F.lit(place).alias("place"), "score", F.coalesce("ord", F.lit(-(2**31))).alias("ord")))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # the first parallel edge gives the score, of equal ones an unknown score, else the highest; all by sums of numbers, which take no sorting
-    found = found.withColumn("_part", F.pmod(F.xxhash64("neighbor"), F.lit(SPREAD))).repartition("query_id", "_part")
+    found = found.withColumn("_part", F.pmod(F.xxhash64("neighbor"), F.lit(SPREAD)))
+    found = dealt(found, "query_id", "_part")
     edge = ["query_id", "_part", "entity", "relation", "neighbor", "place"]
     score = F.when(~F.max(F.col("score").isNull()), -F.min(-F.col("score"))).alias("score")
     once = found.groupBy(*edge, "ord").agg(score).groupBy(*edge).agg(F.min_by("score", "ord").alias("score"))
@@ -100,6 +101,11 @@ def hinted(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
     return F.broadcast(df) if rows <= few else df.hint("merge")
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many parts as a shuffle has, which are not put together again, as what follows holds a whole part in memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame:
     """Edges one end of which is among nodes (node), of which there are so many rows; Spark filters them before it groups or joins them."""
     return edges.join(hinted(nodes.select(F.col("node").alias("_node")), rows), F.col(end) == F.col("_node"), "left_semi")
@@ -127,7 +133,7 @@ def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool) ->
         if rows <= FEW_PATHS:  # only what is joined is made distinct
             step = within(step, "next", tails.select("node").distinct(), rows).distinct()
         else:  # dealt by next once, for both
-            step = step.repartition("next").distinct()
+            step = dealt(step, "next").distinct()
         longer = step.join(hinted(tails.withColumnRenamed("node", "next"), rows, FEW_PATHS), "next").filter(~F.array_contains("path", F.col("node")))
         return longer.select("node", "target", F.concat(F.array("node"), "path").alias("path"))
 
@@ -188,7 +194,7 @@ def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, ma
         if not rows:
             break
         step = within(ends, "node", level.select(F.col("id").alias("node")), rows)
-        step = step.withColumn("_part", F.pmod(F.xxhash64("next"), F.lit(SPREAD))).repartition("node", "_part").distinct()
+        step = dealt(step.withColumn("_part", F.pmod(F.xxhash64("next"), F.lit(SPREAD))), "node", "_part").distinct()
         step = step.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_nodes).select("node", "next")
         new = level.join(step, F.col("id") == F.col("node")).select("query_id", F.col("next").alias("id")).distinct()
         new = new.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth))
