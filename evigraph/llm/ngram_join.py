@@ -3,7 +3,7 @@
 A text is the set of its word n-grams, as 64-bit hashes. Equal sets are one. Two sets that reach
 the similarity must share one of their first few hashes in any common order, so sets are dealt to
 buckets by these prefix hashes; very common hashes come last in the order, which keeps the
-buckets small. In a bucket, sets are the leaves of a tree: each node holds the OR of its
+buckets small, and a bucket is cut where its sets' sizes leave too wide a gap. In a bucket, sets are the leaves of a tree: each node holds the OR of its
 sets' bitmaps and their range of sizes, and two nodes are descended together only while the
 greatest overlap that their bitmaps allow can reach what their sizes demand. What is left is
 verified on the whole sets. Buckets with the same least set, its leader, are one.
@@ -272,23 +272,40 @@ def _over(limit: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """For applyInArrow on one bucket of hashes and sets: the sets of hashes of at least two sets, each once under each of its leaders.
+def _chains(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each row, ordered by token and size, the number of its chain: rows of one token that sizes do not keep apart.
 
-    A hash's leader is the least of its sets.
+    Of two sets that may be similar, neither those between them in size nor they themselves differ too
+    much from the next, so a step in size beyond the similarity ends a chain.
     """
-    tokens, sids, sizes = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("t", np.uint64), ("o", np.int64), ("n", np.uint32)))
-    order = np.lexsort((sids, tokens))
-    tokens, sids, sizes = tokens[order], sids[order], sizes[order]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    c = np.diff(np.append(first, len(tokens)))
-    lead, n_lead = np.repeat(sids[first], c), np.repeat(sizes[first], c)
-    order = np.lexsort((sids, lead))
-    lead, n_lead, sids, sizes = lead[order], n_lead[order], sids[order], sizes[order]
-    new = np.r_[True, (lead[1:] != lead[:-1]) | (sids[1:] != sids[:-1])]
-    new &= sids != lead  # leaders follow their sets
-    trim()
-    return pa.table({"g": lead[new], "n_g": n_lead[new].astype(np.int64), "sid": sids[new], "n": sizes[new].astype(np.int64)})
+    n = sizes.astype(np.int64)
+    return np.cumsum(np.r_[True, (tokens[1:] != tokens[:-1]) | (100 * n[:-1] < percent * n[1:])])
+
+
+def _shared(percent: int):
+    """For applyInArrow on one bucket of hashes and sets: the sets of chains of at least two sets, each once under each of its leaders.
+
+    A chain's leader is the least of its sets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, sids, sizes = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("t", np.uint64), ("o", np.int64), ("n", np.uint32)))
+        order = np.lexsort((sizes, tokens))
+        tokens, sids, sizes = tokens[order], sids[order], sizes[order]
+        chain = _chains(tokens, sizes, percent)
+        order = np.lexsort((sids, chain))
+        chain, sids, sizes = chain[order], sids[order], sizes[order]
+        first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+        c = np.diff(np.append(first, len(chain)))
+        lead, n_lead = np.repeat(sids[first], c), np.repeat(sizes[first], c)
+        order = np.lexsort((sids, lead))
+        lead, n_lead, sids, sizes = lead[order], n_lead[order], sids[order], sizes[order]
+        new = np.r_[True, (lead[1:] != lead[:-1]) | (sids[1:] != sids[:-1])]
+        new &= sids != lead  # leaders follow their sets
+        trim()
+        return pa.table({"g": lead[new], "n_g": n_lead[new].astype(np.int64), "sid": sids[new], "n": sizes[new].astype(np.int64)})
+
+    return run
 
 
 class Tree:
@@ -508,9 +525,9 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     common = often.orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
     common = np.sort(common.astype(np.int64).view(np.uint64))
 
-    # groups: a leader and all sets that share one of its buckets
+    # groups: a leader and all sets that share one of its buckets and are near in size, by steps
     spread = rows.mapInArrow(_deal_prefixes(width, percent, common, buckets), "b int, t binary, o binary, n binary").groupBy("b")
-    members = scratch.save(spread.applyInArrow(_shared, "g long, n_g long, sid long, n long").distinct(), "members")
+    members = scratch.save(spread.applyInArrow(_shared(percent), "g long, n_g long, sid long, n long").distinct(), "members")
 
     # a set first meets the least of its leaders
     near = F.least("n", "n_g") * 100 >= percent * F.greatest("n", "n_g")

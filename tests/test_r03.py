@@ -4,6 +4,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
+from evigraph.llm import ngram_join
+from evigraph.llm.kneser_ney import pack
 from evigraph.operators import retrieval, search
 from evigraph.plans import records
 from evigraph.sources import dictionaries
@@ -80,3 +82,21 @@ def test_ranking_near_vectors_holds_a_part_of_the_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.num_rows == 3 * n and peak < 8 * n * n
+
+
+def test_sets_of_one_hash_meet_only_those_that_sizes_let_be_similar():
+    token, sid, n = [1, 1, 1, 1, 2, 2, 3, 3], [5, 6, 7, 8, 5, 9, 7, 8], [100, 80, 10, 12, 100, 50, 10, 12]
+    packed = pa.table({"t": [pack(np.array(token, np.uint64))], "o": [pack(np.array(sid, np.int64))], "n": [pack(np.array(n, np.uint32))]})
+    found = ngram_join._shared(80)(packed)
+    # before, set 5 led all others; a step in size from 12 to 80, or from 50 to 100, parts those that can't be similar
+    assert sorted(zip(*(found.column(c).to_pylist() for c in ("g", "n_g", "sid", "n")))) == [(5, 100, 6, 80), (7, 10, 8, 12)]
+
+
+def test_chains_of_sizes_lose_no_pair():
+    r = np.random.default_rng(1)
+    tokens, sizes = np.sort(r.integers(0, 40, 600)), r.integers(1, 500, 600)
+    order = np.lexsort((sizes, tokens))
+    tokens, sizes = tokens[order], sizes[order]
+    chain = ngram_join._chains(tokens, sizes.astype(np.uint32), 80)
+    near = (tokens[:, None] == tokens) & (100 * np.minimum(sizes[:, None], sizes) >= 80 * np.maximum(sizes[:, None], sizes))
+    assert (chain[:, None] == chain)[near].all() and len(set(chain)) > 40
