@@ -107,10 +107,15 @@ def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_
     pairs = a.join(b, "query_id").filter("i < j and lower(source) <> lower(target)").select("query_id", "source", "target").distinct()
     pairs, _ = search.settle(pairs, "pairs")
     ends, n = search.settle(named.select(F.col("entity").alias("node")).distinct(), "entities")
-    between = search.within(search.within(edges, "src", ends, n), "dst", ends, n)
+    # edges out of the entities are looked for once, for relations, neighbours, first hops and their relations
+    edges = edges.select("src", "relation", "dst", "score", "ord")
+    outs, _ = search.settle(search.within(edges, "src", ends, n), "outs")
+    between, _ = search.settle(search.within(outs, "dst", ends, n), "between")
     relations = from_relations(search.relation_search(between, pairs))
-    paths = from_paths(search.settle(search.path_search(edges, pairs, max_nodes=max_nodes), "paths")[0], edges)
-    around = search.neighbor_search(edges, named.select(F.col("entity").alias("query_id"), "entity").distinct(), "both", max_neighbors).drop("query_id", "rank")
+    found, _ = search.settle(search.path_search(edges, pairs, max_nodes=max_nodes, outs=outs), "paths")
+    inner, m = search.settle(found.select(F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("node")).distinct(), "inner")
+    paths = from_paths(found, outs.unionByName(search.within(edges, "src", inner, m)) if m else outs)
+    around = search.neighbor_search(edges, named.select(F.col("entity").alias("query_id"), "entity").distinct(), "both", max_neighbors, outs=outs).drop("query_id", "rank")
     neighbors = from_neighbors(named.select("query_id", "entity").distinct().join(around, "entity"))
     found = relations.unionByName(paths).unionByName(neighbors)
     if subgraph_nodes > 0:
@@ -119,33 +124,39 @@ def retrieve(edges: DataFrame, queries: DataFrame, max_neighbors: int = 10, max_
     return fuse(found)
 
 
-def _entity_overlap(query: Column) -> Column:
+def _names() -> Column:
+    """All names in a row of evidence, compared lightly."""
     parts = F.concat(F.array("source_entity", "target_entity", "relation"), "path", F.flatten(F.transform("triples", lambda t: F.array(t["head"], t["relation"], t["tail"]))))
-    names = F.filter(F.transform(parts, T.light), lambda x: x != "")
-    q = T.light(query)
-    hits = F.size(F.filter(names, lambda x: F.contains(q, x) | F.contains(x, q)))
+    return F.filter(F.transform(parts, T.light), lambda x: x != "")
+
+
+def _entity_overlap(names: Column, light: Column) -> Column:
+    hits = F.size(F.filter(names, lambda x: F.contains(light, x) | F.contains(x, light)))
     return F.when(F.size(names) == 0, 0.0).otherwise(hits / F.size(names))
 
 
-def _relation_match(query: Column) -> Column:
-    q, rel = F.lower(query), F.lower(F.coalesce("relation", F.lit("")))
-    one_of = lambda words: F.greatest(*(F.contains(q, F.lit(w)) for w in words))
-    kind = F.col("evidence_type")
+def _relation_match() -> Column:
+    rel, kind = F.lower(F.coalesce("relation", F.lit(""))), F.col("evidence_type")
     return (
-        F.when(one_of(RELATION_WORDS) & (kind == "relation"), 1.0)
-        .when(one_of(RELATION_WORDS) & rel.isin("related_to", "relation"), 0.8)
-        .when(one_of(PATH_WORDS) & (kind == "path"), 1.0)
-        .when(one_of(CLASS_WORDS) & rel.isin(*CLASS_RELATIONS), 1.0)
-        .when((rel != "") & F.contains(q, rel), 1.0)
+        F.when(F.col("_relation") & (kind == "relation"), 1.0)
+        .when(F.col("_relation") & rel.isin("related_to", "relation"), 0.8)
+        .when(F.col("_route") & (kind == "path"), 1.0)
+        .when(F.col("_class") & rel.isin(*CLASS_RELATIONS), 1.0)
+        .when((rel != "") & F.contains("_lower", rel), 1.0)
         .otherwise(0.4)
     )
 
 
 def score_evidence(evidence: DataFrame, queries: DataFrame) -> DataFrame:
-    """evidence with semantic_score against its query (query_id, query), at nine digits."""
-    out = evidence.join(queries.select("query_id", "query"), "query_id")
-    total = 0.35 * T.clip(F.col("score")) + 0.20 * _map(TYPE_SCORE, "evidence_type", 0.40) + 0.25 * T.text_overlap(F.col("query"), F.col("text")) + 0.15 * _entity_overlap(F.col("query")) + 0.05 * _relation_match(F.col("query"))
-    return out.withColumn("semantic_score", F.round(T.clip(total), 9)).drop("query")
+    """evidence with semantic_score against its query (query_id, query), at nine digits.
+
+    What a query alone tells is computed before it meets its evidence, and what several terms use is a column of its own.
+    """
+    one_of = lambda words: F.greatest(*(F.contains(F.lower("query"), F.lit(w)) for w in words))
+    told = {"_lower": F.lower("query"), "_light": T.light(F.col("query")), "_asked": T.evidence_tokens(F.col("query")), "_relation": one_of(RELATION_WORDS), "_route": one_of(PATH_WORDS), "_class": one_of(CLASS_WORDS)}
+    out = evidence.join(queries.select("query_id", *(c.alias(n) for n, c in told.items())), "query_id").withColumns({"_named": _names(), "_told": T.evidence_tokens(F.col("text"))})
+    total = 0.35 * T.clip(F.col("score")) + 0.20 * _map(TYPE_SCORE, "evidence_type", 0.40) + 0.25 * T.token_overlap(F.col("_asked"), F.col("_told")) + 0.15 * _entity_overlap(F.col("_named"), F.col("_light")) + 0.05 * _relation_match()
+    return out.withColumn("semantic_score", F.round(T.clip(total), 9)).drop(*told, "_named", "_told")
 
 
 def select_evidence(scored: DataFrame) -> DataFrame:

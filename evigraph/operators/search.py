@@ -52,27 +52,38 @@ def relation_search(edges: DataFrame, pairs: DataFrame, include_reverse: bool =
     return out.select("query_id", "head", "relation", "tail", "direction", "score", edge_text("head", "relation", "tail").alias("text"))
 
 
-def neighbor_search(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_neighbors: int = 20, include_relation: bool = True) -> DataFrame:
-    """Neighbours of every seed (query_id, entity); an unknown direction means both."""
+def neighbor_search(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_neighbors: int = 20, include_relation: bool = True, outs: DataFrame | None = None) -> DataFrame:
+    """Neighbours of every seed (query_id, entity); an unknown direction means both.
+
+    Few entities get numbers, so that what is dealt and grouped has neither their names nor the queries'; the first
+    max_neighbors of each entity, among which are the first of each query, then meet the queries. With more than FEW,
+    edges are joined to the seeds. outs, if given, holds all edges out of the entities.
+    """
     direction = direction if direction in ("in", "out") else "both"
-    e = edges.select("src", F.col("relation") if include_relation else F.lit("related_to").alias("relation"), "dst", "score", "ord")
-    keys = seeds.select(F.col("entity").alias("node"))
-    rows = keys.limit(FEW + 1).count()
+    rows = seeds.limit(FEW + 1).count()
     few = rows <= FEW
+    if few:
+        who, rows = settle(seeds.select("entity").filter("entity is not null").distinct().withColumn("_id", F.monotonically_increasing_id()), "numbered")
+        keys, own = who.select(F.col("entity").alias("node")), ["_id"]
+    else:
+        who, own = seeds, ["query_id", "entity"]
     parts = []
     for way, at, other, place in (("out", "src", "dst", 0), ("in", "dst", "src", 1)):
         if direction in (way, "both"):
-            near = within(e, at, keys, rows) if few else e
-            found = near.join(F.broadcast(seeds) if few else seeds, F.col("entity") == F.col(at))
-            parts.append(found.select("query_id", "entity", "relation", F.col(other).alias("neighbor"), F.lit(place).alias("place"), "score", F.coalesce("ord", F.lit(-(2**31))).alias("ord")))
+            e = (outs if way == "out" and outs is not None else edges).select("src", F.col("relation") if include_relation else F.lit("related_to").alias("relation"), "dst", "score", "ord")
+            found = (within(e, at, keys, rows) if few else e).join(F.broadcast(who) if few else who, F.col("entity") == F.col(at))
+            parts.append(found.select(*own, "relation", F.col(other).alias("neighbor"), F.lit(place).alias("place"), "score", F.coalesce("ord", F.lit(-(2**31))).alias("ord")))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # the first parallel edge gives the score, of equal ones an unknown score, else the highest; all by sums of numbers, which take no sorting
     found = found.withColumn("_part", F.pmod(F.xxhash64("neighbor"), F.lit(SPREAD)))
-    found = dealt(found, "query_id", "_part")
-    edge = ["query_id", "_part", "entity", "relation", "neighbor", "place"]
+    found = dealt(found, own[0], "_part")
+    edge = [*own, "_part", "relation", "neighbor", "place"]
     score = F.when(~F.max(F.col("score").isNull()), -F.min(-F.col("score"))).alias("score")
     once = found.groupBy(*edge, "ord").agg(score).groupBy(*edge).agg(F.min_by("score", "ord").alias("score"))
     out_going = F.col("place") == 0
+    if few:  # an entity's edges in the order below
+        best = Window.partitionBy("_id").orderBy(F.desc("score"), "place", F.when(~out_going, F.col("neighbor")), "relation", "neighbor")
+        once = once.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max_neighbors).join(F.broadcast(who), "_id").join(F.broadcast(seeds.select("query_id", "entity").distinct()), "entity")
     once = once.select("query_id", "entity", F.when(out_going, F.col("entity")).otherwise(F.col("neighbor")).alias("src"), "relation", F.when(out_going, F.col("neighbor")).otherwise(F.col("entity")).alias("dst"), "neighbor", F.when(out_going, "out").otherwise("in").alias("direction"), "place", "score")
     cut = Window.partitionBy("query_id").orderBy(F.desc("score"), "place", "src", "relation", "dst")
     out = once.withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_neighbors)
@@ -111,23 +122,25 @@ def within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame
     return edges.join(hinted(nodes.select(F.col("node").alias("_node")), rows), F.col(end) == F.col("_node"), "left_semi")
 
 
-def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool) -> DataFrame:
+def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool, outs: DataFrame | None) -> DataFrame:
     """node, target, path: all simple paths of 1 to hops hops that can belong to a pair (source, target) with other ends.
 
     Sets of nodes grow from the sources and paths from the targets, each time on the side that has fewer rows, until
     they are one hop apart. Paths then grow on from node to node through the sources' sets alone, so hubs that
-    lead elsewhere are followed on neither side, and no pair is carried along.
+    lead elsewhere are followed on neither side, and no pair is carried along. outs, if given, holds all edges out of
+    the sources, which are then not looked for among the others.
     """
     ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     if not directed:
         ends = ends.unionByName(ends.select(F.col("next").alias("node"), F.col("node").alias("next")))
     sources = [settle(pairs.select(F.col("source").alias("node")).distinct(), "sources")]
+    near = None if outs is None or not directed else outs.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     zero = pairs.select(F.col("target").alias("node"), "target", F.array("target").alias("path")).distinct()
     tails, rows = settle(zero, "targets")
     zero = tails
 
     def grown(tails: DataFrame, rows: int, place: int) -> DataFrame:
-        step = ends
+        step = near if place == 0 and near is not None else ends
         if place < len(sources) and (place or sources[0][1] < rows):
             step = within(step, "node", *sources[place])
         if rows <= FEW_PATHS:  # only what is joined is made distinct
@@ -137,31 +150,38 @@ def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool) ->
         longer = step.join(hinted(tails.withColumnRenamed("node", "next"), rows, FEW_PATHS), "next").filter(~F.array_contains("path", F.col("node")))
         return longer.select("node", "target", F.concat(F.array("node"), "path").alias("path"))
 
+    def headed() -> tuple[DataFrame, int]:
+        nodes, n = sources[-1]
+        step = near if len(sources) == 1 and near is not None else ends
+        return settle(within(step, "node", nodes, n).select(F.col("next").alias("node")).distinct(), "heads")
+
     place = hops
+    if near is not None and place > 1:
+        sources.append(headed())
     while place > len(sources):
-        if rows <= sources[-1][1]:
+        if rows < sources[-1][1]:
             place -= 1
             tails, rows = settle(zero.unionByName(grown(tails, rows, place)), "tails")
         else:
-            nodes, n = sources[-1]
-            sources.append(settle(within(ends, "node", nodes, n).select(F.col("next").alias("node")).distinct(), "heads"))
+            sources.append(headed())
     while place > 1:
         place -= 1
         tails, rows = settle(zero.unionByName(grown(tails, rows, place)), "tails")
     return grown(tails, rows, 0)
 
 
-def path_search(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4, max_paths: int = 5, directed: bool = True) -> DataFrame:
+def path_search(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4, max_paths: int = 5, directed: bool = True, outs: DataFrame | None = None) -> DataFrame:
     """Simple paths of at most max_nodes nodes between the ends of every pair (query_id, source, target).
 
     Paths are made and cut once for each two ends that have some, then joined to the pairs. Per pair the max_paths
-    shortest stay, ties by node keys. A pair with equal ends is one path of one node, known or not.
+    shortest stay, ties by node keys. A pair with equal ends is one path of one node, known or not. outs, if given, holds
+    all edges out of the sources.
     """
     if not 2 <= max_nodes <= MAX_PATH_NODES:
         raise ValueError(f"max_nodes must be from 2 to {MAX_PATH_NODES}")
     size = F.size("path")
     cut = Window.partitionBy("node", "target").orderBy("path_length", "path")
-    found = _suffixes(edges, pairs.filter("source <> target"), max_nodes - 1, directed).withColumn("path_length", size).withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_paths)
+    found = _suffixes(edges, pairs.filter("source <> target"), max_nodes - 1, directed, outs).withColumn("path_length", size).withColumn("rank", F.row_number().over(cut)).filter(F.col("rank") <= max_paths)
     far = pairs.filter("source <> target").select("query_id", "source", "target").join(found.withColumnRenamed("node", "source"), ["source", "target"])
     same = pairs.filter("source = target").select("query_id", "source", "target", F.array("source").alias("path"), F.lit(1).alias("path_length"), F.lit(1).alias("rank"))
     score = F.lit(LONG_PATH_SCORE)

@@ -56,7 +56,7 @@ def ev_answerability(spark, sf_dir):
 
 
 def ev_reasoning_confidence(spark, sf_dir):
-    s = _selected(spark, sf_dir)
+    s, _ = E.search.settle(_selected(spark, sf_dir).filter("selected"), "selected")
     return E.reasoning(s, _verdicts(spark, sf_dir, s)).withColumn("confidence", F.round("confidence", 6))
 
 

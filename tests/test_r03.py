@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from evigraph.llm import ngram_join
 from evigraph.llm.kneser_ney import pack
-from evigraph.operators import retrieval, search
+from evigraph.operators import evidence, retrieval, search
 from evigraph.plans import records
 from evigraph.sources import dictionaries
 
@@ -100,3 +100,55 @@ def test_chains_of_sizes_lose_no_pair():
     chain = ngram_join._chains(tokens, sizes.astype(np.uint32), 80)
     near = (tokens[:, None] == tokens) & (100 * np.minimum(sizes[:, None], sizes) >= 80 * np.maximum(sizes[:, None], sizes))
     assert (chain[:, None] == chain)[near].all() and len(set(chain)) > 40
+
+
+def random_edges(spark, n=300, nodes=25, seed=3):
+    r = np.random.default_rng(seed)
+    rows = [(f"n{a}", f"r{k}", f"n{b}", None if s == 0 else float(s), int(o)) for a, b, k, s, o in zip(r.integers(0, nodes, n), r.integers(0, nodes, n), r.integers(0, 2, n), r.integers(0, 5, n), r.integers(0, 3, n))]
+    return rows, spark.createDataFrame(rows, "src string, relation string, dst string, score double, ord int")
+
+
+def test_neighbors_are_dealt_by_number_and_cut_for_each_query(spark):
+    rows, g = random_edges(spark)
+    asked = [(1, "n1"), (1, "n2"), (2, "n2"), (2, "n2"), (3, "nowhere"), (4, None)]
+    seeds = spark.createDataFrame(asked, "query_id long, entity string")
+    found = search.neighbor_search(g, seeds, max_neighbors=6)
+    want = set()
+    for q in (1, 2):
+        held = {}
+        for at, other, place in ((0, 2, 0), (2, 0, 1)):
+            for e in rows:
+                if (q, e[at]) in asked:
+                    held.setdefault((e[at], place, e[0], e[1], e[2], e[other]), []).append((e[4], e[3] is not None, -(e[3] or 0), e[3]))
+        best = sorted((min(v)[3] is None, -(min(v)[3] or 0), k[1], k[2], k[3], k[4], k[0]) for k, v in held.items())[:6]
+        want |= {(q, i + 1, b[6], b[3], b[4], b[5], None if b[0] else -b[1]) for i, b in enumerate(best)}
+    key = lambda r: tuple(map(str, r))
+    got = [(r.query_id, r.rank, r.source, r.relation, r.target, r.score) for r in found.collect()]
+    assert sorted(map(key, got)) == sorted(key((w[0], w[1], w[3], w[4], w[5], w[6])) for w in want)
+    # neither names of entities nor queries are grouped with the edges
+    assert not any("HashAggregate" in x and "query_id" in x and "relation" in x for x in plan(found).splitlines())
+    outs = g.filter("src in ('n1', 'n2')")
+    assert sorted(map(key, found.collect())) == sorted(map(key, search.neighbor_search(g, seeds, max_neighbors=6, outs=outs).collect()))
+
+
+def test_paths_from_edges_out_of_the_sources(spark):
+    _, g = random_edges(spark, 60)
+    pairs = spark.createDataFrame([(i, f"n{i % 4}", f"n{5 + i % 3}") for i in range(12)], "query_id long, source string, target string")
+    outs = g.filter("src in ('n0', 'n1', 'n2', 'n3')")
+    for nodes in (2, 3, 4):
+        a, b = (sorted(map(tuple, search.path_search(g, pairs, nodes, **kw).collect())) for kw in ({}, {"outs": outs}))
+        assert a == b and (a or nodes == 2)
+    # two sets of nodes, or paths, fewer edges to read: one hop needs no other edges at all
+    none = g.filter("false")
+    assert search.path_search(none, pairs, 2, outs=outs).collect() == search.path_search(g, pairs, 2).collect()
+
+
+def test_what_a_question_tells_is_computed_once_a_question(spark):
+    q = spark.createDataFrame([(1, "How is a-b related to c_d")], "query_id long, query string")
+    g = spark.createDataFrame([("a-b", "r", "c_d", 0.5, 0), ("x", "related_to", "c_d", 0.5, 0)], "src string, relation string, dst string, score double, ord int")
+    found = evidence.retrieve(g, q.selectExpr("query_id", "array('a-b', 'c_d') entities"))
+    scored = evidence.score_evidence(found, q)
+    assert set(scored.columns) == {*found.columns, "semantic_score"}
+    assert {(r.evidence_type, r.source_entity): r.semantic_score for r in scored.collect()}[("path", "a-b")] == 0.68475  # 0.35 x 0.9 + 0.2 x 0.78 + 0.25 x 0.25 + 0.15 x 7 / 8 + 0.05 x 0.4
+    joined = [x for x in plan(scored).splitlines() if "Join" in x]
+    assert joined and "_asked" in plan(scored)
