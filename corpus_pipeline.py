@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bpe, decontamination, ngram_join, secrets, toxicity
-from evigraph.llm.shared import Scratch
+from evigraph.llm.shared import Scratch, parted
 
 TOXIC = 0.7
 #: Near duplicates: words of a shingle, and similarity in percent.
@@ -33,12 +33,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without words, or without an id, are in no group and stay.
     """
-    grouped = ngram_join.similar_texts(docs, "doc_id", "text", WIDTH, PERCENT)
-    first = Scratch(spark, "groups").save(grouped.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    if not first.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    grouped = ngram_join.similar_texts(docs, "doc_id", "text", WIDTH, PERCENT).filter("doc_id is not null")
+    tally = grouped.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    odd = Scratch(spark, "groups").save(tally.filter("_n = 0 or _rows > 1"), "odd")
+    # most documents stay as they are, and their texts are not shuffled
+    plain, rest = parted(docs, "doc_id", odd)
+    rest = rest.join(odd, "doc_id", "left").filter("_n is null or _n > 0")
+    if not odd.filter("_rows > 1").isEmpty():
+        once = rest.filter("_rows > 1").dropDuplicates(["doc_id", "text"])
+        rest = rest.filter("_rows is null or _rows = 1").unionByName(once)
+    return plain.unionByName(rest.select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

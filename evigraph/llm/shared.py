@@ -92,3 +92,15 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
     return rows.filter(F.col(key).isNotNull()).withColumn("_place", place).mapInArrow(run, rows.schema)
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is not in the column ``key`` of wanted, and the others, among which are some more; a join of the latter must follow.
+
+    The filter is that of likely(), as words of 64 bits that every task gets. Rows without a key are among the first.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast(wanted.schema[key].dataType)), F.lit(FILTER_BITS)).cast("int")
+    bits = wanted.filter(F.col(key).isNotNull()).select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, p % 64))").alias("_v"))
+    marked = rows.withColumn("_p", F.when(F.col(key).isNotNull(), place)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(bits), "_w", "left")
+    held = F.coalesce(F.expr("shiftright(_v, _p % 64) & 1L"), F.lit(0)) == 1
+    return marked.filter(~held).select(rows.columns), marked.filter(held).select(rows.columns)

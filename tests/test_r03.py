@@ -3,9 +3,12 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evigraph.llm import ngram_join
 from evigraph.llm.kneser_ney import pack
+from evigraph.llm.shared import parted
 from evigraph.operators import evidence, retrieval, search
 from evigraph.plans import records
 from evigraph.sources import dictionaries
@@ -152,3 +155,26 @@ def test_what_a_question_tells_is_computed_once_a_question(spark):
     assert {(r.evidence_type, r.source_entity): r.semantic_score for r in scored.collect()}[("path", "a-b")] == 0.68475  # 0.35 x 0.9 + 0.2 x 0.78 + 0.25 x 0.25 + 0.15 x 7 / 8 + 0.05 x 0.4
     joined = [x for x in plan(scored).splitlines() if "Join" in x]
     assert joined and "_asked" in plan(scored)
+
+
+def test_most_documents_are_not_shuffled_to_drop_copies(spark, tmp_path):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, text(i)) for i in range(40)] + [(100, text(0)), (101, text(1)), (7, text(7)), (8, text(1)), (8, text(1)), (None, text(3)), (None, None), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    want = {r for r in rows if r[0] is None or r[0] < 100}
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((i or -1, t or "") for i, t in want) and kept.columns == docs.columns
+    gone = spark.createDataFrame([(3,), (5,)], "doc_id long")
+    plain, rest = parted(docs, "doc_id", gone)
+    assert plain.count() + rest.count() == len(rows) and {r.doc_id for r in rest.collect()} >= {3, 5} and rest.count() < 10
+    assert plain.filter("doc_id is null").count() == 2
+    # before, all texts were dealt by doc_id unless the ids that stay were few enough to broadcast
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not any("Exchange hashpartitioning(doc_id" in x for x in plan(parted(docs, "doc_id", gone)[0]).splitlines())
+        found = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+        found.write.format("noop").mode("overwrite").save()
+        assert "BroadcastHashJoin" in plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
