@@ -13,6 +13,10 @@ from evigraph.sources.workspace import folder
 
 #: Node keys (about 100 bytes each in memory), and paths, that are sent to all tasks; more are merged.
 FEW, FEW_PATHS = 500_000, 20_000
+#: Bits of the filter of node keys that is sent to all tasks where the keys are not few; its size does not grow with them.
+KEY_BITS = 1 << 25
+#: Parts for each part of a shuffle where what follows holds a whole part in memory, several times.
+HELD = 4
 #: Parts into which a node's neighbours are dealt before each part is cut.
 SPREAD = 4
 #: Score of a path by its number of nodes; longer paths have the last one.
@@ -113,8 +117,18 @@ def hinted(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
 
 
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df in as many parts as a shuffle has, which are not put together again, as what follows holds a whole part in memory."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """df in HELD times as many parts as a shuffle has, which are not put together again, as what follows holds a whole part in memory."""
+    return df.repartition(HELD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def maybe_within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame:
+    """Edges one end of which is among nodes (node); of more than FEW nodes a filter is sent to all tasks, which lets some others pass, so a join must follow."""
+    if rows <= FEW:
+        return within(edges, end, nodes, rows)
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(KEY_BITS)).cast("int")
+    bits = nodes.select(place("node").alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, _p % 64))").alias("_v"))
+    marked = edges.withColumn("_p", place(end)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(bits), "_w")
+    return marked.filter("shiftright(_v, _p % 64) & 1L = 1").select(edges.columns)
 
 
 def within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame:
@@ -143,10 +157,12 @@ def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool, out
         step = near if place == 0 and near is not None else ends
         if place < len(sources) and (place or sources[0][1] < rows):
             step = within(step, "node", *sources[place])
+        elif place < len(sources):  # the pairs are joined at the end
+            step = maybe_within(step, "node", *sources[place])
         if rows <= FEW_PATHS:  # only what is joined is made distinct
             step = within(step, "next", tails.select("node").distinct(), rows).distinct()
         else:  # dealt by next once, for both
-            step = dealt(step, "next").distinct()
+            step = dealt(maybe_within(step, "next", tails.select("node"), rows), "next").distinct()
         longer = step.join(hinted(tails.withColumnRenamed("node", "next"), rows, FEW_PATHS), "next").filter(~F.array_contains("path", F.col("node")))
         return longer.select("node", "target", F.concat(F.array("node"), "path").alias("path"))
 

@@ -178,3 +178,19 @@ def test_most_documents_are_not_shuffled_to_drop_copies(spark, tmp_path):
         assert "BroadcastHashJoin" in plan(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_paths_deal_only_edges_that_may_lie_between_the_ends(spark, monkeypatch):
+    _, g = random_edges(spark, 80)
+    pairs = spark.createDataFrame([(i, f"n{i % 5}", f"n{6 + i % 4}") for i in range(20)], "query_id long, source string, target string")
+    want = sorted(map(tuple, search.path_search(g, pairs).collect()))
+    monkeypatch.setattr(search, "FEW", 2)
+    monkeypatch.setattr(search, "FEW_PATHS", 2)
+    found = search.path_search(g, pairs)
+    assert want and sorted(map(tuple, found.collect())) == want
+    # before, all edges were dealt; a filter of both ends now comes first, and parts are smaller than those of other shuffles
+    text = plan(found)
+    assert text.count("_w#") > 4 and f"{search.HELD * 4}), REPARTITION_BY_NUM" in text
+    keys = spark.createDataFrame([(f"n{i}",) for i in range(5)], "node string")
+    some = search.maybe_within(g, "src", keys, 5)
+    assert some.join(keys, some["src"] == keys["node"], "left_semi").count() == g.join(keys, g["src"] == keys["node"], "left_semi").count() <= some.count() < g.count()
