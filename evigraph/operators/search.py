@@ -222,7 +222,7 @@ def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, ma
     start, rows = settle(centers.select("query_id", F.col("entity").alias("id")).distinct(), "centres")
     known, n = settle(within(either, "node", start.select(F.col("id").alias("node")), rows).select("node").distinct(), "known")
     level = start.join(hinted(known, n), F.col("id") == F.col("node"), "left_semi").withColumn("depth", F.lit(0))
-    found = level
+    found, size_found = level, rows
     for depth in range(1, max_depth + 1):
         # of queries that have all their nodes nothing is expanded, nor what is beyond the cap
         size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
@@ -236,12 +236,15 @@ def subgraph_search(edges: DataFrame, centers: DataFrame, max_depth: int = 2, ma
         new = new.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth))
         cut = Window.partitionBy("query_id").orderBy("depth", "id")
         found = found.unionByName(new).withColumn("_r", F.row_number().over(cut)).filter((F.col("_r") <= max_nodes) | (F.col("depth") == 0)).drop("_r")
-        found, _ = settle(found, "found")
+        found, size_found = settle(found, "found")
     nodes = found.select("query_id", "id", "depth", (F.col("depth") == 0).alias("is_center"))
     held = nodes.select("query_id", "id")
     # an edge is joined first by the end that fewer queries hold, so a hub's edges don't meet all of its queries
     per = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    both = edges.select("src", "relation", "dst", "ord").join(per.select(F.col("id").alias("src"), F.col("n").alias("_s")), "src").join(per.select(F.col("id").alias("dst"), F.col("n").alias("_d")), "dst")
+    both = edges.select("src", "relation", "dst", "ord")
+    for end in ("src", "dst"):  # before edges are dealt
+        both = maybe_within(both, end, held.select(F.col("id").alias("node")), size_found)
+    both = both.join(per.select(F.col("id").alias("src"), F.col("n").alias("_s")), "src").join(per.select(F.col("id").alias("dst"), F.col("n").alias("_d")), "dst")
     by_src = F.col("_s") <= F.col("_d")
     both = both.select("src", "relation", "dst", "ord", F.when(by_src, F.col("src")).otherwise(F.col("dst")).alias("_a"), F.when(by_src, F.col("dst")).otherwise(F.col("src")).alias("_b"))
     inner = both.join(held.withColumnRenamed("id", "_a"), "_a").join(held.withColumnRenamed("id", "_b"), ["query_id", "_b"])

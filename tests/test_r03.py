@@ -194,3 +194,14 @@ def test_paths_deal_only_edges_that_may_lie_between_the_ends(spark, monkeypatch)
     keys = spark.createDataFrame([(f"n{i}",) for i in range(5)], "node string")
     some = search.maybe_within(g, "src", keys, 5)
     assert some.join(keys, some["src"] == keys["node"], "left_semi").count() == g.join(keys, g["src"] == keys["node"], "left_semi").count() <= some.count() < g.count()
+
+
+def test_subgraphs_deal_only_edges_that_may_have_both_ends(spark, monkeypatch):
+    _, g = random_edges(spark, 60, 30)
+    centers = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "query_id long, entity string")
+    want = [sorted(map(tuple, x.collect())) for x in search.subgraph_search(g, centers, max_nodes=5, max_edges=6)]
+    monkeypatch.setattr(search, "FEW", 2)
+    found = search.subgraph_search(g, centers, max_nodes=5, max_edges=6)
+    assert want[1] and [sorted(map(tuple, x.collect())) for x in found] == want
+    # before, all edges were dealt by one end and then joined by the other
+    assert plan(found[1]).count("_w#") > 4
