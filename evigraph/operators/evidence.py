@@ -90,7 +90,9 @@ def fuse(evidence: DataFrame, max_evidence: int = MAX_EVIDENCE, min_score: float
     """
     once = Window.partitionBy("query_id", "_key").orderBy(F.desc("score"), "text")
     cut = Window.partitionBy("query_id").orderBy(F.desc("_o"), F.desc("score"), "source_entity", "relation", "target_entity")
-    out = evidence.filter(F.col("score") >= min_score).withColumn("_key", dedup_key()).filter("_key <> ''").withColumn("_r", F.row_number().over(once)).filter("_r = 1")
+    named = evidence.filter(F.col("score") >= min_score).withColumn("_key", dedup_key()).filter("_key <> ''")
+    # dealt by query once, for both windows and for what joins queries later
+    out = search.dealt(named, "query_id").withColumn("_r", F.row_number().over(once)).filter("_r = 1")
     out = out.withColumn("_o", _map(FUSION_ORDER, "evidence_type", 0)).withColumn("rank", F.row_number().over(cut))
     return out.filter(F.col("rank") <= max_evidence).drop("_key", "_r", "_o")
 

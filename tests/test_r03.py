@@ -205,3 +205,15 @@ def test_subgraphs_deal_only_edges_that_may_have_both_ends(spark, monkeypatch):
     assert want[1] and [sorted(map(tuple, x.collect())) for x in found] == want
     # before, all edges were dealt by one end and then joined by the other
     assert plan(found[1]).count("_w#") > 4
+
+
+def test_evidence_is_dealt_by_query_once(spark):
+    row = lambda q, kind, tail, score: (q, kind, "a", "r", tail, [], [], score, f"a --r--> {tail}")
+    rows = [row(q, k, f"t{i % 7}", i / 20) for q in range(5) for k in ("relation", "neighbor") for i in range(20)]
+    given = "query_id long, evidence_type string, source_entity string, relation string, target_entity string, path array<string>, triples array<struct<head:string,relation:string,tail:string>>, score double, text string"
+    kept = evidence.fuse(spark.createDataFrame(rows, given), 9)
+    # before, rows were dealt by query and key and then again by query
+    assert plan(kept).count("Exchange hashpartitioning") == 1
+    got = sorted((r.query_id, r.rank, r.evidence_type, r.target_entity, r.score) for r in kept.collect())
+    best = [(k, f"t{i % 7}", i / 20) for k in ("relation", "neighbor") for i in range(19, 12, -1)][:9]
+    assert got == [(q, n + 1, *b) for q in range(5) for n, b in enumerate(best)]
