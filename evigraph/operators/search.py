@@ -153,9 +153,13 @@ def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool, out
     tails, rows = settle(zero, "targets")
     zero = tails
 
+    kept = {}
+
     def grown(tails: DataFrame, rows: int, place: int) -> DataFrame:
-        step = near if place == 0 and near is not None else ends
-        if place < len(sources) and (place or sources[0][1] < rows):
+        step = kept.get(place, near if place == 0 and near is not None else ends)
+        if place in kept:
+            pass
+        elif place < len(sources) and (place or sources[0][1] < rows):
             step = within(step, "node", *sources[place])
         elif place < len(sources):  # the pairs are joined at the end
             step = maybe_within(step, "node", *sources[place])
@@ -168,8 +172,12 @@ def _suffixes(edges: DataFrame, pairs: DataFrame, hops: int, directed: bool, out
 
     def headed() -> tuple[DataFrame, int]:
         nodes, n = sources[-1]
-        step = near if len(sources) == 1 and near is not None else ends
-        return settle(within(step, "node", nodes, n).select(F.col("next").alias("node")).distinct(), "heads")
+        first = len(sources) == 1 and near is not None
+        step = within(near if first else ends, "node", nodes, n)
+        if not first and n <= FEW_PATHS:  # edges out of few nodes are kept, so that paths grow along them without reading all edges again
+            step, _ = settle(step.distinct(), "steps")
+            kept[len(sources) - 1] = step
+        return settle(step.select(F.col("next").alias("node")).distinct(), "heads")
 
     place = hops
     if near is not None and place > 1:

@@ -217,3 +217,20 @@ def test_evidence_is_dealt_by_query_once(spark):
     got = sorted((r.query_id, r.rank, r.evidence_type, r.target_entity, r.score) for r in kept.collect())
     best = [(k, f"t{i % 7}", i / 20) for k in ("relation", "neighbor") for i in range(19, 12, -1)][:9]
     assert got == [(q, n + 1, *b) for q in range(5) for n, b in enumerate(best)]
+
+
+def test_edges_out_of_few_nodes_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        read.add(1)
+        return key
+
+    rows = [("s0", "n0"), ("s1", "n1"), ("n0", "r0"), ("n1", "r0"), ("r0", "x"), ("r0", "s1"), ("q", "q")]
+    g = edges(spark, rows).withColumn("src", F.udf(counted).asNondeterministic()("src"))
+    pairs = spark.createDataFrame([(0, "s0", "x"), (1, "s1", "r0"), (2, "s0", "s1")], "query_id long, source string, target string")
+    outs = edges(spark, [x for x in rows if x[0] in ("s0", "s1")])
+    found = sorted((r.query_id, r.path) for r in search.path_search(g, pairs, outs=outs).collect())
+    assert found == [(0, ["s0", "n0", "r0", "x"]), (1, ["s1", "n1", "r0"]), (2, ["s0", "n0", "r0", "s1"])]
+    # before, three times: the sets of nodes and the paths through them read the same edges
+    assert read.value == 2 * len(rows)
