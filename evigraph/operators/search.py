@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.sources.workspace import folder
+from evigraph.sources.workspace import HELD, dealt, folder  # noqa: F401 (HELD is read from here)
 
 #: Node keys (about 100 bytes each in memory), and paths, that are sent to all tasks; more are merged.
 FEW, FEW_PATHS = 500_000, 20_000
 #: Bits of the filter of node keys that is sent to all tasks where the keys are not few; its size does not grow with them.
 KEY_BITS = 1 << 25
-#: Parts for each part of a shuffle where what follows holds a whole part in memory, several times.
-HELD = 4
 #: Parts into which a node's neighbours are dealt before each part is cut.
 SPREAD = 4
 #: Score of a path by its number of nodes; longer paths have the last one.
@@ -116,11 +114,6 @@ def hinted(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
     return F.broadcast(df) if rows <= few else df.hint("merge")
 
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df in HELD times as many parts as a shuffle has, which are not put together again, as what follows holds a whole part in memory."""
-    return df.repartition(HELD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def maybe_within(edges: DataFrame, end: str, nodes: DataFrame, rows: int) -> DataFrame:
     """Edges one end of which is among nodes (node); of more than FEW nodes a filter is sent to all tasks, which lets some others pass, so a join must follow."""
     if rows <= FEW:

@@ -1,11 +1,14 @@
-"""A folder for tables of one run, where driver and executors can both reach it."""
+"""A folder for tables of one run, where driver and executors can both reach it, and parts of bounded size."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Parts for each part of a shuffle where what follows holds a whole part in memory, several times.
+HELD = 4
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -20,3 +23,8 @@ def folder(spark: SparkSession, tag: str) -> str:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df in HELD times as many parts as a shuffle has, which are not put together again, as what follows holds a whole part in memory."""
+    return df.repartition(HELD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -11,7 +11,7 @@ from evigraph.llm.kneser_ney import pack
 from evigraph.llm.shared import parted
 from evigraph.operators import evidence, retrieval, search
 from evigraph.plans import records
-from evigraph.sources import dictionaries
+from evigraph.sources import dictionaries, graph_tables, workspace
 
 TEXTS = ["Se que. Ciónos asbo", "Éier aTime été", "Ab Cd", "caféPython nu", "pythoné", "whoé who is", "Brown São", "Ä.B C_d-é"]
 
@@ -207,6 +207,29 @@ def test_subgraphs_deal_only_edges_that_may_have_both_ends(spark, monkeypatch):
     assert plan(found[1]).count("_w#") > 4
 
 
+def test_supplied_edges_are_dealt_before_they_are_grouped(spark, tmp_path):
+    lines = [(o, o % 7 if o % 11 else None, o % 3, 1, 5.0, None if o % 5 == 0 else o % 4 / 10) for o in range(120)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, 0)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, 0) for i in range(3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0)], "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.current_timestamp()).write.parquet(f"{tmp_path}/orders.parquet")
+    all_edges = graph_tables.edges(spark, str(tmp_path))
+    want = {}
+    for _, part, supplier, _, _, discount in lines:
+        held = want.setdefault((part is not None and f"part:{part}" or None, f"supplier:{supplier}"), [])
+        held += [] if discount is None else [1 - discount]
+    got = [((r.src, r.dst), r.score) for r in all_edges.filter("relation = 'supplied_by'").collect()]
+    assert len(got) == len(want) and dict(got) == {k: max(v, default=None) for k, v in want.items()}
+    # before, all lines of a part of the file were grouped in memory, then those of parts that had been put together again
+    text = plan(all_edges)
+    assert any("l_suppkey" in x and f"{workspace.HELD * 4}), REPARTITION_BY_NUM" in x for x in text.splitlines()) and "ENSURE_REQUIREMENTS" not in text
+    # a search's nodes still filter the lines before they are dealt
+    nodes = spark.createDataFrame([("nation:0",)], "node string")
+    asked = search.within(all_edges, "src", nodes, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert asked.count("LeftSemi") == 6 and "LeftSemi" in asked[asked.index("RepartitionByExpression"):]
+
+
 def test_evidence_is_dealt_by_query_once(spark):
     row = lambda q, kind, tail, score: (q, kind, "a", "r", tail, [], [], score, f"a --r--> {tail}")
     rows = [row(q, k, f"t{i % 7}", i / 20) for q in range(5) for k in ("relation", "neighbor") for i in range(20)]
